@@ -1,0 +1,219 @@
+"""Continuous outlier reports.
+
+Arriving points go to a slide table; whenever the watermark closes windows,
+the batch plan runs over just the slides of those windows.  State is therefore
+a partitioned table on shared storage instead of one object per key: a crowded
+cell is split like in any other batch job, a lost executor costs a task, and a
+restarted query repeats its last batch into the same folders.
+
+Layout of the store::
+
+    points/batch=<id>/blk=<slide block>/   points as they arrived
+    results/batch=<id>/                    report rows of the windows it closed
+    progress/batch=<id>/                   watermark and retained batches
+    checkpoint/                            source offsets
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.slides import slide_index
+from ..functions.vectors import Space
+from ..operators.routes import Route
+from ..plans.detect import RK, RKWS, SINGLE, Strategy, evaluate
+from ..plans.params import QuerySet, parse_rk
+
+PROGRESS = "batch bigint, closed bigint, newest bigint, retained array<struct<batch:bigint,newest:bigint>>"
+REPORT = "e bigint, w int, s int, r double, k int, n_outliers bigint"
+
+
+@dataclass(frozen=True)
+class Progress:
+    """State after a batch: windows up to ``closed`` have been reported."""
+
+    closed: int | None = None
+    newest: int | None = None
+    retained: tuple[tuple[int, int], ...] = ()
+
+
+class SlideStore:
+    """The tables of one streaming query."""
+
+    def __init__(self, spark: SparkSession, path: str, queries: QuerySet):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.queries = queries
+        self.span = queries.spans[-1]
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.path}/checkpoint"
+
+    def _has(self, folder: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
+    def progress(self, batch: int) -> Progress:
+        """State after the given batch; the empty state before the first one."""
+        if batch < 0 or not self._has(f"{self.path}/progress/batch={batch}"):
+            return Progress()
+        row = self.spark.read.schema(PROGRESS).json(f"{self.path}/progress/batch={batch}").first()
+        return Progress(row["closed"], row["newest"], tuple((r[0], r[1]) for r in row["retained"]))
+
+    def save_progress(self, batch: int, state: Progress) -> None:
+        row = (batch, state.closed, state.newest, [list(r) for r in state.retained])
+        self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").json(
+            f"{self.path}/progress/batch={batch}"
+        )
+
+    def _children(self, folder: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        return [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()]
+
+    def last_batch(self) -> int:
+        """Newest finished batch, or -1."""
+        batches = sorted((int(name.split("=")[1]) for name in self._children("progress")), reverse=True)
+        return next((b for b in batches if self._has(f"{self.path}/progress/batch={b}")), -1)
+
+    def append(self, batch: int, points: DataFrame) -> int | None:
+        """Store a batch by slide block; returns its newest slide."""
+        keyed = points.select("id", "value", slide_index(self.queries.unit).alias("sl"))
+        keyed = keyed.withColumn("blk", F.floor(F.col("sl") / self.span))
+        keyed.write.mode("overwrite").partitionBy("blk").parquet(f"{self.path}/points/batch={batch}")
+        stored = self._stored([batch])
+        return None if stored is None else stored.agg(F.max("sl")).first()[0]
+
+    def _stored(self, batches: list[int]) -> DataFrame | None:
+        folders = [f"{self.path}/points/batch={b}" for b in batches if self._children(f"points/batch={b}")]
+        if not folders:
+            return None
+        return self.spark.read.option("basePath", f"{self.path}/points").parquet(*folders)
+
+    def slides(self, batches: list[int], first: int | None, last: int) -> DataFrame | None:
+        """Stored points of the slides ``first .. last``; other blocks are not read."""
+        stored = self._stored(batches)
+        if stored is None:
+            return None
+        stored = stored.where((F.col("sl") <= last) & (F.col("blk") <= last // self.span))
+        if first is not None:
+            stored = stored.where((F.col("sl") >= first) & (F.col("blk") >= first // self.span))
+        return stored.select("id", "value")
+
+    def expire(self, older: Progress, newer: Progress) -> None:
+        """Delete the stored batches that ``older`` needed and ``newer`` does not."""
+        gone = {b for b, _ in older.retained} - {b for b, _ in newer.retained}
+        for b in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/points/batch={b}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def results(self) -> DataFrame:
+        """The report rows so far."""
+        if not self._children("results"):
+            return self.spark.createDataFrame([], REPORT)
+        return self.spark.read.schema(REPORT).parquet(f"{self.path}/results/batch=*")
+
+
+def stream_report(
+    points: DataFrame,
+    queries: QuerySet,
+    store: str,
+    plan: Strategy = SINGLE["pmcod"],
+    space: Space = Space(),
+    part: str | Route | None = None,
+    delay: int = 0,
+    trigger: dict | None = None,
+    **options,
+) -> tuple[StreamingQuery, SlideStore]:
+    """Start a streaming query that reports each window once it is closed.
+
+    A window closes when a point arrives that is more than ``delay`` slides
+    past it.  Points that arrive later still count for their open windows;
+    closed windows are not reported again.
+    """
+    spark = points.sparkSession
+    tables = SlideStore(spark, store, queries)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = tables.progress(batch_id - 1)
+        # What the last batch stopped needing goes now, not earlier: until its
+        # offsets are committed the last batch may have to be repeated.
+        tables.expire(tables.progress(batch_id - 2), before)
+        newest = tables.append(batch_id, batch)
+        known = [n for n in (before.newest, newest) if n is not None]
+        if not known:
+            tables.save_progress(batch_id, before)
+            return
+        top = max(known)
+        closed = max([top - 1 - delay] + ([before.closed] if before.closed is not None else []))
+        retained = before.retained + (((batch_id, newest),) if newest is not None else ())
+        if before.closed is None or closed > before.closed:
+            low = None if before.closed is None else before.closed + 1
+            first = None if low is None else low - tables.span + 1
+            slides = tables.slides([b for b, _ in retained], first, closed)
+            if slides is not None:
+                report = evaluate(slides, queries, plan, space, part, between=(low, closed), **options)
+                report.write.mode("overwrite").parquet(f"{tables.path}/results/batch={batch_id}")
+        # A batch is needed as long as a slide of it can be in an open window.
+        retained = tuple((b, n) for b, n in retained if n > closed - tables.span + 1)
+        tables.save_progress(batch_id, Progress(closed, top, retained))
+
+    query = (
+        points.writeStream.foreachBatch(step)
+        .option("checkpointLocation", tables.checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+    return query, tables
+
+
+def drain(
+    tables: SlideStore, plan: Strategy = SINGLE["pmcod"], space: Space = Space(),
+    part: str | Route | None = None, **options,
+) -> DataFrame:
+    """The windows that are still open, as a bounded input would end with them."""
+    state = tables.progress(tables.last_batch())
+    if state.newest is None:
+        return tables.spark.createDataFrame([], REPORT)
+    low = None if state.closed is None else state.closed + 1
+    first = None if low is None else low - tables.span + 1
+    slides = tables.slides([b for b, _ in state.retained], first, state.newest)
+    if slides is None:
+        return tables.spark.createDataFrame([], REPORT)
+    return evaluate(slides, tables.queries, plan, space, part, between=(low, None), **options)
+
+
+def stream_outliers(
+    points: DataFrame, window: int, slide: int, radius: float, k: int, store: str, strategy: str = "pmcod", **options
+) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Streaming form of the single query; the second result reads the report."""
+    query, tables = stream_report(
+        points, QuerySet([window], [slide], [radius], [k]), store, SINGLE[strategy], **options
+    )
+    return query, lambda: tables.results().select("e", "n_outliers")
+
+
+def stream_rk(
+    points: DataFrame, window: int, slide: int, queries, store: str, strategy: str = "sop", **options
+) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Streaming form of many (k, R) over one window."""
+    listed = parse_rk(queries) if isinstance(queries, str) else list(queries)
+    wanted = QuerySet([window], [slide], [r for _, r in listed], [k for k, _ in listed])
+    query, tables = stream_report(points, wanted, store, RK[strategy], **options)
+    return query, lambda: tables.results().select("e", "r", "k", "n_outliers")
+
+
+def stream_rkws(
+    points: DataFrame, windows, slides, radii, ks, store: str, strategy: str = "sop", **options
+) -> tuple[StreamingQuery, Callable[[], DataFrame]]:
+    """Streaming form of all combinations of windows, slides, radii and ks."""
+    query, tables = stream_report(points, QuerySet(windows, slides, radii, ks), store, RKWS[strategy], **options)
+    return query, tables.results
