@@ -106,8 +106,19 @@ class Space:
     def distance_to(self, vector: Sequence[float]) -> Column:
         """Distance of each row to a fixed vector."""
         if self.flat:
-            return _root([(F.col(a), F.lit(float(v))) for a, v in zip(self.coords(), vector)])
-        return self._arrays(F.col("value"), F.array(*[F.lit(float(v)) for v in vector]))
+            return F.expr(self._root_sql(vector))
+        return self._arrays(F.col("value"), F.expr(_array_sql(vector)))
+
+    def distances_to(self, vectors: Sequence[Sequence[float]]) -> Column:
+        """Array of each row's distances to some fixed vectors."""
+        if self.flat:
+            return F.expr(f"array({', '.join(self._root_sql(v) for v in vectors)})")
+        fixed = F.expr(f"array({', '.join(_array_sql(v) for v in vectors)})")
+        return F.transform(fixed, lambda v: self._arrays(F.col("value"), v))
+
+    def _root_sql(self, vector: Sequence[float]) -> str:
+        squares = [f"({c} - {number_sql(v)}) * ({c} - {number_sql(v)})" for c, v in zip(self.coords(), vector)]
+        return f"sqrt({' + '.join(squares)})"
 
     def _arrays(self, a: Column, b: Column) -> Column:
         if self.metric is not None:
@@ -140,6 +151,15 @@ class Space:
         return F.when(ok, F.transform(value, lambda x: F.floor(x / side)))
 
 
+def number_sql(x: float) -> str:
+    """A double literal.  Long lists of fixed numbers go into plans as SQL text."""
+    return f"({float(x)!r}D)"
+
+
+def _array_sql(vector: Sequence[float]) -> str:
+    return f"array({', '.join(number_sql(v) for v in vector)})"
+
+
 def _root(pairs: list[tuple[Column, Column]]) -> Column:
     total = None
     for a, b in pairs:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import SLACK, Space
 from ..session import spread
-from .routes import GridRoute, PivotRoute, Route, nearest_pivot, pivot_distances
+from .routes import GridRoute, PivotRoute, Route, nearest_pivot
 from .training import train_pivots
 
 # Upper bound on the stored rows of one join key.
@@ -201,14 +201,14 @@ def knn_join(
     pivots = pivots or train_pivots(points)
     keep = n + 1 if exclude_self else n
     bounded = collapse_copies(points, keep)
-    stored = space.project(bounded, "id").withColumn("_pd", pivot_distances(space, pivots))
+    stored = space.project(bounded, "id").withColumn("_pd", space.distances_to(pivots))
     stored = stored.select(
         nearest_pivot("_pd").alias("part"),
         F.array_min("_pd").alias("npd"),
         F.col("id").alias("nid"),
         *space.prefixed(stored, "n"),
     )
-    asked = space.project(queries, "id").withColumn("pd", pivot_distances(space, pivots))
+    asked = space.project(queries, "id").withColumn("pd", space.distances_to(pivots))
     asked = asked.select(F.col("id").alias("qid"), nearest_pivot("pd").alias("home"), "pd", *space.coords())
 
     def candidates(left: DataFrame, bound: Column | None) -> DataFrame:

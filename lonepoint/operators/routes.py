@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import SLACK, Space, cell_index, grid_width
+from ..functions.vectors import SLACK, Space, cell_index, grid_width, number_sql
 from .training import VantageTree
 
 # Published axis boundaries of the stock, gauss, tao and fc data
@@ -134,28 +134,30 @@ class BoundsRoute(Route):
         return cls(PRESET_BOUNDS[name], radius)
 
     @staticmethod
-    def _count(bounds: list[float], passed) -> Column:
-        """How many boundaries pass the test, as a sum that code generation inlines."""
-        total = F.lit(0)
-        for b in bounds:
-            total = total + passed(F.lit(b)).cast("int")
-        return total
+    def _count(bounds: list[float], x: Column, inclusive: bool = False) -> Column:
+        """How many boundaries are below x."""
+        listed = F.expr(f"array({', '.join(number_sql(b) for b in bounds)})")
+        return F.size(F.filter(listed, (lambda b: b <= x) if inclusive else (lambda b: b < x)))
+
+    @staticmethod
+    def _steps(low: Column, high: Column, stride: int):
+        """From a cell number to those reached along one axis."""
+        return lambda p: F.transform(F.sequence(low, high), lambda j: p + j.cast("bigint") * stride)
 
     def with_home(self, df, space):
         part = F.lit(0)
         for i, (axis, stride) in enumerate(zip(self.bounds, self.strides)):
             x = space.axis(i)
-            part = part + self._count(axis, lambda b: b < x) * stride
+            part = part + self._count(axis, x) * stride
         return df.withColumn("part", part.cast("bigint"))
 
     def with_reach(self, df, space):
         parts = F.array(F.lit(0).cast("bigint"))
         for i, (axis, stride) in enumerate(zip(self.bounds, self.strides)):
             x = space.axis(i)
-            low = self._count(axis, lambda b: b < x - F.lit(self.reach))
-            high = self._count(axis, lambda b: b <= x + F.lit(self.reach))
-            steps = F.transform(F.sequence(low, high), lambda j: j.cast("bigint") * stride)
-            parts = F.flatten(F.transform(parts, lambda p, s=steps: F.transform(s, lambda j: p + j)))
+            low = self._count(axis, x - F.lit(self.reach))
+            high = self._count(axis, x + F.lit(self.reach), inclusive=True)
+            parts = F.flatten(F.transform(parts, self._steps(low, high, stride)))
         return df.withColumn("parts", parts)
 
 
@@ -187,32 +189,32 @@ class VantageRoute(Route):
     def _measured(self, df: DataFrame, space: Space) -> DataFrame:
         # One array, not a column per node: the optimizer would otherwise derive
         # constraints for every combination of node columns.
-        return df.withColumn("_vd", F.array(*[space.distance_to(v) for v, _ in self.tree.nodes]))
+        return df.withColumn("_vd", space.distances_to([v for v, _ in self.tree.nodes]))
 
     def with_home(self, df, space):
-        first_leaf = len(self.tree.nodes)
+        nodes = self.tree.nodes
 
-        def walk(i: int) -> Column:
-            if i >= first_leaf:
-                return F.lit(i - first_leaf).cast("bigint")
-            closer = F.get("_vd", F.lit(i)) <= F.lit(self.tree.nodes[i][1])
-            return F.when(closer, walk(2 * i + 1)).otherwise(walk(2 * i + 2))
+        def walk(i: int) -> str:
+            if i >= len(nodes):
+                return f"{i - len(nodes)}L"
+            return f"if(_vd[{i}] <= {number_sql(nodes[i][1])}, {walk(2 * i + 1)}, {walk(2 * i + 2)})"
 
-        return self._measured(df, space).withColumn("part", walk(0)).drop("_vd")
+        return self._measured(df, space).withColumn("part", F.expr(walk(0))).drop("_vd")
 
     def with_reach(self, df, space):
-        first_leaf = len(self.tree.nodes)
+        nodes = self.tree.nodes
 
-        def walk(i: int, path: Column) -> list[Column]:
-            if i >= first_leaf:
-                return [F.when(path, F.lit(i - first_leaf).cast("bigint"))]
-            d, t = F.get("_vd", F.lit(i)), self.tree.nodes[i][1]
-            closer = d <= F.lit(t + self.reach)
-            farther = d > F.lit(t - self.reach)
-            return walk(2 * i + 1, path & closer) + walk(2 * i + 2, path & farther)
+        def walk(i: int) -> str:
+            """Array of the leaves below a node that the ball may touch."""
+            if i >= len(nodes):
+                return f"array({i - len(nodes)}L)"
+            closer, farther = walk(2 * i + 1), walk(2 * i + 2)
+            inner = number_sql(nodes[i][1] + self.reach)
+            outer = number_sql(nodes[i][1] - self.reach)
+            none = "cast(array() as array<bigint>)"
+            return f"concat(if(_vd[{i}] <= {inner}, {closer}, {none}), if(_vd[{i}] > {outer}, {farther}, {none}))"
 
-        leaves = walk(0, F.lit(True))
-        return self._measured(df, space).withColumn("parts", F.array_compact(F.array(*leaves))).drop("_vd")
+        return self._measured(df, space).withColumn("parts", F.expr(walk(0))).drop("_vd")
 
 
 class PivotRoute(Route):
@@ -223,7 +225,7 @@ class PivotRoute(Route):
         self.reach = 2 * radius * (1 + SLACK)
 
     def distances(self, space: Space) -> Column:
-        return pivot_distances(space, self.pivots)
+        return space.distances_to(self.pivots)
 
     def with_home(self, df, space):
         df = df.withColumn("_pd", self.distances(space))
@@ -238,11 +240,6 @@ class PivotRoute(Route):
         return df.withColumn("parts", parts).drop("_pd", "_pmin")
 
 
-def pivot_distances(space: Space, pivots: Sequence[Sequence[float]]) -> Column:
-    """Array of a point's distances to the pivots."""
-    return F.array(*[space.distance_to(p) for p in pivots])
-
-
 def nearest_pivot(distances: str) -> Column:
     """Index of the smallest distance; the first one on ties."""
     return (F.array_position(distances, F.array_min(distances)) - 1).cast("bigint")

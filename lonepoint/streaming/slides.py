@@ -61,7 +61,7 @@ class SlideStore:
 
     def progress(self, batch: int) -> Progress:
         """State after the given batch; the empty state before the first one."""
-        if batch < 0 or not self._has(f"{self.path}/progress/batch={batch}"):
+        if batch < 0:
             return Progress()
         row = self.spark.read.schema(PROGRESS).json(f"{self.path}/progress/batch={batch}").first()
         return Progress(row["closed"], row["newest"], tuple((r[0], r[1]) for r in row["retained"]))
