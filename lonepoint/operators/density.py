@@ -50,7 +50,7 @@ def search_spans(pts: DataFrame, space: Space, radius: float, k: int, span: int)
     behind = cell.orderBy("stop").rangeBetween(-k, 0)
     return (
         cell_slides(pts, space, radius)
-        .withColumn("blk", F.explode(blocks))
+        .withColumn("blk", F.explode_outer(blocks))
         .withColumn("stop", F.sum("n").over(until_now))
         .withColumn("start", F.col("stop") - F.col("n"))
         # Both frames end with the slide in which the (k+1)-th member is met,
@@ -118,7 +118,7 @@ def dense_cells(pts: DataFrame, space: Space, radius: float, k: int, span: int)
     """Cells with more than k members in a window: ``(e, dcell, n)``."""
     return (
         cell_slides(pts, space, radius)
-        .withColumn("e", F.explode(windows_of(F.col("sl"), span)))
+        .withColumn("e", F.explode_outer(windows_of(F.col("sl"), span)))
         .groupBy("e", "dcell")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") > k)
@@ -128,7 +128,7 @@ def dense_cells(pts: DataFrame, space: Space, radius: float, k: int, span: int)
 def outside_dense_cells(pts: DataFrame, space: Space, radius: float, k: int, span: int) -> DataFrame:
     """Points with the windows in which no dense cell holds them: ``(e, id)``."""
     return (
-        pts.select("id", space.dense_cell(radius).alias("dcell"), F.explode(windows_of(F.col("sl"), span)).alias("e"))
+        pts.select("id", space.dense_cell(radius).alias("dcell"), F.explode_outer(windows_of(F.col("sl"), span)).alias("e"))
         .join(dense_cells(pts, space, radius, k, span), ["e", "dcell"], "left_anti")
         .select("e", "id")
     )

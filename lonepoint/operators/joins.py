@@ -3,6 +3,9 @@
 All of them turn a distance condition into an equi-join on a partition key and
 leave the distance as a residual test.  The probing side is copied to the
 partitions its ball touches, the stored side stays in its home partition.
+
+Keys are exploded with the outer form throughout: for the plain one Spark adds
+a filter that computes the exploded expression a second time.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import SLACK, Space
+from ..functions.vectors import SLACK, Space, grid_width
 from ..session import spread
+from .blocks import BLOCK_ROWS, block_join
 from .routes import GridRoute, PivotRoute, Route, nearest_pivot
 from .training import train_pivots
 
@@ -46,85 +50,110 @@ def window_pairs(
     with the length of the stream, not with its square.
     """
     route = route or GridRoute(radius)
-    size = chunk or max(MIN_CHUNK, min(CHUNK_ROWS, slide * span))
-    reach = F.expr(f"sequence(first * {slide}L div {size}L, ((last + 1) * {slide}L - 1L) div {size}L)")
+    blocks = uses_blocks(space)
+    size = chunk or max(MIN_CHUNK, min(BLOCK_ROWS if blocks else CHUNK_ROWS, slide * span))
     if "first" not in probes.columns:
         probes = probes.withColumns({"first": F.col("sl") - (span - 1), "last": F.col("sl") + (span - 1)})
+    reach = F.expr(f"sequence(first * {slide}L div {size}L, ((last + 1) * {slide}L - 1L) div {size}L)")
 
     left = route.with_reach(probes.select("id", "sl", "first", "last", *space.coords()), space)
     left = (
-        left.withColumn("part", F.explode("parts"))
+        left.withColumn("part", F.explode_outer("parts"))
         .drop("parts")
-        .withColumn("chunk", F.explode(reach))
+        .withColumn("chunk", F.explode_outer(reach))
     )
     weight = ["n"] if "n" in stored.columns else []
     right = route.with_home(stored.select("id", "sl", *weight, *space.coords()), space).select(
-        F.col("part").alias("npart"),
-        F.expr(f"id div {size}L").alias("nchunk"),
+        "part",
+        F.expr(f"id div {size}L").alias("chunk"),
         F.col("id").alias("nid"),
         F.col("sl").alias("nsl"),
         *weight,
         *space.prefixed(stored, "n"),
     )
-    left, right = spread(left, "part", "chunk"), spread(right, "npart", "nchunk")
-    d = space.distance("", "n")
-    near = (
-        (F.col("part") == F.col("npart"))
-        & (F.col("chunk") == F.col("nchunk"))
-        & F.col("nsl").between(F.col("first"), F.col("last"))
-        & ((F.col("nid") == F.col("id")) | (d <= F.lit(float(radius))))
+    found = ["id", "sl", "nid", "nsl", "d", *weight]
+    timely = F.col("nsl").between(F.col("first"), F.col("last"))
+    if blocks:
+        # The probes of a chunk are cut by their own chunk, so that both sides
+        # of a block are bounded.
+        left = left.withColumn("own", F.expr(f"id div {size}L"))
+        near = span * slide // size + 1
+        right = right.withColumn("own", F.explode_outer(F.sequence(F.col("chunk") - near, F.col("chunk") + near)))
+        pairs = block_join(left, right, ["part", "chunk", "own"], radius, same=("id", "nid"))
+        return pairs.where(timely).select(*found)
+    left, right = spread(left, "part", "chunk"), spread(right, "part", "chunk")
+    d = F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(space.distance("", "n"))
+    return (
+        left.join(right, ["part", "chunk"])
+        .withColumn("d", d)
+        .where(timely & (F.col("d") <= F.lit(float(radius))))
+        .select(*found)
     )
-    return left.join(right, near).select(
-        "id", "sl", "nid", "nsl",
-        F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(d).alias("d"),
-        *weight,
+
+
+def uses_blocks(space: Space) -> bool:
+    """Long vectors of known length are compared block by block."""
+    return space.metric is None and space.dims is not None and not space.flat
+
+
+def _crowded(rows: DataFrame, target: int, name: str) -> DataFrame:
+    """Partitions with more than ``target`` rows, and into how many to cut them."""
+    return (
+        rows.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > target)
+        .select("part", F.ceil(F.col("rows") / target).alias(name))
     )
 
 
-def _salted(home: DataFrame, reach: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
-    """Split partitions with more than ``target`` stored rows by id hash.
+def _salted(left: DataFrame, right: DataFrame, space: Space) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cut crowded partitions by id hash; both sides and the keys to join on.
 
-    Only partitions above the target are listed, so the list is short; Spark
-    decides from its size whether to broadcast it.
+    The stored side is cut, and for blocks the probing side too; the other side
+    is copied to the cuts.  Only partitions above the target are listed, so the
+    lists are short; Spark decides from their size whether to broadcast them.
     """
-    crowded = (
-        home.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > target)
-        .select("part", F.ceil(F.col("n") / target).alias("salts"))
-    )
-    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    home = home.join(crowded, "part", "left").withColumn("salt", F.pmod(F.xxhash64("nid"), salts)).drop("salts")
-    reach = (
-        reach.join(crowded, "part", "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
-        .drop("salts")
-    )
-    return home, reach
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    blocks = uses_blocks(space)
+    target = BLOCK_ROWS if blocks else CHUNK_ROWS
+    cuts = _crowded(right, target, "cuts")
+    n = F.coalesce("cuts", one)
+    right = right.join(cuts, "part", "left").withColumn("salt", F.pmod(F.xxhash64("nid"), n)).drop("cuts")
+    probes = left.join(cuts, "part", "left")
+    probes = probes.withColumn("salt", F.explode_outer(F.sequence(zero, n - 1))).drop("cuts")
+    if not blocks:
+        return spread(probes, "part", "salt"), spread(right, "part", "salt"), ["part", "salt"]
+    slices = _crowded(left, target, "slices")
+    n = F.coalesce("slices", one)
+    probes = probes.join(slices, "part", "left").withColumn("slice", F.pmod(F.xxhash64("qid"), n)).drop("slices")
+    right = right.join(slices, "part", "left")
+    right = right.withColumn("slice", F.explode_outer(F.sequence(zero, n - 1))).drop("slices")
+    return probes, right, ["part", "salt", "slice"]
+
+
+def _near(
+    left: DataFrame, right: DataFrame, space: Space, radius: float | None = None, limit: int | None = None
+) -> DataFrame:
+    """Pairs of the same partition within the radius, with all columns but the vectors, and ``d``."""
+    left, right, keys = _salted(left, right, space)
+    if uses_blocks(space):
+        return block_join(left, right, keys, radius, limit)
+    pairs = left.join(right, keys).withColumn("d", space.distance("", "n"))
+    if radius is not None:
+        pairs = pairs.where(F.col("d") <= F.lit(float(radius)))
+    return pairs.drop(*keys, *space.coords(), *space.coords("n"))
 
 
 def range_join(
-    queries: DataFrame,
-    points: DataFrame,
-    radius: float,
-    space: Space,
-    route: Route | None = None,
-    target_rows: int = CHUNK_ROWS,
+    queries: DataFrame, points: DataFrame, radius: float, space: Space, route: Route | None = None
 ) -> DataFrame:
     """All points within the radius of each query: ``(qid, nid, d)``."""
     route = route or GridRoute(radius)
-    left = route.with_reach(space.project(queries, "id"), space)
-    left = left.withColumn("part", F.explode("parts")).drop("parts").withColumnRenamed("id", "qid")
+    left = route.with_reach(space.project(queries, F.col("id").alias("qid")), space)
+    left = left.withColumn("part", F.explode_outer("parts")).drop("parts")
     right = route.with_home(space.project(points, "id"), space)
     right = right.select("part", F.col("id").alias("nid"), *space.prefixed(right, "n"))
-    right, left = _salted(right, left, target_rows)
-    left, right = spread(left, "part", "salt"), spread(right, "part", "salt")
-    d = space.distance("", "n")
-    return (
-        left.join(right, ["part", "salt"])
-        .select("qid", "nid", d.alias("d"))
-        .where(F.col("d") <= F.lit(float(radius)))
-    )
+    return _near(left, right, space, radius).select("qid", "nid", "d")
 
 
 def nearest_first(pairs: DataFrame, n: int | None = None) -> DataFrame:
@@ -148,28 +177,39 @@ def range_limit_join(
 def pivot_prune_join(
     queries: DataFrame, points: DataFrame, radius: float, space: Space, pivots: Sequence[Sequence[float]]
 ) -> DataFrame:
-    """Range join that first compares the distances to shared pivots.
+    """Range join that first compares distances to the pivots.
 
-    The triangle inequality rules out a pair as soon as its two distances to
-    any pivot differ by more than the radius, without looking at the vectors.
+    By the triangle inequality, two points whose distances to a pivot differ by
+    more than the radius are no pair.  Rings of one radius around the home
+    pivot therefore are part of the join key; unless vectors are compared block
+    by block, the other pivots are looked at before the vectors themselves.
     """
-    route = PivotRoute(pivots, radius)
+    route, width = PivotRoute(pivots, radius), grid_width(radius)
     reach = radius * (1 + SLACK)
-    left = route.with_reach(space.project(queries, "id").withColumn("pd", route.distances(space)), space)
-    left = left.withColumn("part", F.explode("parts")).drop("parts").withColumnRenamed("id", "qid")
-    right = route.with_home(space.project(points, "id").withColumn("npd", route.distances(space)), space)
-    right = right.select("part", F.col("id").alias("nid"), "npd", *space.prefixed(right, "n"))
-    right, left = _salted(right, left, CHUNK_ROWS)
-    left, right = spread(left, "part", "salt"), spread(right, "part", "salt")
-    apart = None
-    for i in range(len(pivots)):
-        one = F.abs(F.get("pd", F.lit(i)) - F.get("npd", F.lit(i))) > F.lit(reach)
-        apart = one if apart is None else apart | one
-    d = space.distance("", "n")
+
+    def ring(distance: Column) -> Column:
+        return F.floor(distance / F.lit(width))
+
+    left = space.project(queries, F.col("id").alias("qid")).withColumn("pd", route.distances(space))
+    left = route.with_reach(left, space).withColumn("pivot", F.explode_outer("parts")).drop("parts")
+    mine = ring(F.get("pd", F.col("pivot").cast("int")))
+    left = left.withColumn("ring", F.explode_outer(F.sequence(mine - 1, mine + 1)))
+    left = left.withColumn("part", F.struct("pivot", "ring")).drop("pivot", "ring")
+    right = space.project(points, "id").withColumn("npd", route.distances(space))
+    right = route.with_home(right, space).withColumnRenamed("part", "pivot")
+    right = right.select(
+        F.struct("pivot", ring(F.get("npd", F.col("pivot").cast("int"))).alias("ring")).alias("part"),
+        F.col("id").alias("nid"), "npd", *space.prefixed(right, "n"),
+    )
+    apart = F.exists(F.zip_with("pd", "npd", lambda a, b: F.abs(a - b) > F.lit(reach)), lambda x: x)
+    if uses_blocks(space):
+        return _near(left.drop("pd"), right.drop("npd"), space, radius).select("qid", "nid", "d")
+    left, right, keys = _salted(left, right, space)
     return (
-        left.join(right, ["part", "salt"])
-        .where(F.when(apart, F.lit(False)).otherwise(d <= F.lit(float(radius))))
-        .select("qid", "nid", d.alias("d"))
+        left.join(right, keys)
+        .where(~apart)
+        .select("qid", "nid", space.distance("", "n").alias("d"))
+        .where(F.col("d") <= F.lit(float(radius)))
     )
 
 
@@ -204,26 +244,23 @@ def knn_join(
     stored = space.project(bounded, "id").withColumn("_pd", space.distances_to(pivots))
     stored = stored.select(
         nearest_pivot("_pd").alias("part"),
-        F.array_min("_pd").alias("npd"),
         F.col("id").alias("nid"),
         *space.prefixed(stored, "n"),
     )
     asked = space.project(queries, "id").withColumn("pd", space.distances_to(pivots))
     asked = asked.select(F.col("id").alias("qid"), nearest_pivot("pd").alias("home"), "pd", *space.coords())
 
-    def candidates(left: DataFrame, bound: Column | None) -> DataFrame:
-        right, left = _salted(stored, left, CHUNK_ROWS)
-        left, right = spread(left, "part", "salt"), spread(right, "part", "salt")
-        near = F.lit(True)
-        if bound is not None:
-            to_pivot = F.get("pd", F.col("part").cast("int"))
-            near = (bound.isNull()) | (F.abs(to_pivot - F.col("npd")) <= bound * (1 + SLACK))
+    def candidates(left: DataFrame) -> DataFrame:
+        """Pairs of the query's partition; from blocks only the nearest ones."""
+        pairs = _near(left, stored, space, limit=keep)
+        if "ub" in left.columns:
+            pairs = pairs.where(F.col("ub").isNull() | (F.col("d") <= F.col("ub")))
         if exclude_self:
-            near = near & (F.col("qid") != F.col("nid"))
-        joined = left.join(right, ["part", "salt"]).where(near)
-        return joined.select("qid", "nid", space.distance("", "n").alias("d"))
+            pairs = pairs.where(F.col("qid") != F.col("nid"))
+        return pairs.select("qid", "nid", "d")
 
-    local = nearest_first(candidates(asked.withColumn("part", F.col("home")), None), n)
+    own = asked.select("qid", F.col("home").alias("part"), *space.coords())
+    local = nearest_first(candidates(own), n)
     bounds = local.groupBy("qid").agg(
         F.max(F.when(F.col("rank") == n, F.col("d"))).alias("ub")
     )
@@ -246,5 +283,5 @@ def knn_join(
             )
         ),
     )
-    rest = candidates(others, F.col("ub"))
+    rest = candidates(others.select("qid", "part", "ub", *space.coords()))
     return nearest_first(local.select("qid", "nid", "d").unionByName(rest), n)

@@ -250,7 +250,7 @@ def assign(df: DataFrame, route: Route, space: Space) -> DataFrame:
     routed = route.with_reach(route.with_home(df, space), space)
     home = routed.withColumnRenamed("part", "_home")
     return (
-        home.withColumn("part", F.explode(F.array_distinct("parts")))
+        home.withColumn("part", F.explode_outer(F.array_distinct("parts")))
         .withColumn("is_home", F.col("part") == F.col("_home"))
         .drop("_home", "parts")
     )

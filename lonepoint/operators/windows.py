@@ -74,10 +74,10 @@ def interval_counts(histogram: DataFrame, n_radii: int, spans: Sequence[int]) ->
     first, last = F.greatest("sl", "nsl"), F.least("sl", "nsl") + F.col("m")
     change = lambda at, sign: F.struct(at.alias("at"), *[(F.col(c) * sign).alias(c) for c in names])
     changes = (
-        histogram.withColumn("w", F.explode(lengths))
+        histogram.withColumn("w", F.explode_outer(lengths))
         .select("id", "sl", "nsl", *names, "w.wi", "w.m")
         .where(F.abs(F.col("nsl") - F.col("sl")) < F.col("m"))
-        .select("id", "sl", "wi", "m", F.explode(F.array(change(first, 1), change(last, -1))).alias("x"))
+        .select("id", "sl", "wi", "m", F.explode_outer(F.array(change(first, 1), change(last, -1))).alias("x"))
         .select("id", "sl", "wi", "m", "x.*")
         .where(F.col("at") < F.col("sl") + F.col("m"))
     )
@@ -93,7 +93,7 @@ def interval_counts(histogram: DataFrame, n_radii: int, spans: Sequence[int]) ->
         )
         .where(F.col("prev").isNull() | (F.col("prev") != F.col("at")))
         .select(
-            "wi", F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("e"), "id", "sl",
+            "wi", F.explode_outer(F.sequence(F.col("at"), F.col("until") - 1)).alias("e"), "id", "sl",
             *[f"n{i}" for i in range(n_radii)],
         )
     )
@@ -105,8 +105,8 @@ def occupied_windows(pts: DataFrame, spans: Sequence[int]) -> DataFrame:
     return (
         pts.select("sl")
         .distinct()
-        .select("sl", F.explode(lengths).alias("w"))
-        .select(F.col("w.wi").alias("wi"), F.explode(F.sequence(F.col("sl"), F.col("sl") + F.col("w.m") - 1)).alias("e"))
+        .select("sl", F.explode_outer(lengths).alias("w"))
+        .select(F.col("w.wi").alias("wi"), F.explode_outer(F.sequence(F.col("sl"), F.col("sl") + F.col("w.m") - 1)).alias("e"))
     )
 
 
@@ -115,7 +115,7 @@ def window_population(pts: DataFrame, span: int) -> DataFrame:
     return (
         pts.groupBy("sl")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("e", F.explode(F.sequence(F.col("sl"), F.col("sl") + (span - 1))))
+        .withColumn("e", F.explode_outer(F.sequence(F.col("sl"), F.col("sl") + (span - 1))))
         .groupBy("e")
         .agg(
             F.sum("n").alias("n_points"),

@@ -280,7 +280,7 @@ def partition_outliers(
     homes = route.with_home(keyed_points(points, slide, space), space)
     flagged = counts.where(F.col("n0") <= k).select("e", "id")
     occupied = homes.select("part", "sl").distinct().select(
-        "part", F.explode(F.sequence(F.col("sl"), F.col("sl") + queries.spans[0] - 1)).alias("e")
+        "part", F.explode_outer(F.sequence(F.col("sl"), F.col("sl") + queries.spans[0] - 1)).alias("e")
     ).distinct()
     found = flagged.join(homes.select("id", "part"), "id").groupBy("part", "e").agg(
         F.count(F.lit(1)).alias("n_outliers")

@@ -77,7 +77,7 @@ def query_column(queries: QuerySet) -> Column:
 
 def with_queries(df: DataFrame, queries: QuerySet) -> DataFrame:
     """Each row once per query, without a join."""
-    return df.withColumn("q", F.explode(query_column(queries))).select(
+    return df.withColumn("q", F.explode_outer(query_column(queries))).select(
         *df.columns, "q.w", "q.s", "q.r", "q.k"
     )
 

@@ -50,7 +50,7 @@ def point_status(
     """
     m = window // slide
     safe, counted = _histories(points, window, slide, radius, k, space, route)
-    step = F.posexplode(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("j", "e")
+    step = F.posexplode_outer(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("j", "e")
     status = (
         F.when(F.expr(f"h[j + {m}] - h[{m - 1}]") > k, F.lit(SAFE))
         .when(F.expr(f"h[j + {m}] - h[j]") > k, F.lit(INLIER))
@@ -58,7 +58,7 @@ def point_status(
     )
     rows = counted.select("id", "h", step).select("e", "id", status.alias("status"))
     settled = safe.select(
-        F.explode(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("e"), "id", F.lit(SAFE).alias("status")
+        F.explode_outer(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("e"), "id", F.lit(SAFE).alias("status")
     )
     return rows.unionByName(settled)
 
@@ -95,7 +95,7 @@ def expiry_schedule(
     """
     m = window // slide
     _, counted = _histories(points, window, slide, radius, k, space, route)
-    step = F.posexplode(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("j", "e")
+    step = F.posexplode_outer(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("j", "e")
     inlier = F.expr(f"h[j + {m}] - h[{m - 1}] <= {k} and h[j + {m}] - h[j] > {k}")
     first_gone = F.expr(
         f"case when j < {m - 1} then "
