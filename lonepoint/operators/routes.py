@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import SLACK, Space, cell_index, grid_width, number_sql
+from ..functions.vectors import MAX_CELL, SLACK, Space, cell_index, grid_width, number_sql
 from .training import VantageTree
 
 # Published axis boundaries of the stock, gauss, tao and fc data
@@ -180,11 +180,22 @@ class BandRoute(Route):
 
 
 class VantageRoute(Route):
-    """Leaves of a balanced vantage-point tree built from a sample."""
+    """Leaves of a balanced vantage-point tree built from a sample.
 
-    def __init__(self, tree: VantageTree, radius: float):
+    With ``rings`` each leaf is split further into rings of one radius around
+    the vantage point above it, for data with many points per leaf.
+    """
+
+    def __init__(self, tree: VantageTree, radius: float, rings: bool = False):
         self.tree = tree
         self.reach = radius * (1 + SLACK)
+        self.rings = rings
+        self.width = grid_width(radius)
+
+    def _ring(self, leaf: str) -> str:
+        """Ring of a point around the vantage point above a leaf."""
+        vantage = f"_vd[cast(({leaf} + {len(self.tree.nodes) - 1}) div 2 as int)]"
+        return f"floor(least({vantage} / {number_sql(self.width)}, {number_sql(MAX_CELL)}))"
 
     def _measured(self, df: DataFrame, space: Space) -> DataFrame:
         # One array, not a column per node: the optimizer would otherwise derive
@@ -199,7 +210,10 @@ class VantageRoute(Route):
                 return f"{i - len(nodes)}L"
             return f"if(_vd[{i}] <= {number_sql(nodes[i][1])}, {walk(2 * i + 1)}, {walk(2 * i + 2)})"
 
-        return self._measured(df, space).withColumn("part", F.expr(walk(0))).drop("_vd")
+        df = self._measured(df, space).withColumn("part", F.expr(walk(0)))
+        if self.rings:
+            df = df.withColumn("part", F.expr(f"named_struct('leaf', part, 'ring', {self._ring('part')})"))
+        return df.drop("_vd")
 
     def with_reach(self, df, space):
         nodes = self.tree.nodes
@@ -214,7 +228,14 @@ class VantageRoute(Route):
             none = "cast(array() as array<bigint>)"
             return f"concat(if(_vd[{i}] <= {inner}, {closer}, {none}), if(_vd[{i}] > {outer}, {farther}, {none}))"
 
-        return self._measured(df, space).withColumn("parts", F.expr(walk(0))).drop("_vd")
+        df = self._measured(df, space).withColumn("parts", F.expr(walk(0)))
+        if self.rings:
+            ring = self._ring("l")
+            df = df.withColumn("parts", F.expr(
+                f"flatten(transform(parts, l -> transform(sequence({ring} - 1, {ring} + 1), "
+                "r -> named_struct('leaf', l, 'ring', r))))"
+            ))
+        return df.drop("_vd")
 
 
 class PivotRoute(Route):

@@ -85,7 +85,7 @@ def make_route(
         pivot = median_vector(sample_vectors(points, sample)).tolist()
         return HashRoute(parallelism, BandRoute(pivot, radius))
     if part == "metric":
-        return VantageRoute(train_vantage_tree(points, 16, sample), radius)
+        return VantageRoute(train_vantage_tree(points, 16, sample), radius, rings=True)
     if part == "pivot":
         return PivotRoute(train_pivots(points, 16, sample), radius)
     raise ValueError(f"unknown partitioning {part!r}")

@@ -458,7 +458,7 @@ def _(spark, sf):
 @query("range_join_vantage", f"{_TIMELINE_PAIRS} SELECT qid, nid, round(d, 6) AS d FROM pr")
 def _(spark, sf):
     pts = timeline(spark, sf)
-    route = VantageRoute(train_vantage_tree(pts, 16, random=True), 1.0)
+    route = VantageRoute(train_vantage_tree(pts, 16, random=True), 1.0, rings=True)
     return range_join(pts, pts, 1.0, D2, route).select("qid", "nid", F.round("d", 6).alias("d"))
 
 
@@ -521,7 +521,7 @@ query("grid_range_join", _TOTALS)(_totals(lambda pts: GridRoute(2.0)))
 query("bounds_range_join", _TOTALS)(_totals(lambda pts: BoundsRoute([BOUNDS], 2.0)))
 query("replicated_range_join", _TOTALS)(_totals(lambda pts: HashRoute(4, GridRoute(2.0))))
 query("banded_range_join", _TOTALS)(_totals(lambda pts: HashRoute(4, BandRoute([35.0], 2.0))))
-query("metric_range_join", _TOTALS)(_totals(lambda pts: VantageRoute(train_vantage_tree(pts, 16), 2.0)))
+query("metric_range_join", _TOTALS)(_totals(lambda pts: VantageRoute(train_vantage_tree(pts, 16), 2.0, rings=True)))
 
 
 # --- neighbour counts and lists -------------------------------------------
