@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,8 @@ class Space:
         """Array of each row's distances to some fixed vectors."""
         if self.flat:
             return F.expr(f"array({', '.join(self._root_sql(v) for v in vectors)})")
+        if self.metric is None and self.dims is not None:
+            return _distances_udf(vectors)(F.col("value"))
         fixed = F.expr(f"array({', '.join(_array_sql(v) for v in vectors)})")
         return F.transform(fixed, lambda v: self._arrays(F.col("value"), v))
 
@@ -151,6 +155,21 @@ class Space:
         return F.when(ok, F.transform(value, lambda x: F.floor(x / side)))
 
 
+def _distances_udf(vectors: Sequence[Sequence[float]]):
+    """Distances of long vectors to a few fixed ones, a batch of rows at a time."""
+    fixed = np.asarray(vectors, dtype=float)
+
+    @F.pandas_udf("array<double>")
+    def distances(values: pd.Series) -> pd.Series:
+        if not len(values):
+            return pd.Series([], dtype=object)
+        rows = np.stack(values.to_numpy()).astype(float)
+        columns = [np.sqrt(((rows - v) ** 2).sum(axis=1)) for v in fixed]
+        return pd.Series(list(np.stack(columns, axis=1)))
+
+    return distances
+
+
 def number_sql(x: float) -> str:
     """A double literal.  Long lists of fixed numbers go into plans as SQL text."""
     return f"({float(x)!r}D)"

@@ -24,6 +24,8 @@ from .training import train_pivots
 # Upper bound on the stored rows of one join key.
 CHUNK_ROWS = 1 << 20
 MIN_CHUNK = 64
+# A block join has a price per block, so its blocks may be longer than a window.
+MIN_BLOCK = 1 << 11
 
 
 def window_pairs(
@@ -51,7 +53,8 @@ def window_pairs(
     """
     route = route or GridRoute(radius)
     blocks = uses_blocks(space)
-    size = chunk or max(MIN_CHUNK, min(BLOCK_ROWS if blocks else CHUNK_ROWS, slide * span))
+    least, most = (MIN_BLOCK, BLOCK_ROWS) if blocks else (MIN_CHUNK, CHUNK_ROWS)
+    size = chunk or max(least, min(most, slide * span))
     if "first" not in probes.columns:
         probes = probes.withColumns({"first": F.col("sl") - (span - 1), "last": F.col("sl") + (span - 1)})
     reach = F.expr(f"sequence(first * {slide}L div {size}L, ((last + 1) * {slide}L - 1L) div {size}L)")

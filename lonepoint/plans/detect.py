@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.slides import slide_index
 from ..functions.vectors import Space
 from ..operators.density import unsettled_points
-from ..operators.joins import window_pairs
+from ..operators.joins import uses_blocks, window_pairs
 from ..operators.neighbours import trim_histogram
 from ..operators.routes import BandRoute, BoundsRoute, GridRoute, HashRoute, PivotRoute, Route, VantageRoute
 from ..operators.training import median_vector, sample_vectors, train_pivots, train_vantage_tree
@@ -85,7 +85,7 @@ def make_route(
         pivot = median_vector(sample_vectors(points, sample)).tolist()
         return HashRoute(parallelism, BandRoute(pivot, radius))
     if part == "metric":
-        return VantageRoute(train_vantage_tree(points, 16, sample), radius, rings=True)
+        return VantageRoute(train_vantage_tree(points, 16, sample), radius, rings=not uses_blocks(space))
     if part == "pivot":
         return PivotRoute(train_pivots(points, 16, sample), radius)
     raise ValueError(f"unknown partitioning {part!r}")
