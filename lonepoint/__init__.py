@@ -1,0 +1 @@
+"""Distance-based outlier detection over sliding windows, as Spark plans."""

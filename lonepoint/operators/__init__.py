@@ -1,0 +1 @@
+"""Building blocks: partitioning, similarity joins, neighbour lists, windows."""

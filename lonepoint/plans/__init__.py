@@ -1,0 +1 @@
+"""Complete queries built from the operators."""

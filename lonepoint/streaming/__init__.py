@@ -1,0 +1 @@
+"""The same reports over streams."""
