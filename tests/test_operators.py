@@ -153,6 +153,21 @@ def test_near_pairs_tiles(monkeypatch):
         assert set(np.argsort(d[q])[:3]) <= set(j[i == q])
 
 
+def test_functions_ship_by_value(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(near_pairs))
+    code = (
+        "import pickle, numpy as np; f = pickle.load(open('f.pkl', 'rb')); "
+        "print(len(f(np.zeros((2, 9)), np.zeros((3, 9)), 1.0, None)[0]))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "6"
+
+
 def test_histogram_with_copies(spark):
     points = crowd(90, 1, seed=41)
     pts = keyed_points(frame(spark, points), 10, Space(1))
