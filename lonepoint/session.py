@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +22,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """Fresh folder for written tables under the cluster's checkpoint folder.
+    """Fresh folder for written tables, in a place that all executors share.
 
-    Only a local session without ``spark.checkpoint.dir`` falls back to a
-    temporary folder of the machine.
+    ``spark.checkpoint.dir`` names the place; where it is unset, the warehouse,
+    which executors share as well, has a folder for it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{name}-{_token()}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"lonepoint-{name}-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _token() -> str:
-    import uuid
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read from there.
 
-    return uuid.uuid4().hex[:12]
+    What is built on the result starts from files, so a lost executor costs
+    the tasks it ran and not the steps before.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
