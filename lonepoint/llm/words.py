@@ -18,6 +18,7 @@ PIECE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_OTHER = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FACTOR = 0x9E3779B97F4A7C15 | 5
@@ -75,15 +76,16 @@ class Words:
     """Words of a batch of texts.
 
     ``start`` and ``end`` are byte positions, ``doc`` the text of each word, and the words of text
-    ``d`` are those from ``first[d]`` to ``first[d + 1]``.
+    ``d`` are those from ``first[d]`` to ``first[d + 1]``.  With ``bare`` set, all ASCII characters other
+    than letters and digits separate words.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, bare: bool = False):
         self.data, self.offsets = text_bytes(column)
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = ~(_OTHER if bare else _SPACE)[self.data]
         cut = np.zeros(n + 1, bool)
         cut[self.offsets] = True
         begins, stops = inside.copy(), inside.copy()
@@ -111,8 +113,9 @@ class Words:
         filled = self.offsets[:-1][np.diff(self.offsets) > 0]
         starts = np.union1d(filled, breaks + 1)
         starts = starts[starts < len(self.data)]
-        stops = np.union1d(breaks, self.offsets[1:][np.diff(self.offsets) > 0])
-        return starts, stops[np.searchsorted(stops, starts)]
+        stops = self.offsets[np.searchsorted(self.offsets, starts, "right")]
+        following = np.append(breaks, len(self.data))[np.searchsorted(breaks, starts)]
+        return starts, np.minimum(stops, following)
 
     def byte_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return span_hashes(_BYTE[self.data], starts, ends)

@@ -4,19 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lonepoint.llm import url_filters
 from lonepoint.llm.near_dedup import near_duplicates
+from lonepoint.llm.quality import quality
+from lonepoint.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return url_filters.url_verdicts(pages, url_filters.RULES, url_filters.repeated_urls(pages))
+
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op6_minhash": op6_minhash,
+    "op9_url_filters": op9_url_filters,
+    "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_url_filters": url_filters.ORACLE,
+}
