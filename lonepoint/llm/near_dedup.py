@@ -4,23 +4,26 @@
    two permutations of a 32-bit circle: the first places the shingles, the second, shifted by ``k``
    places, ranks them for coordinate ``k``.
 2. Copies of a set collapse to one node by a digest, before anything is banded.
-3. Nodes that share a band go on.  In each bucket the smallest node is compared with the others, a
-   number of pairs linear in the bucket, and confirmed links give components.
-4. What may still be linked across components is found exactly, without pairing up buckets: two sets
-   with the wanted similarity share a shingle among the few rarest of each.  Shingles that lie in one
-   component only count as rarest, so a crowd of copies with edits of their own makes no pairs.
+3. In each bucket the smallest node is compared with the others, a number of pairs linear in the bucket,
+   and confirmed links give first components.
+4. Buckets that still hold several components are searched whole.  In small ones the pairs across
+   components go to the comparison if their 128 sketch bits allow the similarity.  Large ones make up
+   crowds, which are compared block against block inside the tasks: only links leave a task, at most as
+   many as it has nodes.
 
 All comparisons end in an exact count on the full sets.  With 48 bands of 5, two sets of similarity 0.75
-meet in no band with a chance of 2e-6.
+meet in no band with a chance of 2e-6, and the sketch hides them with one of 1e-7.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonepoint.llm.components import components
@@ -31,6 +34,12 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 48
 ROWS = 5
+SKETCH_BITS = 128
+#: Buckets up to this size make pairs, at most half as many for each node; larger ones make crowds.
+SMALL_BUCKET = 32
+#: Nodes of one block of a crowd, and shingles counted at once.
+BLOCK = 512
+COLUMNS = 4096
 
 _CHUNK = 256
 
@@ -90,18 +99,23 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` of the set (null if empty) and a key for each band."""
+    """``doc_id``, ``n_shingles``, ``digest`` of the set (null if empty), a key for each band, sketch bits."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digests, keys = [], [], []
+        counts, digests, keys, sketches = [], [], [], []
         weights = powers(0x9E3779B97F4A7C15, rows + 1)[1 : rows + 1]
         for found in _sets(piece.column(1), width):
             counts.append(len(found))
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             if len(found):
-                least = signature(found, bands * rows).reshape(bands, rows).astype(np.uint64)
-                keys.append(mix((least * weights).sum(1)).view(np.int64))
+                least = signature(found, max(bands * rows, SKETCH_BITS))
+                bits = np.packbits((least[:SKETCH_BITS] >> np.uint32(7) & np.uint32(1)).astype(np.uint8))
+                sketches.append(bits.view(np.int64))
+                least = least[: bands * rows].reshape(bands, rows).astype(np.uint64)
+                number = np.arange(bands, dtype=np.uint64) << np.uint64(32)
+                keys.append(mix((least * weights).sum(1) + number).view(np.int64))
             else:
+                sketches.append(np.zeros(2, np.int64))
                 keys.append(np.zeros(0, np.int64))
         at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
@@ -110,15 +124,16 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows
                 pa.array(counts, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys))),
+                *[pa.array(x) for x in np.array(sketches).T],
             ],
-            ["doc_id", "n_shingles", "digest", "bands"],
+            ["doc_id", "n_shingles", "digest", "bands", "s1", "s2"],
         )
 
     return map_texts(
         docs.select("doc_id", "text"),
         "text",
         run,
-        "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>",
+        "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, s1 bigint, s2 bigint",
     )
 
 
@@ -136,42 +151,109 @@ def _similar_sizes(percent: int):
     return F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
 
 
-def _rest(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a shingle among the rarest of both."""
-    nodes = sets.join(labels, "node", "left").select(
-        "node",
-        "set",
-        F.coalesce("component", "node").alias("component"),
-        F.size("shingles").cast("long").alias("n"),
-        "shingles",
+def sketch_limit(percent: int) -> int:
+    """Different sketch bits that a pair of the wanted similarity stays within: mean and 5.5 deviations."""
+    share = (100 - percent) / 200
+    return math.floor(SKETCH_BITS * share + 5.5 * math.sqrt(SKETCH_BITS * share * (1 - share)))
+
+
+def _links_in_block(percent: int):
+    """Exact links between nodes of different components among the rows of one group."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        nodes, parts, sides = (group[c].to_numpy() for c in ("node", "component", "side"))
+        found: list[tuple[int, int]] = []
+        if len(set(parts)) > 1:
+            sizes = group["shingles"].map(len).to_numpy()
+            row = np.repeat(np.arange(len(nodes)), sizes)
+            values, column, holders = np.unique(
+                np.concatenate(group["shingles"].tolist()), return_inverse=True, return_counts=True
+            )
+            place = np.cumsum(holders > 1) - 1
+            shared = holders[column] > 1
+            row, column = row[shared], place[column[shared]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            common = np.zeros((len(nodes), len(nodes)), np.float32)
+            for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+                part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+                held = np.zeros((len(nodes), COLUMNS), np.float32)
+                held[row[part], column[part] - low] = 1
+                common += held @ held.T
+            near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+            near &= parts[:, None] != parts[None, :]
+            if len(set(sides)) > 1:
+                near &= sides[:, None] != sides[None, :]
+            # One link for each pair of components is enough.
+            told = set()
+            for i, j in zip(*np.nonzero(np.triu(near, 1))):
+                pair = min(parts[i], parts[j]), max(parts[i], parts[j])
+                if pair not in told:
+                    told.add(pair)
+                    found.append((nodes[i], nodes[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside each crowd, by blocks of at most about ``BLOCK`` nodes.
+
+    Nodes of one large component share blocks, so that blocks without anything to find end at once.
+    """
+    by_part = crowds.groupBy("crowd", "component").agg(F.count("*").alias("size"))
+    by_part = by_part.withColumn("own", F.col("size") >= BLOCK)
+    pool = F.when(F.col("own"), F.col("component")).otherwise(F.lit(-1)).alias("pool")
+    pools = by_part.select("crowd", "size", pool).groupBy("crowd", "pool").agg(F.sum("size").alias("size"))
+    pools = pools.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    w = Window.partitionBy("crowd").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)
+    pools = pools.withColumn("first", F.coalesce(F.sum("blocks").over(w), F.lit(0)))
+    total = Window.partitionBy("crowd")
+    pools = pools.withColumn("all", F.sum("blocks").over(total)).drop("size")
+    placed = (
+        crowds.join(by_part.select("crowd", "component", pool), ["crowd", "component"])
+        .join(pools, ["crowd", "pool"])
+        .withColumn("side", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.expr("sequence(0, all - 1)")))
+        .select("crowd", "node", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
     )
-    held = nodes.select("node", "set", "component", "n", F.explode("shingles").alias("shingle"))
-    across = (
-        held.groupBy("shingle")
-        .agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = placed.join(sets.select("node", "shingles"), "node")
+    return blocks.groupBy("crowd", "low", "high").applyInPandas(_links_in_block(percent), "a bigint, b bigint")
+
+
+def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in buckets that hold several."""
+    named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "named")
+    several = (
+        named.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
         .where("low <> high")
-        .select("shingle", "holders")
+        .select("bucket", "size")
     )
-    # n - ceil(n * percent / 100) + 1 of the rarest; what one component has to itself comes first.
-    room = F.expr(f"n - (n * {percent} + 99) div 100 + 1 - (n - size(shared))")
-    rare = (
-        held.join(across, "shingle")
-        .groupBy("node", "set", "component", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("shared"))
-        .withColumn("room", room.cast("int"))
-        .where("room > 0")
-        .select("node", "component", "n", F.explode(F.expr("slice(shared, 1, room)")).alias("s"))
-        .select("node", "component", "n", F.col("s.shingle").alias("shingle"))
+    mixed = written(named.join(several, "bucket"), "mixed")
+    large = mixed.where(F.col("size") > SMALL_BUCKET)
+    crowds = components(large.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    crowds = written(
+        crowds.withColumnRenamed("component", "crowd").join(mixed.select("node", "component").distinct(), "node"), "crowds"
     )
-    rare = written(rare, "rare")
-    left = rare.select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = rare.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return (
-        left.join(right, "shingle")
+    rows = mixed.join(crowds.select("node", "crowd"), "node", "left")
+    side = lambda x: rows.where(F.col("size") <= SMALL_BUCKET).select(
+        "bucket",
+        F.col("node").alias(x),
+        *[F.col(c).alias(f"{n}{x}") for c, n in (("n", "n"), ("component", "c"), ("crowd", "g"), ("s1", "s"), ("s2", "t"))],
+    )
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
+    pairs = (
+        side("a")
+        .join(side("b"), "bucket")
         .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes(percent))
+        .where((apart <= sketch_limit(percent)) & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False)))
         .select("a", "b")
         .distinct()
     )
+    return _confirmed(pairs, sets, percent).union(_crowd_links(crowds, sets, percent))
 
 
 def near_duplicates(
@@ -186,37 +268,28 @@ def near_duplicates(
     """
     prints = written(fingerprints(docs, width, bands, rows), "fingerprints")
     whole = prints.where("digest is not null and doc_id is not null")
-    nodes = written(
-        whole.groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-        ),
-        "nodes",
-    )
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    first = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("bands", "bands"), ("s1", "s1"), ("s2", "s2"))]
+    nodes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), *first), "nodes")
+    members = nodes.select("node", "n", "s1", "s2", F.explode("bands").alias("bucket"))
     hubs = (
-        members.groupBy("band", "key")
-        .agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("band", "key", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
-    )
-    met = written(
-        members.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
-        .join(hubs, ["band", "key"])
-        .select("a", "na", "b", "nb")
-        .distinct(),
-        "met",
+        members.groupBy("bucket")
+        .agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count("*").alias("met"))
+        .where("met > 1")
+        .drop("met")
     )
-    asked = met.select(F.col("a").alias("doc_id")).distinct()
+    shared = written(members.join(hubs, "bucket"), "shared")
+    asked = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = written(
         shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), width)
         .groupBy(F.col("doc_id").alias("node"), F.xxhash64("shingles").alias("set"))
         .agg(F.first("shingles").alias("shingles")),
         "sets",
     )
-    star = met.where("a <> b").where(_similar_sizes(percent)).select("a", "b")
+    met = shared.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub").alias("b"), F.col("hub_n").alias("nb"))
+    star = met.where("a <> b").where(_similar_sizes(percent)).select("a", "b").distinct()
     links = written(_confirmed(star, sets, percent), "links")
     labels = written(components(links), "labels")
-    more = _confirmed(_rest(sets, labels, percent), sets, percent)
+    more = _rest(shared, labels, sets, percent)
     # Different texts under one doc_id tie their nodes together.
     several = whole.groupBy("doc_id").agg(F.count_distinct("digest").alias("texts")).where("texts > 1")
     same = (
