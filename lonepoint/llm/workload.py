@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lonepoint.llm import url_filters
+from lonepoint.llm.mixing import mix
 from lonepoint.llm.near_dedup import near_duplicates
+from lonepoint.llm.pii import find_pii
 from lonepoint.llm.quality import quality
 from lonepoint.llm.toxicity import toxicity
 
@@ -18,10 +20,18 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return find_pii(table(spark, sf, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     return url_filters.url_verdicts(pages, url_filters.RULES, url_filters.repeated_urls(pages))
@@ -33,7 +43,9 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_pii": op4_pii,
     "op6_minhash": op6_minhash,
+    "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_quality": op10_quality,
 }
