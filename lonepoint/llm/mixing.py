@@ -50,7 +50,7 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """``source, source_size, target, copies, groups``: one row per source, of which there are few."""
+    """``goal_source, source_size, target, ratio, groups``: one row per source, of which there are few."""
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"]))
     sizes = [r["size"] for r in found]
@@ -66,7 +66,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
         for r, goal in zip(found, goals)
     ]
     return sized.sparkSession.createDataFrame(
-        rows, "source string, source_size bigint, target double, copies double, groups bigint"
+        rows, "goal_source string, source_size bigint, target double, ratio double, groups bigint"
     )
 
 
@@ -113,8 +113,8 @@ def copies_by_document(sized: DataFrame, goals: DataFrame, seed: int = 0) -> Dat
             "source",
             "size",
             (F.col("size") * F.col("rows")).cast("double").alias("weight"),
-            F.floor("copies").cast("int").alias("whole"),
-            (F.col("copies") - F.floor("copies")).alias("share"),
+            F.floor("ratio").cast("int").alias("whole"),
+            (F.col("ratio") - F.floor("ratio")).alias("share"),
             F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("groups")).alias("bin"),
             "groups",
         )
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     ``text`` and ``source`` are read.
     """
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mixing-sizes")
-    goals = source_targets(sized).withColumnRenamed("source", "goal_source")
+    goals = source_targets(sized)
     made = copies_by_document(sized, goals, seed)
     return (
         with_copies(sized, made)
@@ -174,7 +174,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = written(sized, "mixing-sizes")
-    goals = source_targets(sized).withColumnRenamed("source", "goal_source")
+    goals = source_targets(sized)
     made = copies_by_document(sized, goals, seed).where("copies > 0")
     key = made.select(
         F.col("doc_id").alias("_id"),

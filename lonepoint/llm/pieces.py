@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import re
 import struct
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +21,16 @@ from lonepoint.llm.words import map_texts
 
 MARK = "▁"
 #: Remembered chunks of a task; beyond that the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 400_000
+#: Longest chunk that is merged in a table with others.
+WIDEST = 32
 
 _MARK = MARK.encode()
+#: Ids as text, what they decode to, and the length of each piece's output, one byte each.
+Chunk = tuple[str, bytes, bytes]
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _BPE = 2
+_NEVER = 1 << 40
 
 
 def _fields(data: bytes):
@@ -129,11 +133,35 @@ class PieceModel:
             raise ValueError("only BPE models with byte fallback and leading space marks are supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of the model has a space mark inside")
+        self.id_text = [str(i) for i in range(len(self.output))]
+        self.plain = [len(o) for o in self.output]
+        self._tabulate()
+        self.marks = np.zeros(len(self.output), np.int64)
+        for piece, index in self.ids.items():
+            self.marks[index] = piece.count(MARK)
         self.chars = CharMap(charmap)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "" if "\n" in joined else "\n"
         self.chunks = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|{alone}" if alone else ""))
-        self.memory: dict[str, tuple[str, int, bytes, tuple[int, ...], tuple[int, ...]]] = {}
+        self.memory: dict[str, Chunk] = {}
+
+    def _tabulate(self) -> None:
+        """Tables of single characters and of all pairs of pieces that make a piece."""
+        singles = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
+        self.char_ids = np.full(max(singles, default=0) + 1, -1, np.int64)
+        self.char_ids[list(singles)] = list(singles.values())
+        order = sorted({s for s in self.scores.values()}, reverse=True)
+        rank = {s: i for i, s in enumerate(order)}
+        pairs = {}
+        for piece, index in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left * len(self.output) + right] = rank[self.scores[piece]], index
+        keys = sorted(pairs) or [-1]
+        self.pair_keys = np.array(keys, np.int64)
+        self.pair_ranks = np.array([pairs.get(k, (_NEVER, 0))[0] for k in keys], np.int64)
+        self.pair_ids = np.array([pairs.get(k, (_NEVER, 0))[1] for k in keys], np.int64)
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """Normalised text, and for each of its bytes, and its end, the byte of the source it comes from."""
@@ -144,22 +172,25 @@ class PieceModel:
             if found is None:
                 width = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
                 found = width, data[at : at + width]
-            steps.append((at, found[1]))
+            steps.append((at, *found))
             at += found[0]
+        first = 0
+        while self.squeeze and first < len(steps) and steps[first][2] == b" ":
+            first += 1
         out, places = bytearray(), []
-        space = self.squeeze
-        for start, (at, made) in enumerate(steps):
-            if self.squeeze and space:
+        if self.prefix and first < len(steps):
+            out += _MARK
+            places += [steps[first][0]] * 3
+        after_space = self.squeeze
+        for at, width, made in steps[first:]:
+            if after_space:
                 made = made.lstrip(b" ")
-            if not made:
-                continue
-            if not out and self.prefix:
-                out += _MARK
-                places += [at] * 3
-            space = made.endswith(b" ")
-            made = made.replace(b" ", _MARK)
-            out += made
-            places += [at] * len(made) if len(made) != _width(steps, start, len(data)) else range(at, at + len(made))
+            if made:
+                after_space = self.squeeze and made.endswith(b" ")
+                same = made == data[at : at + width] and made != b" "
+                made = made.replace(b" ", _MARK)
+                out += made
+                places += range(at, at + len(made)) if same else [at] * len(made)
         end = len(data)
         while self.squeeze and out.endswith(_MARK):
             end = places[-3]
@@ -212,98 +243,215 @@ class PieceModel:
             offer(i, right[i])
         return [p for p in parts if p]
 
-    def encode_chunk(self, chunk: str) -> tuple[str, int, bytes, tuple[int, ...], tuple[int, ...]]:
-        """Ids as text, their number, what they decode to, their bytes of normalised text, and the ids."""
-        known = self.memory.get(chunk)
-        if known is None:
-            ids, sizes = [], []
-            for part in self.merged(chunk):
-                index = self.ids.get(part)
-                raw = part.encode()
-                if index is None:
-                    ids += [self.byte_ids[b] for b in raw]
-                    sizes += [1] * len(raw)
-                else:
-                    ids.append(index)
-                    sizes.append(len(raw))
-            known = ",".join(map(str, ids)), len(ids), b"".join(map(self.output.__getitem__, ids)), tuple(sizes), tuple(ids)
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[chunk] = known
-        return known
-
-    def encode(self, text: str) -> Encoding:
-        if not text:
-            return Encoding(self, [], None)
-        if self.chars.units or self.squeeze or MARK in text:
-            normal, places = self.normalise(text)
-        else:
-            # Nothing is replaced but spaces, so places follow from the marks alone.
-            normal, places = (MARK if self.prefix else "") + text.replace(" ", MARK), None
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks and remember them; short ones of known characters are merged all at once."""
+        lengths = np.array([len(c) for c in chunks])
+        symbols = self._symbols("".join(chunks))
+        ends = np.cumsum(lengths)
+        unknown = np.concatenate([[0], np.cumsum(symbols < 0)])
+        plain = (lengths <= WIDEST) & (unknown[ends] == unknown[ends - lengths])
+        for i in np.flatnonzero(~plain).tolist():
+            self.memory[chunks[i]] = self._with_bytes(self.merged(chunks[i]))
+        rows = np.flatnonzero(plain)
+        if not len(rows):
+            return
+        # Rows of like length share a table.
+        rows = rows[np.argsort(lengths[rows], kind="stable")]
+        for part in np.split(rows, np.searchsorted(lengths[rows], [9, 13, 17, 25])):
+            if len(part):
+                width = int(lengths[part[-1]])
+                at = (ends - lengths)[part][:, None] + np.arange(width)
+                table = np.where(np.arange(width) < lengths[part][:, None], symbols[np.minimum(at, len(symbols) - 1)], -1)
+                self._merge_table(table)
+                counts = (table >= 0).sum(1).tolist()
+                for i, n, ids in zip(part.tolist(), counts, table.tolist()):
+                    ids = ids[:n]
+                    text = ",".join([self.id_text[x] for x in ids])
+                    raw = chunks[i].replace(MARK, " ").encode()
+                    self.memory[chunks[i]] = text, raw, bytes([self.plain[x] for x in ids])
+
+    def _symbols(self, text: str) -> np.ndarray:
+        """The piece of each character, or -1."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(codes < len(self.char_ids), self.char_ids[np.minimum(codes, len(self.char_ids) - 1)], -1)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair among the merges, best first, and the piece it makes."""
+        keys = left.astype(np.int64) * len(self.output) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(known, self.pair_ranks[at], _NEVER), self.pair_ids[at]
+
+    def _merge_table(self, table: np.ndarray) -> None:
+        """Merge the rows of a table of symbols in place; each round takes every row's best, leftmost pair."""
+        if table.shape[1] < 2:
+            return
+        ranks, made = self._ranks(table[:, :-1], table[:, 1:])
+        places = np.arange(table.shape[1])
+        active = np.arange(len(table))
+        while True:
+            best = ranks[active].argmin(1)
+            go = ranks[active, best] < _NEVER
+            active, best = active[go], best[go]
+            if not len(active):
+                return
+            table[active, best] = made[active, best]
+            # What stands after the merged pair moves one place to the left.
+            shifted = np.minimum(places + (places > best[:, None]), len(places) - 1)
+            rows = table[active[:, None], shifted]
+            rows[:, -1] = -1
+            table[active] = rows
+            shifted = np.minimum(places[:-1] + (places[:-1] >= best[:, None]), len(places) - 2)
+            moved, moved_made = ranks[active[:, None], shifted], made[active[:, None], shifted]
+            moved[:, -1] = _NEVER
+            line = np.arange(len(active))
+            for side in (best - 1, best):
+                inside = (side >= 0) & (side < len(places) - 1)
+                a, b = line[inside], side[inside]
+                moved[a, b], moved_made[a, b] = self._ranks(rows[a, b], rows[a, b + 1])
+            ranks[active], made[active] = moved, moved_made
+
+    def _with_bytes(self, parts: list[str]) -> Chunk:
+        """A chunk in which characters without a piece become their bytes."""
+        ids, sizes = [], []
+        for part in parts:
+            index = self.ids.get(part)
+            made = [index] if index is not None else [self.byte_ids[b] for b in part.encode()]
+            ids += made
+            sizes += [len(self.output[i]) for i in made]
+        return ",".join(map(str, ids)), b"".join([self.output[i] for i in ids]), bytes(sizes)
+
+    def encode_all(self, texts: list[str | None]) -> list[Encoding]:
+        split = []
+        for text in texts:
+            places = None
+            if not text:
+                normal = ""
+            elif self.chars.units or self.squeeze or MARK in text:
+                normal, places = self.normalise(text)
+            else:
+                # Nothing is replaced but spaces, so places follow from the marks alone.
+                normal = (MARK if self.prefix else "") + text.replace(" ", MARK)
+            split.append((self.chunks.findall(normal), places))
+        if len(self.memory) >= REMEMBERED:
+            self.memory.clear()
         memory = self.memory
-        found = []
-        for chunk in self.chunks.findall(normal):
-            known = memory.get(chunk)
-            found.append(known if known is not None else self.encode_chunk(chunk))
-        return Encoding(self, found, places)
+        new = {c for chunks, _ in split for c in chunks if c not in memory}
+        if new:
+            self.learn(list(new))
+        return [Encoding(self, [memory[c] for c in chunks], places) for chunks, places in split]
+
+    def encode(self, text: str | None) -> Encoding:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; the space of the first mark goes, bytes that make no character are replaced."""
-        return self._finished(b"".join(self.output[i] for i in ids))
+        return self.finished(b"".join(self.output[i] for i in ids))
 
-    def _finished(self, raw: bytes) -> str:
+    def finished(self, raw: bytes) -> str:
         if self.prefix or self.squeeze:
             raw = raw.lstrip(b" ") if self.squeeze else raw.removeprefix(b" ")
         return raw.decode(errors="replace")
 
 
-def _width(steps: list, index: int, end: int) -> int:
-    return (steps[index + 1][0] if index + 1 < len(steps) else end) - steps[index][0]
-
-
 class Encoding:
     """Pieces of one text: ids, byte spans in the source, and the decoded text."""
 
-    def __init__(self, model: PieceModel, chunks: list, places: list[int] | None):
+    def __init__(self, model: PieceModel, chunks: list[Chunk], places: list[int] | None):
         self.model, self.chunks, self.places = model, chunks, places
 
     def ids(self) -> list[int]:
-        return [i for c in self.chunks for i in c[4]]
+        return [int(i) for i in self.ids_text().split(",")] if self.chunks else []
 
     def ids_text(self) -> str:
         return ",".join([c[0] for c in self.chunks])
 
     def count(self) -> int:
-        return sum([c[1] for c in self.chunks])
+        return sum([len(c[2]) for c in self.chunks])
 
     def decoded(self) -> str:
-        return self.model._finished(b"".join([c[2] for c in self.chunks]))
+        return self.model.finished(b"".join([c[1] for c in self.chunks]))
 
     def ends(self) -> np.ndarray:
         """End of every piece in the source's bytes; a piece starts where the one before it ends."""
-        sizes: list[int] = []
-        if self.places is not None:
-            for c in self.chunks:
-                sizes.extend(c[3])
-            ends = np.cumsum(np.array(sizes, np.int64))
-            return np.array(self.places, np.int64)[ends] if len(ends) else ends
-        # A mark has three bytes and stands for one; the first stands for none.
-        marks: list[int] = []
-        for c in self.chunks:
-            sizes.extend(c[3])
-            marks.extend(_marks(c, self.model))
-        ends = np.cumsum(np.array(sizes, np.int64) - 2 * np.array(marks, np.int64))
-        return ends - 1 if self.model.prefix else ends
-
-
-def _marks(chunk: tuple, model: PieceModel) -> list[int]:
-    return [len(p) - len(p.lstrip(b" ")) if i not in model._bytes() else 0 for i, p in ((i, model.output[i]) for i in chunk[4])]
-
-
-def starts(ends: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-
-
-def piece_at(ends: np.ndarray, byte: int) -> int:
-    """Index of the piece that covers a byte of the source."""
-    return bisect_right(ends.tolist(), byte)
+        sizes = np.frombuffer(b"".join([c[2] for c in self.chunks]), np.uint8).astype(np.int64)
+        if self.places is None:
+            # The mark before the text stands for no byte of it.
+            return np.cumsum(sizes) - (1 if self.model.prefix and len(sizes) else 0)
+        # Marks have three bytes in the normalised text and one in the output.
+        marks = self.model.marks[np.array(self.ids(), np.int64)] if len(sizes) else sizes
+        return np.array(self.places, np.int64)[np.cumsum(sizes + 2 * marks)]
+
+
+def encode(docs: DataFrame, model: bytes) -> DataFrame:
+    """``doc_id, ids, ends`` for every row: pieces and the source byte at which each ends.
+
+    A null or empty text has no pieces.  Repeated rows are encoded alike, an empty table gives no rows.
+    Only ``doc_id`` and ``text`` are read; ``model`` is the content of a model file.
+    """
+
+    def run(pieces: PieceModel, piece: pa.RecordBatch) -> pa.RecordBatch:
+        made = pieces.encode_all(piece.column(1).to_pylist())
+        ids, ends = ([np.array(x, np.int64) for x in y] for y in ([m.ids() for m in made], [m.ends() for m in made]))
+        at = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [
+                piece.column(0),
+                pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids).astype(np.int32))),
+                pa.ListArray.from_arrays(at, pa.array(np.concatenate(ends))),
+            ],
+            ["doc_id", "ids", "ends"],
+        )
+
+    return _with_model(docs.select("doc_id", "text"), model, run, "doc_id bigint, ids array<int>, ends array<bigint>")
+
+
+def decode(encoded: DataFrame, model: bytes) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, ids``; no ids, or null, give an empty text."""
+
+    def run(batches):
+        pieces = PieceModel(model)
+        for batch in batches:
+            texts = [pieces.decode(x or []) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
+def encode_digests(docs: DataFrame, model: bytes) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256``: digests of what ``encode`` and ``decode`` make.
+
+    ``spans_sha256`` is over the pieces' ends as 64-bit little-endian integers.  Rows as in ``encode``.
+    """
+
+    def run(pieces: PieceModel, piece: pa.RecordBatch) -> pa.RecordBatch:
+        columns: tuple[list, ...] = ([], [], [], [])
+        for made in pieces.encode_all(piece.column(1).to_pylist()):
+            columns[0].append(made.count())
+            columns[1].append(hashlib.sha256(made.ids_text().encode()).hexdigest())
+            columns[2].append(hashlib.sha256(made.decoded().encode()).hexdigest())
+            columns[3].append(hashlib.sha256(made.ends().astype("<i8").tobytes()).hexdigest())
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [piece.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
+        )
+
+    return _with_model(
+        docs.select("doc_id", "text"),
+        model,
+        run,
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string",
+    )
+
+
+def _with_model(docs: DataFrame, model: bytes, function, schema: str) -> DataFrame:
+    """Apply ``function(model, rows)`` to bounded pieces; the model is read once per task."""
+    loaded: list[PieceModel] = []
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        if not loaded:
+            loaded.append(PieceModel(model))
+        return function(loaded[0], piece)
+
+    return map_texts(docs, "text", run, schema)

@@ -8,6 +8,7 @@ from lonepoint.llm import url_filters
 from lonepoint.llm.mixing import mix
 from lonepoint.llm.near_dedup import near_duplicates
 from lonepoint.llm.pii import find_pii
+from lonepoint.llm.pieces import encode_digests
 from lonepoint.llm.quality import quality
 from lonepoint.llm.toxicity import toxicity
 
@@ -20,6 +21,20 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def piece_model(file: str | None = None) -> bytes:
+    """Content of a SentencePiece model file, by default the public 32k BPE model."""
+    if file is None:
+        import public_tokenizers
+
+        file = public_tokenizers.path("piece_bpe_32k.model")
+    with open(file, "rb") as f:
+        return f.read()
+
+
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_digests(table(spark, sf, "documents"), piece_model())
+
+
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     return find_pii(table(spark, sf, "documents"))
 
@@ -43,6 +58,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_pii": op4_pii,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
