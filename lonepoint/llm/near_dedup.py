@@ -144,7 +144,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - F.col("common")
-    return both.withColumn("common", common).where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b").distinct()
+    return both.withColumn("common", common).where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b")
 
 
 def _similar_sizes(percent: int):
