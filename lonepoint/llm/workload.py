@@ -10,6 +10,7 @@ from lonepoint.llm.near_dedup import near_duplicates
 from lonepoint.llm.pii import find_pii
 from lonepoint.llm.pieces import encode_digests
 from lonepoint.llm.quality import quality
+from lonepoint.llm.substring_dedup import without_repeats
 from lonepoint.llm.toxicity import toxicity
 
 
@@ -43,6 +44,10 @@ def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeats(table(spark, sf, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_pii": op4_pii,
     "op6_minhash": op6_minhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_quality": op10_quality,
