@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lonepoint.llm import url_filters
+from lonepoint.llm import chat, topk, url_filters
 from lonepoint.llm.mixing import mix
 from lonepoint.llm.near_dedup import near_duplicates
 from lonepoint.llm.pii import find_pii
@@ -36,10 +36,18 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return encode_digests(table(spark, sf, "documents"), piece_model())
 
 
+def op3_chat(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf, "conversations"))
+
+
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     return find_pii(table(spark, sf, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
@@ -64,7 +72,9 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_chat": op3_chat,
     "op4_pii": op4_pii,
+    "op5_topk": op5_topk,
     "op6_minhash": op6_minhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
@@ -73,5 +83,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_chat": chat.ORACLE,
+    "op5_topk": topk.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
