@@ -209,7 +209,8 @@ def _window_rows(content: DataFrame, width: int) -> DataFrame:
 
 def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``place, from_word, to_word``: words to remove; intervals may overlap."""
-    every = written(fragments(docs, width), "fragments")
+    # Read twice: the fragments of all texts take more room than making them again takes time.
+    every = fragments(docs, width)
     counted = every.groupBy("name").agg(F.count("*").alias("times"), F.max("itself").alias("itself"))
     again = counted.where("times > 1 or itself").select("name")
     repeated = written(every.join(again, "name"), "repeated")
@@ -227,22 +228,27 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         )
     )
     by_name = distinct.groupBy("name").agg(F.count("*").alias("fragments"), F.max("itself").alias("itself"))
-    searched = by_name.where((F.col("fragments") > 1) | F.col("itself"))
-    wanted = distinct.join(searched.select("name"), "name").select(
-        "name", "digest", F.col("origin.place").alias("place"), F.col("origin.start").alias("start"), "windows"
+    searched = by_name.where((F.col("fragments") > 1) | F.col("itself")).select("name", "fragments")
+    wanted = distinct.join(searched, "name").select(
+        "name",
+        "digest",
+        F.col("origin.place").alias("place"),
+        F.col("origin.start").alias("start"),
+        "windows",
+        (F.col("fragments") > HOT_NAME).alias("hot"),
     )
     wanted = written(wanted, "wanted")
-    content = written(_content(docs, wanted, width), "content")
-    hot = by_name.where(F.col("fragments") > HOT_NAME).select("name")
-    cold = content.join(hot, "name", "left_anti")
-    shards = max(1, -(-wanted.count() // SHARD_FRAGMENTS))
-    schema = "place bigint, from_word bigint, to_word bigint"
+    sizes = {r["hot"]: r["count"] for r in wanted.groupBy("hot").count().collect()}
+    shards = max(1, -(-sizes.get(False, 0) // SHARD_FRAGMENTS))
     found = (
-        cold.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
+        _content(docs, wanted.where("not hot").drop("hot"), width)
+        .withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(_search_shard(width), schema)
+        .applyInPandas(_search_shard(width), "place bigint, from_word bigint, to_word bigint")
     )
-    windows = _window_rows(content.join(hot, "name", "left_semi"), width)
+    if not sizes.get(True):
+        return copies.union(found)
+    windows = _window_rows(_content(docs, wanted.where("hot").drop("hot"), width), width)
     first = windows.groupBy("window").agg(F.min(F.struct("place", "start")).alias("origin"))
     single = (
         windows.join(first, "window")
