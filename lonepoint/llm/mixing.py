@@ -41,7 +41,7 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     while True:
         rest = total - sum(most * s for s, f in zip(sizes, full) if f)
         heavy = sum(w for w, f in zip(weights, full) if not f)
-        found = [most * s if f else rest * w / heavy for s, w, f in zip(sizes, weights, full)]
+        found = [float(most * s) if f else rest * w / heavy for s, w, f in zip(sizes, weights, full)]
         over = [i for i, (t, s) in enumerate(zip(found, sizes)) if not full[i] and t > most * s]
         if not over:
             return found
