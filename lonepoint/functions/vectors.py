@@ -77,16 +77,30 @@ class Space:
         return [f"{prefix}value"]
 
     def project(self, points: DataFrame, *keep: Column | str) -> DataFrame:
-        """Points as the columns in ``keep`` followed by the coordinates."""
-        if not self.flat:
-            return points.select(*keep, F.col("value").cast("array<double>").alias("value"))
+        """Points as the columns in ``keep`` followed by the coordinates.
+
+        A declared length is checked: another one is an error.  A null vector or
+        coordinate counts as NaN, which is near to nothing, and so does a vector
+        without coordinates where no length is declared.
+        """
+        value = F.col("value").cast("array<double>")
         nan = F.lit(float("nan"))
-        return points.select(
-            *keep,
-            *[
-                F.coalesce(F.get("value", F.lit(i)).cast("double"), nan).alias(f"x{i}")
-                for i in range(self.dims)
-            ],
+        if self.dims is None:
+            held = F.coalesce(F.size(value), F.lit(0)) > 0
+            return points.select(*keep, F.when(held, value).otherwise(F.array(nan)).alias("value"))
+        size = F.size(value)
+        wrong = F.raise_error(F.concat(F.lit(f"a vector has not {self.dims} coordinates but "), size.cast("string")))
+        value = (
+            F.when(F.col("value").isNull(), F.array_repeat(nan, self.dims))
+            .when(size == self.dims, value)
+            .otherwise(wrong)
+        )
+        if not self.flat:
+            return points.select(*keep, F.transform(value, lambda x: F.coalesce(x, nan)).alias("value"))
+        checked = points.select(*keep, value.alias("_checked"))
+        names = checked.columns[:-1]
+        return checked.select(
+            *names, *[F.coalesce(F.get("_checked", F.lit(i)), nan).alias(f"x{i}") for i in range(self.dims)]
         )
 
     def prefixed(self, df: DataFrame, prefix: str) -> list[Column]:
@@ -176,6 +190,8 @@ def number_sql(x: float) -> str:
 
 
 def _array_sql(vector: Sequence[float]) -> str:
+    if not len(vector):
+        return "cast(array() as array<double>)"
     return f"array({', '.join(number_sql(v) for v in vector)})"
 
 

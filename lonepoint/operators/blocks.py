@@ -21,9 +21,17 @@ def near_pairs(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs within the radius, or of the ``limit`` nearest rows of y per row of x.
 
-    Ties at the limit are all returned.  The matrix product only preselects,
-    with a margin for its rounding; distances are then taken from differences.
+    Ties at the limit are all returned.  Rows with a coordinate that is not an
+    ordinary number are in no pair.  The matrix product only preselects, with a
+    margin for its rounding; distances are then taken from differences.
     """
+    usable_x, usable_y = (np.flatnonzero(np.isfinite(m).all(axis=1)) for m in (x, y))
+    if len(usable_x) < len(x) or len(usable_y) < len(y):
+        i, j, d = near_pairs(x[usable_x], y[usable_y], radius, limit)
+        return usable_x[i], usable_y[j], d
+    if not len(x) or not len(y):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
     rows, cols, dist = [], [], []
     step = max(1, TILE_CELLS // max(1, len(y)))

@@ -7,20 +7,31 @@ numbers.  However many copies of a point there are, they cost one pair.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Space
+from ..functions.vectors import Space, finite
 from .joins import window_pairs
 from .routes import Route
 from .windows import histogram_counts
 
 
 def sites(pts: DataFrame, space: Space) -> DataFrame:
-    """Distinct vectors per slide: smallest id, number of points ``n``."""
-    return pts.groupBy("sl", *space.coords()).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    """Distinct vectors per slide: smallest id, number of points ``n``.
+
+    Equal vectors with a coordinate that is not an ordinary number are not near
+    to each other, so each of them stays by itself.
+    """
+    if space.flat:
+        ordinary = functools.reduce(lambda a, b: a & b, [finite(F.col(c)) for c in space.coords()])
+    else:
+        ordinary = F.coalesce(F.forall("value", finite), F.lit(False))
+    alone = F.when(~ordinary, F.col("id")).alias("_alone")
+    found = pts.groupBy("sl", *space.coords(), alone).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return found.drop("_alone")
 
 
 def neighbour_histogram(

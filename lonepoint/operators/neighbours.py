@@ -145,14 +145,17 @@ def before_after_counts(histogram: DataFrame, count: str = "c0") -> DataFrame:
 
 def earliest_expiring(histogram: DataFrame, span: int, count: str = "c0") -> DataFrame:
     """Per point and window: the oldest slide with an earlier neighbour still inside."""
-    oldest, rows = [], []
-    for j in range(span):
-        inside = f"{count} > 0 and nsl - sl between {j - span + 1} and -1"
-        oldest.append(F.expr(f"min(if({inside}, nsl, null)) as m{j}"))
-        rows.append(f"named_struct('e', sl + {j}, 'first_nsl', m{j})")
-    return (
-        histogram.groupBy("id", "sl")
-        .agg(*oldest)
-        .selectExpr("id", f"inline(array({', '.join(rows)}))")
-        .select("e", "id", "first_nsl")
+    inside = (F.col(count) > 0) & (F.col("nsl") - F.col("sl")).between(1 - span, -1)
+    # An earlier slide is the oldest one from the expiry of the one before it to its own.
+    by_age = Window.partitionBy("id").orderBy("nsl")
+    held = histogram.where(inside).select("id", "sl", "nsl", (F.lag("nsl").over(by_age) + span).alias("since"))
+    start = F.greatest("sl", F.coalesce("since", "sl"))
+    named = held.select(
+        F.explode(F.sequence(start, F.col("nsl") + (span - 1))).alias("e"), "id", F.col("nsl").alias("first_nsl")
+    )
+    newest = histogram.groupBy("id", "sl").agg(F.max(F.when(inside, F.col("nsl"))).alias("newest"))
+    start = F.coalesce(F.col("newest") + span, F.col("sl"))
+    without = newest.select(
+        F.explode(F.sequence(start, F.col("sl") + (span - 1))).alias("e"), "id", F.lit(None).cast("bigint").alias("first_nsl")
     )
+    return named.unionByName(without)

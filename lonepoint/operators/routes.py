@@ -26,8 +26,6 @@ PRESET_BOUNDS: dict[str, list[list[float]]] = {
     "tao": [[-0.01], [79.23, 82.47, 85.77], [26.932]],
     "fc_2d": [[58.0, 127.0, 260.0], [0.0, 71.0, 142.0]],
     "fc_5d": [[0.56878], [0.35278], [0.19697], [0.15605], [0.26227]],
-    "stock": [[87.231, 94.222, 96.5, 97.633, 98.5, 99.25, 99.897, 100.37, 101.16, 102.13, 103.18,
-               104.25, 105.25, 106.65, 109.75]],
 }
 
 # Stock boundaries by number of partitions.
@@ -42,6 +40,7 @@ STOCK_BOUNDS: dict[int, list[float]] = {
          99.588, 99.897, 100.07, 100.37, 100.72, 101.16, 101.65, 102.13, 102.65, 103.18, 103.72,
          104.25, 104.78, 105.25, 105.79, 106.65, 107.84, 109.75, 112.14],
 }
+PRESET_BOUNDS["stock"] = [STOCK_BOUNDS[16]]
 
 
 def _product(axes: list[list[Column]]) -> list[Column]:
@@ -131,7 +130,13 @@ class BoundsRoute(Route):
 
     @classmethod
     def preset(cls, name: str, radius: float) -> BoundsRoute:
-        return cls(PRESET_BOUNDS[name], radius)
+        """Published boundaries; ``stock:<n>`` takes those of the stock data for n partitions."""
+        kind, _, count = name.partition(":")
+        if not count:
+            return cls(PRESET_BOUNDS[name], radius)
+        if kind != "stock" or not count.isdigit() or int(count) not in STOCK_BOUNDS:
+            raise ValueError(f"unknown boundaries {name!r}, expected stock:<n> with n in {sorted(STOCK_BOUNDS)}")
+        return cls([STOCK_BOUNDS[int(count)]], radius)
 
     @staticmethod
     def _count(bounds: list[float], x: Column, inclusive: bool = False) -> Column:

@@ -1,7 +1,8 @@
-"""Partition training from a bounded sample.
+"""Partition training over the whole table.
 
-Only the sample (10,000 points unless asked otherwise) reaches the driver; the
-result is a handful of vectors and thresholds that are written into the plan.
+Vantage points and pivots are picked from a few candidates, which a hash of the
+id draws from all rows.  Thresholds are quantiles over all rows, one aggregate
+per level.  The driver sees the candidates and the thresholds only.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Space
-from ..sources.points import sample_head, sample_random
+from ..functions.vectors import Space, finite, number_sql
+from ..sources.points import sample_random
 
-SAMPLE_SIZE = 10_000
+# Candidates for vantage points and pivots, and the accuracy of approximate
+# quantiles: a rank is off by at most 1 / ACCURACY of the rows.
+CANDIDATES = 1_024
+ACCURACY = 10_000
 MAX_HEIGHT = 6
 
 
@@ -30,18 +34,34 @@ class VantageTree:
         return len(self.nodes) + 1
 
 
-def sample_vectors(points: DataFrame, n: int = SAMPLE_SIZE, random: bool = False) -> np.ndarray:
-    """A sample as a matrix; vectors with odd coordinates or lengths are left out."""
-    sample = sample_random(points, n) if random else sample_head(points, n)
-    rows = [r[0] for r in sample.select("value").collect()]
+def shortest_length(points: DataFrame) -> int:
+    """Length of the shortest vector of the table that has coordinates.
+
+    Vectors of different lengths are compared over their common prefix, which is
+    no metric.  Over the first ``shortest_length`` coordinates it is one, and
+    never larger than the distance itself, so routes by it lose no pair.
+    """
+    return points.where(F.size("value") > 0).agg(F.min(F.size("value"))).first()[0] or 0
+
+
+def usable_points(points: DataFrame) -> DataFrame:
+    """``id, value`` of the vectors without odd coordinates, cut to the shortest length."""
+    value = F.slice("value", 1, max(1, shortest_length(points)))
+    cut = points.where(F.size("value") > 0).select("id", value.cast("array<double>").alias("value"))
+    return cut.where(F.forall("value", finite))
+
+
+def candidate_vectors(usable: DataFrame, n: int = CANDIDATES) -> np.ndarray:
+    """Vectors drawn by a hash of the id from all rows, as a matrix."""
+    rows = [r[0] for r in sample_random(usable, n).select("value").collect()]
     if not rows:
-        raise ValueError("cannot train a partitioning on no points")
-    length = min(len(r) for r in rows)
-    matrix = np.array([[np.nan if v is None else v for v in r[:length]] for r in rows], dtype=float)
-    matrix = matrix[np.isfinite(matrix).all(axis=1)]
-    if not len(matrix):
-        raise ValueError("the sample holds no usable vector")
-    return matrix
+        raise ValueError("cannot train a partitioning on no usable vector")
+    return np.array(rows, dtype=float).reshape(len(rows), -1)
+
+
+def train_pivot(points: DataFrame) -> list[float]:
+    """A vector in the middle of the candidates."""
+    return median_vector(candidate_vectors(usable_points(points))).tolist()
 
 
 def median_vector(matrix: np.ndarray) -> np.ndarray:
@@ -51,31 +71,50 @@ def median_vector(matrix: np.ndarray) -> np.ndarray:
 
 
 def train_vantage_tree(
-    points: DataFrame, partitions: int = 16, sample: int = SAMPLE_SIZE, quantile: float = 0.5, random: bool = False
+    points: DataFrame, partitions: int = 16, quantile: float = 0.5, space: Space = Space()
 ) -> VantageTree:
     height = partitions.bit_length() - 1
     if partitions < 2 or partitions != 1 << height or height > MAX_HEIGHT:
         raise ValueError(f"partitions must be a power of two from 2 to {1 << MAX_HEIGHT}")
-    members: list[np.ndarray] = [sample_vectors(points, sample, random)]
-    nodes: list[tuple[list[float], float]] = []
-    for i in range((1 << height) - 1):
-        inside = members[i]
-        vantage = median_vector(inside)
-        d = np.sqrt(((inside - vantage) ** 2).sum(axis=1))
-        threshold = float(np.quantile(d, quantile))
-        nodes.append((vantage.tolist(), threshold))
-        for part in (inside[d <= threshold], inside[d > threshold]):
-            # A side that got no sample point keeps its parent's, so that the
-            # tree stays complete.
-            members.append(part if len(part) else inside)
-    return VantageTree(nodes)
-
-
-def train_pivots(
-    points: DataFrame, count: int = 16, sample: int = SAMPLE_SIZE, random: bool = False
-) -> list[list[float]]:
-    """Pivots far apart from each other, picked farthest-first from the sample."""
-    matrix = sample_vectors(points, sample, random)
+    space = Space(metric=space.metric)
+    usable = usable_points(points)
+    members = [candidate_vectors(usable)]
+    vantages: list[list[float]] = []
+    thresholds: list[float] = []
+
+    def walk(i: int, first: int) -> str:
+        """Node of the level that starts at ``first`` into which a row falls."""
+        if i >= first:
+            return str(i)
+        closer = f"_vd[{i}] <= {number_sql(thresholds[i])}"
+        return f"if({closer}, {walk(2 * i + 1, first)}, {walk(2 * i + 2, first)})"
+
+    for level in range(height):
+        first = (1 << level) - 1
+        vantages += [median_vector(m).tolist() for m in members]
+        measured = usable.select(space.distances_to(vantages).alias("_vd"))
+        placed = measured.select(F.expr(walk(0, first)).alias("node"), "_vd")
+        found = dict(
+            placed.groupBy("node")
+            .agg(F.percentile_approx(F.get("_vd", F.col("node")), quantile, ACCURACY).alias("threshold"))
+            .collect()
+        )
+        # A node without rows splits nothing.
+        thresholds += [float(found.get(first + i, 0.0)) for i in range(1 << level)]
+        below = []
+        for i, inside in enumerate(members):
+            d = np.sqrt(((inside - np.array(vantages[first + i])) ** 2).sum(axis=1))
+            for part in (inside[d <= thresholds[first + i]], inside[d > thresholds[first + i]]):
+                # A side that got no candidate keeps its parent's, so that the
+                # tree stays complete.
+                below.append(part if len(part) else inside)
+        members = below
+    return VantageTree(list(zip(vantages, thresholds)))
+
+
+def train_pivots(points: DataFrame, count: int = 16) -> list[list[float]]:
+    """Pivots far apart from each other, picked farthest-first from the candidates."""
+    matrix = candidate_vectors(usable_points(points))
     chosen = [median_vector(matrix)]
     gap = np.sqrt(((matrix - chosen[0]) ** 2).sum(axis=1))
     while len(chosen) < count and gap.max() > 0:
@@ -96,10 +135,27 @@ def train_bounds(points: DataFrame, partitions: int, axes: int = 1, accuracy: in
     return [sorted(set(row[f"b{a}"])) for a in range(axes)]
 
 
-def median_distance(points: DataFrame, space: Space, sample: int = SAMPLE_SIZE, quantile: float = 0.5) -> DataFrame:
-    """Split threshold: a quantile of the sample's distances to its middle vector."""
-    vantage = median_vector(sample_vectors(points, sample)).tolist()
-    head = space.project(sample_head(points, sample), "id")
-    return head.select(space.distance_to(vantage).alias("d")).agg(
-        F.percentile("d", F.lit(quantile)).alias("threshold")
-    )
+def rows_at(df: DataFrame, key: str, order: list[str], rank: int, rows: int, count: int) -> DataFrame:
+    """The rows at places ``rank .. rank + rows - 1`` of the order, which begins with ``key``; exact.
+
+    Approximate quantiles bracket the place; only the rows inside the bracket
+    are sorted, a few thousandths of the table unless many share a key.
+    """
+    slack = 2 / ACCURACY + 1 / max(count, 1)
+    shares = [max(0.0, rank / count - slack), min(1.0, (rank + rows) / count + slack)]
+    low, high = df.agg(F.percentile_approx(key, shares, ACCURACY).alias("q")).first()["q"]
+    below = df.where(F.col(key) < F.lit(low)).count()
+    inside = df.where(F.col(key).between(F.lit(low), F.lit(high)))
+    return inside.orderBy(*order).offset(rank - below).limit(rows)
+
+
+def median_distance(points: DataFrame, space: Space, quantile: float = 0.5) -> DataFrame:
+    """Split threshold: a quantile of all distances to the middle vector, between two rows interpolated."""
+    keyed = points.select("value", F.get("value", F.lit(0)).alias("key"))
+    count = keyed.count()
+    middle = rows_at(keyed, "key", ["key", "value"], count // 2, 1, count).first()["value"]
+    distances = space.project(points, "id").select(space.distance_to(middle).alias("d"))
+    place = quantile * (count - 1)
+    rank = int(place)
+    near = rows_at(distances, "d", ["d"], rank, min(2, count - rank), count)
+    return near.agg((F.min("d") + (F.max("d") - F.min("d")) * F.lit(place - rank)).alias("threshold"))

@@ -25,9 +25,8 @@ from ..functions.slides import slide_index
 from ..functions.vectors import Space
 from ..operators.density import unsettled_points
 from ..operators.joins import uses_blocks, window_pairs
-from ..operators.neighbours import trim_histogram
 from ..operators.routes import BandRoute, BoundsRoute, GridRoute, HashRoute, PivotRoute, Route, VantageRoute
-from ..operators.training import median_vector, sample_vectors, train_pivots, train_vantage_tree
+from ..operators.training import train_pivot, train_pivots, train_vantage_tree
 from ..operators.windows import histogram_counts, occupied_windows, slide_histogram, window_counts
 from .params import QuerySet, parse_rk, reporting_windows
 
@@ -38,7 +37,6 @@ class Strategy:
 
     part: str = "grid"             # default partitioning
     histogram: bool = False        # count per slide first, then per window
-    trim: str | None = None        # bounded list of earlier neighbours
 
 
 SINGLE = {
@@ -49,10 +47,10 @@ SINGLE = {
     "pmcod": Strategy(),
 }
 RK = {
-    "pamcod": Strategy(histogram=True, trim="skyband"),
-    "sop": Strategy(histogram=True, trim="layer"),
-    "pmcsky": Strategy(part="metric", histogram=True, trim="layer"),
-    "psod": Strategy(histogram=True, trim="band"),
+    "pamcod": Strategy(histogram=True),
+    "sop": Strategy(histogram=True),
+    "pmcsky": Strategy(part="metric", histogram=True),
+    "psod": Strategy(histogram=True),
 }
 RKWS = {name: RK[name] for name in ("sop", "pmcsky", "psod")}
 
@@ -63,7 +61,6 @@ def make_route(
     radius: float,
     space: Space,
     parallelism: int = 4,
-    sample: int = 10_000,
 ) -> Route:
     """A route by name, or the given one.
 
@@ -82,12 +79,11 @@ def make_route(
     if part == "hash":
         return HashRoute(parallelism, GridRoute(radius))
     if part == "hash_band":
-        pivot = median_vector(sample_vectors(points, sample)).tolist()
-        return HashRoute(parallelism, BandRoute(pivot, radius))
+        return HashRoute(parallelism, BandRoute(train_pivot(points), radius))
     if part == "metric":
-        return VantageRoute(train_vantage_tree(points, 16, sample), radius, rings=not uses_blocks(space))
+        return VantageRoute(train_vantage_tree(points, 16, space=space), radius, rings=not uses_blocks(space))
     if part == "pivot":
-        return PivotRoute(train_pivots(points, 16, sample), radius)
+        return PivotRoute(train_pivots(points, 16), radius)
     raise ValueError(f"unknown partitioning {part!r}")
 
 
@@ -119,8 +115,6 @@ def neighbour_counts(
     if not plan.histogram:
         return window_counts(pairs, radii, spans)
     histogram = slide_histogram(pairs, radii)
-    if plan.trim:
-        histogram = trim_histogram(histogram, len(radii), max(queries.ks[-1], 1), plan.trim)
     return histogram_counts(histogram, len(radii), spans)
 
 
@@ -131,7 +125,6 @@ def evaluate(
     space: Space = Space(),
     part: str | Route | None = None,
     parallelism: int = 4,
-    sample: int = 10_000,
     between: tuple[int | None, int | None] = (None, None),
     chunk: int | None = None,
 ) -> DataFrame:
@@ -140,7 +133,7 @@ def evaluate(
     ``between`` restricts the report to windows from the first to the second
     bound, both included.
     """
-    route = make_route(part or plan.part, points, queries.radii[-1], space, parallelism, sample)
+    route = make_route(part or plan.part, points, queries.radii[-1], space, parallelism)
     counts = neighbour_counts(points, queries, plan, space, route, chunk)
     cells = [(i, j) for i in range(len(queries.radii)) for j in range(len(queries.ks))]
     limit = queries.ks[-1]

@@ -33,9 +33,20 @@ def _histories(
     pairs = window_pairs(
         rest.drop("settled", "safe"), pts, slide=slide, span=m, radius=radius, space=space, route=route or GridRoute(radius)
     )
-    sums = [F.expr(f"count_if(nsl - sl <= {o}) as h{o + m}") for o in range(-m + 1, m)]
-    counted = pairs.groupBy("id", "sl").agg(*sums)
-    history = F.array(F.lit(0).cast("bigint"), *[F.col(f"h{i}") for i in range(1, 2 * m)])
+    # Running sums at the slides that hold a neighbour, each repeated up to the next one.
+    by_time = Window.partitionBy("id").orderBy("nsl")
+    steps = pairs.groupBy("id", "sl", "nsl").agg(F.count(F.lit(1)).alias("c")).select(
+        "id", "sl",
+        F.struct(
+            "nsl",
+            F.sum("c").over(by_time).alias("sum"),
+            F.coalesce(F.lead("nsl").over(by_time), F.col("sl") + m).alias("until"),
+        ).alias("step"),
+    )
+    counted = steps.groupBy("id", "sl").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    none = F.array_repeat(F.lit(0).cast("bigint"), (F.col("steps")[0]["nsl"] - F.col("sl") + m).cast("int"))
+    runs = F.transform("steps", lambda x: F.array_repeat(x["sum"], (x["until"] - x["nsl"]).cast("int")))
+    history = F.concat(none, F.flatten(runs))
     return safe.select("id", "sl"), counted.select("id", "sl", history.alias("h"))
 
 

@@ -97,8 +97,8 @@ def sample_head(points: DataFrame, n: int = 10_000) -> DataFrame:
 
 
 def sample_random(points: DataFrame, n: int = 10_000, seed: int = 1) -> DataFrame:
-    """Exactly n points (or all, if fewer), the same ones for the same seed."""
-    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    """Exactly n points (or all, if fewer), the same ones for the same seed: the smallest hashes of their ids."""
+    return points.orderBy(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(n)
 
 
 def duplicate_ids(points: DataFrame) -> DataFrame:

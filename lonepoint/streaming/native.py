@@ -31,8 +31,14 @@ def window_cells(
         raise ValueError("the window must be a multiple of the slide")
     timed = with_event_time(points, slide, delay)
     keyed = space.project(timed, "ts").withColumn("dcell", space.dense_cell(radius))
+    # One counter per slide and cell first: counters are copied to windows, points are not.
+    per_slide = keyed.groupBy(F.window("ts", "1 second").alias("slide"), "dcell").agg(F.count(F.lit(1)).alias("n"))
     length = f"{window // slide} seconds"
-    return keyed.groupBy(F.window("ts", length, "1 second"), "dcell").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        per_slide.withColumn("at", F.window_time("slide"))
+        .groupBy(F.window("at", length, "1 second"), "dcell")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def window_density(

@@ -230,7 +230,10 @@ def _(spark, sf):
     return sample_head(events(spark, sf)).select("id", F.col("value")[0].alias("x"))
 
 
-@query("sample_random")
+@query(
+    "sample_random",
+    "SELECT event_id AS id, value AS x FROM events ORDER BY md5(event_id::VARCHAR || '-1'), event_id LIMIT 1000",
+)
 def _(spark, sf):
     return sample_random(events(spark, sf), 1000).select("id", F.col("value")[0].alias("x"))
 
@@ -368,6 +371,28 @@ def _(spark, sf):
     return assign(D2.project(pts, "id"), route, D2).select("id", "part", "is_home")
 
 
+@query(
+    "vantage_meets",
+    "SELECT event_id AS id, 1::BIGINT AS n_home, 0::BIGINT AS n_missed FROM events",
+)
+def _(spark, sf):
+    """Every point has one home, and every near pair meets: what a partitioning has to keep."""
+    pts = timeline(spark, sf)
+    placed = assign(D2.project(pts, "id"), VantageRoute(train_vantage_tree(pts, 16), 1.0), D2)
+    homes = placed.where("is_home").groupBy("id").agg(F.count(F.lit(1)).alias("n_home"), F.first("part").alias("home"))
+    near = range_join(pts, pts, 1.0, D2).select(F.col("qid").alias("id"), "nid")
+    seen = placed.select("id", F.col("part").alias("home"), F.lit(True).alias("seen"))
+    missed = (
+        near.join(homes.select(F.col("id").alias("nid"), "home"), "nid")
+        .join(seen, ["id", "home"], "left")
+        .groupBy("id")
+        .agg(F.count_if(F.col("seen").isNull()).alias("n_missed"))
+    )
+    return homes.join(missed, "id", "left").select(
+        "id", "n_home", F.coalesce("n_missed", F.lit(0).cast("bigint")).alias("n_missed")
+    )
+
+
 _PIVOTS = (
     f"p AS ({VECTORS_SQL}), c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, v FROM p ORDER BY id LIMIT 8), "
     "pc AS (SELECT p.id, c.j, list_distance(p.v, c.v) AS d FROM p, c), "
@@ -417,7 +442,7 @@ def _(spark, sf):
 
 @query(
     "median_threshold",
-    f"WITH p AS (SELECT * FROM ({EVENTS_SQL}) ORDER BY id LIMIT 10000), "
+    f"WITH p AS ({EVENTS_SQL}), "
     "o AS (SELECT x0, row_number() OVER (ORDER BY x0) - 1 AS i, count(*) OVER () AS n FROM p), "
     "v AS (SELECT x0 FROM o WHERE i = n // 2) "
     "SELECT round(median(abs(p.x0 - v.x0)), 9) AS threshold FROM p, v",
@@ -458,7 +483,7 @@ def _(spark, sf):
 @query("range_join_vantage", f"{_TIMELINE_PAIRS} SELECT qid, nid, round(d, 6) AS d FROM pr")
 def _(spark, sf):
     pts = timeline(spark, sf)
-    route = VantageRoute(train_vantage_tree(pts, 16, random=True), 1.0, rings=True)
+    route = VantageRoute(train_vantage_tree(pts, 16), 1.0, rings=True)
     return range_join(pts, pts, 1.0, D2, route).select("qid", "nid", F.round("d", 6).alias("d"))
 
 
@@ -709,6 +734,31 @@ def _(spark, sf):
     return st.point_status(events(spark, sf), W, S, 5.0, 10, D1)
 
 
+_STATUS_LONG = (
+    f"WITH p AS (SELECT *, id // 5 AS sl FROM ({EVENTS_SQL})), "
+    "pr AS (SELECT a.id, a.sl, b.id AS nid, b.sl AS nsl FROM p a JOIN p b "
+    "ON b.id BETWEEN a.id - 1000 AND a.id + 1000 AND abs(a.sl - b.sl) < 200 "
+    "AND abs(a.x0 - b.x0) <= 0.5::DOUBLE), "
+    "h AS (SELECT id, nsl, count(*) FILTER (nid <> id) AS c FROM pr GROUP BY id, nsl), "
+    "cum AS (SELECT id, nsl, sum(c) OVER (PARTITION BY id ORDER BY nsl) AS s FROM h), "
+    "pe AS (SELECT id, sl, unnest(range(sl, sl + 200)) AS e FROM p), "
+    "t AS (SELECT pe.e, x.s AS upto, coalesce(y.s, 0) AS gone, coalesce(z.s, 0) AS early FROM pe "
+    "ASOF JOIN cum x ON pe.id = x.id AND x.nsl <= pe.e "
+    "ASOF LEFT JOIN cum y ON pe.id = y.id AND y.nsl <= pe.e - 200 "
+    "ASOF LEFT JOIN cum z ON pe.id = z.id AND z.nsl <= pe.sl - 1) "
+    "SELECT e, CASE WHEN upto - early >= 10 THEN 'safe_inlier' WHEN upto - gone >= 10 THEN 'inlier' ELSE 'outlier' END "
+    "AS status, count(*) AS n FROM t GROUP BY ALL"
+)
+
+
+@query("point_status_long", _STATUS_LONG)
+def _(spark, sf):
+    """Points per window and status, with 200 slides in a window."""
+    return st.point_status(events(spark, sf), 1000, 5, 0.5, 10, D1).groupBy("e", "status").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @query(
     "status_transitions",
     f"{_STATUS}, l AS (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY e) AS previous FROM st) "
@@ -832,10 +882,20 @@ for _name in ("sop", "pmcsky", "psod"):
 # --- streams --------------------------------------------------------------
 
 
+BATCHES = 4
+FILES_PER_BATCH = 2
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of parquet files."""
+    """The events table as a stream of several batches, by ranges of ids that arrive one after the other."""
+    table = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    low, high = table.agg(F.min("event_id"), F.max("event_id")).first()
+    folder = shared_dir(spark, "event-files")
+    place = F.expr(f"least((event_id - {low or 0}) * {BATCHES} div {max(1, (high or 0) - (low or 0) + 1)}, {BATCHES - 1})")
+    for i in range(BATCHES):
+        table.where(place == i).repartition(FILES_PER_BATCH).write.mode("append").parquet(folder)
     return stream_table_points(
-        spark, f"{sf}/events.parquet*", "event_id bigint, value double", "event_id", ["value"]
+        spark, folder, "event_id bigint, value double", "event_id", ["value"], files_per_trigger=FILES_PER_BATCH
     )
 
 
