@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonepoint.llm.linear import Rows, fit, labelled_sample, sigmoid
-from lonepoint.llm.words import Words, map_texts, mix
+from lonepoint.llm.words import Words, Kept, map_texts, mix
 from lonepoint.session import written
 
 #: Families of identity terms; fixed values.
@@ -82,8 +82,14 @@ class Model:
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         order = np.argsort(keys)
         self.keys, self.weights, self.bias = keys[order], weights[order], bias
-        self.mask = np.zeros(1 << 20, bool)
-        self.mask[self.keys & 0xFFFFF] = True
+        self._mask = Kept()
+
+    @property
+    def mask(self) -> np.ndarray:
+        if "mask" not in self._mask:
+            mask = self._mask["mask"] = np.zeros(1 << 20, bool)
+            mask[self.keys & 0xFFFFF] = True
+        return self._mask["mask"]
 
     def known(self, docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct ``(text, index of the feature)`` of features in the model."""

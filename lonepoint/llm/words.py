@@ -36,7 +36,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_powers: dict[int, np.ndarray] = {}
+
+
+class Kept(dict):
+    """A memory that does not travel: what the driver has computed stays out of the tasks' functions."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+_powers: dict[int, np.ndarray] = Kept()
 
 
 def powers(base: int, n: int) -> np.ndarray:
