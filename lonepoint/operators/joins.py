@@ -19,7 +19,7 @@ from ..functions.vectors import SLACK, Space, grid_width
 from ..session import spread
 from .blocks import BLOCK_ROWS, block_join
 from .routes import GridRoute, PivotRoute, Route, nearest_pivot
-from .training import train_pivots
+from .training import draw_pivots
 
 # Upper bound on the stored rows of one join key.
 CHUNK_ROWS = 1 << 20
@@ -241,7 +241,7 @@ def knn_join(
     bound cannot rule out.  A query whose first partition is too small stays
     unbounded and visits all of them.
     """
-    pivots = pivots or train_pivots(points)
+    pivots = pivots or draw_pivots(points)
     keep = n + 1 if exclude_self else n
     bounded = collapse_copies(points, keep)
     stored = space.project(bounded, "id").withColumn("_pd", space.distances_to(pivots))

@@ -21,6 +21,7 @@ from ..sources.points import sample_random
 CANDIDATES = 1_024
 ACCURACY = 10_000
 MAX_HEIGHT = 6
+MAX_PIVOTS = 256
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,18 @@ def train_pivots(points: DataFrame, count: int = 16) -> list[list[float]]:
     return [c.tolist() for c in chosen]
 
 
+def draw_pivots(points: DataFrame) -> list[list[float]]:
+    """About as many pivots as the root of the number of rows, drawn from all rows.
+
+    Drawn pivots are as dense as the data, so that cells hold about equally many
+    rows; the number is held between 16 and ``MAX_PIVOTS``, since every row is
+    compared with every pivot.
+    """
+    usable = usable_points(points)
+    matrix = candidate_vectors(usable, min(MAX_PIVOTS, max(16, int(usable.count() ** 0.5))))
+    return np.unique(matrix, axis=0).tolist()
+
+
 def train_bounds(points: DataFrame, partitions: int, axes: int = 1, accuracy: int = 10_000) -> list[list[float]]:
     """Quantile boundaries per axis, so that the cells hold about equally many points."""
     shares = [i / partitions for i in range(1, partitions)]

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.slides import is_expiring, is_new
+
 # Above this many count columns the windows are computed as intervals instead.
 MAX_COLUMNS = 128
 
@@ -112,6 +114,7 @@ def occupied_windows(pts: DataFrame, spans: Sequence[int]) -> DataFrame:
 
 def window_population(pts: DataFrame, span: int) -> DataFrame:
     """Per window: points, newly arrived points, points about to expire."""
+    sl, e = F.col("sl"), F.col("e")
     return (
         pts.groupBy("sl")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +122,7 @@ def window_population(pts: DataFrame, span: int) -> DataFrame:
         .groupBy("e")
         .agg(
             F.sum("n").alias("n_points"),
-            F.coalesce(F.sum(F.when(F.col("sl") == F.col("e"), F.col("n"))), F.lit(0)).alias("n_new"),
-            F.coalesce(F.sum(F.when(F.col("sl") == F.col("e") - (span - 1), F.col("n"))), F.lit(0)).alias("n_expiring"),
+            F.coalesce(F.sum(F.when(is_new(sl, e), F.col("n"))), F.lit(0)).alias("n_new"),
+            F.coalesce(F.sum(F.when(is_expiring(sl, e, span), F.col("n"))), F.lit(0)).alias("n_expiring"),
         )
     )

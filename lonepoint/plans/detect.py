@@ -15,7 +15,8 @@ Every plan has the same frame:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -55,35 +56,58 @@ RK = {
 RKWS = {name: RK[name] for name in ("sop", "pmcsky", "psod")}
 
 
-def make_route(
-    part: str | Route,
-    points: DataFrame,
-    radius: float,
-    space: Space,
-    parallelism: int = 4,
-) -> Route:
-    """A route by name, or the given one.
+#: Radii up to this factor apart are searched in one join.
+GROUP_RATIO = 2.5
+
+
+def radius_groups(radii: Sequence[float]) -> list[list[int]]:
+    """Places of the ascending radii, those of like size together.
+
+    A group is pruned at its smallest radius and joined at its largest, so its
+    price is about that of its largest radius alone.
+    """
+    groups: list[list[int]] = []
+    for i, r in enumerate(radii):
+        if groups and r <= GROUP_RATIO * radii[groups[-1][0]]:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    return groups
+
+
+def make_route(part: str | Route, points: DataFrame, radius: float, space: Space, parallelism: int = 4) -> Route:
+    """A route by name, or the given one."""
+    return route_maker(part, points, space, parallelism)(radius)
+
+
+def route_maker(
+    part: str | Route, points: DataFrame, space: Space, parallelism: int = 4
+) -> Callable[[float], Route]:
+    """Routes of one kind for any radius; what has to be trained is trained once.
 
     ``hash`` and ``hash_band`` share the stored points out to ``parallelism``
     partitions by id and look them up there by cell or by distance ring.
     ``preset:<name>`` uses the published boundaries of a data set.
     """
     if isinstance(part, Route):
-        return part
+        return lambda radius: part
     if part.startswith("preset:"):
-        return BoundsRoute.preset(part.split(":", 1)[1], radius)
+        return lambda radius: BoundsRoute.preset(part.split(":", 1)[1], radius)
     if part in ("grid", "hash") and space.metric is not None:
         raise ValueError("grid partitioning needs the Euclidean distance")
     if part == "grid":
-        return GridRoute(radius)
+        return GridRoute
     if part == "hash":
-        return HashRoute(parallelism, GridRoute(radius))
+        return lambda radius: HashRoute(parallelism, GridRoute(radius))
     if part == "hash_band":
-        return HashRoute(parallelism, BandRoute(train_pivot(points), radius))
+        pivot = train_pivot(points)
+        return lambda radius: HashRoute(parallelism, BandRoute(pivot, radius))
     if part == "metric":
-        return VantageRoute(train_vantage_tree(points, 16, space=space), radius, rings=not uses_blocks(space))
+        tree = train_vantage_tree(points, 16, space=space)
+        return lambda radius: VantageRoute(tree, radius, rings=not uses_blocks(space))
     if part == "pivot":
-        return PivotRoute(train_pivots(points, 16), radius)
+        pivots = train_pivots(points, 16)
+        return lambda radius: PivotRoute(pivots, radius)
     raise ValueError(f"unknown partitioning {part!r}")
 
 
@@ -99,14 +123,15 @@ def neighbour_counts(
     space: Space,
     route: Route,
     chunk: int | None = None,
+    radii: Sequence[float] | None = None,
 ) -> DataFrame:
     """Counts of the unsettled points: ``(wi, e, id, sl, n0, n1, ..)``.
 
     ``n<i>`` counts the points within ``radii[i]``, the point itself included.
-    A point that is missing here is an inlier for every query.
+    A point that is missing here is an inlier for all these radii.
     """
     pts = keyed_points(points, queries.unit, space)
-    spans, radii = queries.spans, queries.radii
+    spans, radii = queries.spans, radii or queries.radii
     probes = unsettled_points(pts, space, radii[0], queries.ks[-1], spans[-1], spans[0])
     pairs = window_pairs(
         probes, pts, slide=queries.unit, span=spans[-1], radius=radii[-1],
@@ -133,19 +158,23 @@ def evaluate(
     ``between`` restricts the report to windows from the first to the second
     bound, both included.
     """
-    route = make_route(part or plan.part, points, queries.radii[-1], space, parallelism)
-    counts = neighbour_counts(points, queries, plan, space, route, chunk)
+    route = route_maker(part or plan.part, points, space, parallelism)
     cells = [(i, j) for i in range(len(queries.radii)) for j in range(len(queries.ks))]
     limit = queries.ks[-1]
-    suspects = _within(counts, between).where(F.col("n0") <= limit).drop("id", "sl")
+    suspects = []
+    for group in radius_groups(queries.radii):
+        radii = [queries.radii[i] for i in group]
+        counts = neighbour_counts(points, queries, plan, space, route(radii[-1]), chunk, radii)
+        few = _within(counts, between).where(F.col("n0") <= limit)
+        suspects.append(few.select("wi", "e", *[F.col(f"n{j}").alias(f"n{i}") for j, i in enumerate(group)]))
     # Every occupied window joins the suspects as one row without counts, so
     # that windows without outliers are reported too.
     blank = [F.lit(None).cast("bigint").alias(f"n{i}") for i in range(len(queries.radii))]
     slides = points.select(slide_index(queries.unit).alias("sl"))
     windows = _within(occupied_windows(slides, queries.spans), between).select("wi", "e", *blank)
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), suspects, windows)
     found = (
-        suspects.unionByName(windows)
-        .groupBy("wi", "e")
+        rows.groupBy("wi", "e")
         .agg(*[F.expr(f"count_if(n{i} <= {queries.ks[j]}) as o{i}_{j}") for i, j in cells])
     )
     answers = ", ".join(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.slides import event_time, slide_index, slide_of_time
 from ..functions.vectors import Space
+from ..operators.routes import Route, assign, drop_stale_replicas
 
 
 def with_event_time(points: DataFrame, slide: int, delay: int = 0) -> DataFrame:
@@ -41,6 +42,27 @@ def window_cells(
     )
 
 
+def window_replicas(
+    points: DataFrame, route: Route, window: int, slide: int, space: Space = Space(), delay: int = 0
+) -> DataFrame:
+    """Per window: home points, and replicas that arrived in its last slide.
+
+    Replicas of older slides are evicted from each window as it forms; a stream
+    keeps two counters per open window.
+    """
+    if window % slide:
+        raise ValueError("the window must be a multiple of the slide")
+    copies = assign(space.project(with_event_time(points, slide, delay), "id", "sl", "ts"), route, space)
+    placed = copies.withColumn("window", F.window("ts", f"{window // slide} seconds", "1 second"))
+    newest = slide_of_time(F.col("window.end")) - 1
+    return (
+        drop_stale_replicas(placed, newest)
+        .groupBy("window")
+        .agg(F.count_if("is_home").alias("n_home"), F.count_if(~F.col("is_home")).alias("n_replica"))
+        .select((slide_of_time(F.col("window.end")) - 1).alias("e"), "n_home", "n_replica")
+    )
+
+
 def window_density(
     points: DataFrame, window: int, slide: int, radius: float, k: int, space: Space = Space(), delay: int = 0
 ) -> DataFrame:

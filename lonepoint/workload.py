@@ -28,7 +28,7 @@ from .plans.params import QuerySet, reporting_windows, with_queries
 from .session import shared_dir
 from .sources.points import format_points, parse_points, points_from_table, sample_head, sample_random, stream_table_points
 from .sources.reports import report_lines, table_sink
-from .streaming.native import window_density
+from .streaming.native import window_density, window_replicas
 from .streaming.slides import stream_outliers, stream_rk, stream_rkws
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -923,6 +923,19 @@ def _(spark, sf):
     return _finished(stream_rkws(event_stream(spark, sf), *RKWS_ARGS, store, space=D1))
 
 
+@query(
+    "stream_replicas",
+    f"WITH {_GRID1D}, q AS (SELECT part, home, sl, unnest(range(sl, sl + {M})) AS e FROM g) "
+    "SELECT e, count(*) FILTER (part = home) AS n_home, count(*) FILTER (part <> home) AS n_replica "
+    "FROM q WHERE (part = home OR sl = e) AND e < (SELECT max(sl) FROM g) GROUP BY e",
+)
+def _(spark, sf):
+    store = shared_dir(spark, "stream-replicas")
+    counts = window_replicas(event_stream(spark, sf), BoundsRoute([BOUNDS], 5.0), W, S, D1)
+    table_sink(counts, f"{store}/report", f"{store}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{store}/report")
+
+
 @query(
     "stream_window_density",
     f"WITH {points_sql(EVENTS_SQL)}, q AS (SELECT {_cell(2.0)} AS dcell, unnest(range(sl, sl + {M})) AS e FROM p), "
