@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,6 +31,7 @@ from ..plans.detect import RK, RKWS, SINGLE, Strategy, evaluate
 from ..plans.params import QuerySet, parse_rk
 
 PROGRESS = "batch bigint, closed bigint, newest bigint, retained array<struct<batch:bigint,newest:bigint>>"
+POINTS = "id bigint, value array<double>, sl bigint, blk bigint"
 REPORT = "e bigint, w int, s int, r double, k int, n_outliers bigint"
 
 
@@ -55,9 +57,14 @@ class SlideStore:
     def checkpoint(self) -> str:
         return f"{self.path}/checkpoint"
 
-    def _has(self, folder: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+    def _present(self, load: Callable[[], DataFrame]) -> DataFrame | None:
+        """What ``load`` reads, or None if there is no such folder yet."""
+        try:
+            return load()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def progress(self, batch: int) -> Progress:
         """State after the given batch; the empty state before the first one."""
@@ -72,54 +79,44 @@ class SlideStore:
             f"{self.path}/progress/batch={batch}"
         )
 
-    def _children(self, folder: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        return [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()]
-
     def last_batch(self) -> int:
         """Newest finished batch, or -1."""
-        batches = sorted((int(name.split("=")[1]) for name in self._children("progress")), reverse=True)
-        return next((b for b in batches if self._has(f"{self.path}/progress/batch={b}")), -1)
+        rows = self._present(lambda: self.spark.read.schema(PROGRESS).json(f"{self.path}/progress/batch=*"))
+        newest = rows.agg(F.max("batch")).first()[0] if rows is not None else None
+        return -1 if newest is None else newest
 
     def append(self, batch: int, points: DataFrame) -> int | None:
         """Store a batch by slide block; returns its newest slide."""
         keyed = points.select("id", "value", slide_index(self.queries.unit).alias("sl"))
         keyed = keyed.withColumn("blk", F.floor(F.col("sl") / self.span))
         keyed.write.mode("overwrite").partitionBy("blk").parquet(f"{self.path}/points/batch={batch}")
-        stored = self._stored([batch])
-        return None if stored is None else stored.agg(F.max("sl")).first()[0]
+        return self._stored([batch]).agg(F.max("sl")).first()[0]
 
-    def _stored(self, batches: list[int]) -> DataFrame | None:
-        folders = [f"{self.path}/points/batch={b}" for b in batches if self._children(f"points/batch={b}")]
-        if not folders:
-            return None
-        return self.spark.read.option("basePath", f"{self.path}/points").parquet(*folders)
+    def _stored(self, batches: list[int]) -> DataFrame:
+        folders = [f"{self.path}/points/batch={b}" for b in batches]
+        return self.spark.read.schema(POINTS).option("basePath", f"{self.path}/points").parquet(*folders)
 
     def slides(self, batches: list[int], first: int | None, last: int) -> DataFrame | None:
         """Stored points of the slides ``first .. last``; other blocks are not read."""
-        stored = self._stored(batches)
-        if stored is None:
+        if not batches:
             return None
+        stored = self._stored(batches)
         stored = stored.where((F.col("sl") <= last) & (F.col("blk") <= last // self.span))
         if first is not None:
             stored = stored.where((F.col("sl") >= first) & (F.col("blk") >= first // self.span))
         return stored.select("id", "value")
 
     def expire(self, older: Progress, newer: Progress) -> None:
-        """Delete the stored batches that ``older`` needed and ``newer`` does not."""
+        """Empty the stored batches that ``older`` needed and ``newer`` does not."""
         gone = {b for b, _ in older.retained} - {b for b, _ in newer.retained}
         for b in gone:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/points/batch={b}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            nothing = self.spark.createDataFrame([], POINTS)
+            nothing.write.mode("overwrite").partitionBy("blk").parquet(f"{self.path}/points/batch={b}")
 
     def results(self) -> DataFrame:
         """The report rows so far."""
-        if not self._children("results"):
-            return self.spark.createDataFrame([], REPORT)
-        return self.spark.read.schema(REPORT).parquet(f"{self.path}/results/batch=*")
+        found = self._present(lambda: self.spark.read.schema(REPORT).parquet(f"{self.path}/results/batch=*"))
+        return self.spark.createDataFrame([], REPORT) if found is None else found
 
 
 def stream_report(
