@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from lonepoint.session import written
 
+#: Parts into which the neighbours of a node are dealt.
+SALTS = 16
+
+
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """The edges ``(a, b)`` with ``low`` of ``a``; a node with very many edges is joined in parts."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["a", "salt"]).drop("salt")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of an edge ``(a, b)``; the component is its smallest node.
@@ -21,14 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = (
-            both.join(low, "a")
+            _with_low(both, low)
             .where("b > a")
             .select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
             .distinct()
         )
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            large.join(low, "a")
+            _with_low(large, low)
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
             .where("a <> b")
             .distinct()
