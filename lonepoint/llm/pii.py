@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton passes over a text once and finds anchors: at-signs, plus signs, digits, schemes
 and identifier cues.  At each anchor a local parser, linear in what it reads, expands the span and
-validates it.
+validates it.  Secrets, URLs and numbers run to the end of their characters, however long; where such a run
+can hold further anchors of its kind, its end is looked for once.
 
 ``email``, ``ip``, ``card`` and ``phone`` are the base kinds.  ``address`` is a URL or mail address after a
 scheme, ``account`` an identifier or secret after a cue.
@@ -26,16 +27,31 @@ KINDS = (*BASE, "address", "account")
 #: Schemes, and cues with the pattern of what has to follow them.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
 CUES = {
-    "password": r"\s{0,2}[=:]\s{0,2}(\S{4,64})",
-    "passwd": r"\s{0,2}[=:]\s{0,2}(\S{4,64})",
-    "api_key": r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_\-]{16,64})",
-    "secret": r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_/+\-]{16,64})",
-    "token": r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_.\-]{16,256})",
+    "password": r"\s{0,2}[=:]\s{0,2}(\S{4})",
+    "passwd": r"\s{0,2}[=:]\s{0,2}(\S{4})",
+    "api_key": r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_\-]{16,}+)",
+    "secret": r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_/+\-]{16,}+)",
+    "token": r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_.\-]{16,}+)",
     "iban": r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})",
     "ssn": r"[\s:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])",
-    "account": r"[\s:#=.]{0,3}(?:no|number)?[\s:#=.]{0,3}([0-9]{6,17})(?![0-9])",
+    "account": r"[\s:#=.]{0,3}(?:no|number)?[\s:#=.]{0,3}([0-9]{6,}+)",
     "akia": r"([A-Z0-9]{16})(?![A-Za-z0-9])",
 }
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        item.split(":")
+        for item in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+            "25:AO,CV,GW,LY,MZ,PT,ST 26:DZ,IR,IS,TR 27:BI,CF,CG,CM,DJ,FR,GA,GQ,GR,IT,KM,MC,MG,MR,SM,TD "
+            "28:AL,AZ,BF,BJ,BY,CI,CY,DO,GT,HN,HU,LB,MA,ML,NE,NI,PL,SN,SV,TG 29:BR,EG,PS,QA,UA "
+            "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,12 +60,12 @@ _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AFTER_SCHEME = {
-    "http://": re.compile(r"[^\s\"'<>]{1,2048}"),
-    "https://": re.compile(r"[^\s\"'<>]{1,2048}"),
-    "ftp://": re.compile(r"[^\s\"'<>]{1,2048}"),
-    "mailto:": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "tel:": re.compile(r"\+?[0-9][0-9().\-]{5,20}[0-9]"),
+    "mailto:": re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "tel:": re.compile(r"\+?[0-9][0-9().\-]{5,}[0-9]"),
 }
+_URL = re.compile(r"[^\s\"'<>]*+")
+_LAST_DOT = re.compile(r"(?s:.*)[A-Za-z0-9-]\.[A-Za-z0-9-]")
+_SOLID = re.compile(r"\S*+")
 _AFTER_CUE = {cue: re.compile(pattern) for cue, pattern in CUES.items()}
 _ANCHOR = np.zeros(256, bool)
 _ANCHOR[[ord(c) for c in "@+0123456789:=#"]] = True
@@ -78,15 +94,28 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban(text: str) -> bool:
-    plain = text.replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+def _iban(text: str) -> int:
+    """How many characters of ``text``, which starts like an IBAN, are one; 0 for none.
+
+    Its country says the length.  Without a known one the number ends with ``text`` or before a space.
+    """
+    ends = [i + 1 for i, c in enumerate(text) if c != " "]
+    length = IBAN_LENGTHS.get(text[:2])
+    if length:
+        ends = ends[length - 1 : length]
+    else:
+        ends = [end for end in reversed(ends[14:]) if end == len(text) or text[end] == " "]
+    for end in ends:
+        plain = text[:end].replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return end
+    return 0
 
 
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of all spans, by start, then kind as in ``KINDS``; ends are exclusive."""
     spans = []
-    mail_end = dotted_end = card_end = 0
+    mail_end = dotted_end = card_end = solid_end = url_end = url_stop = url_dot = 0
     for at, (kind, word) in anchors.iter(text):
         if kind == "digit":
             if at >= dotted_end:
@@ -117,17 +146,34 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
             if match and 10 <= sum(map(str.isdigit, match[0])) <= 15:
                 spans.append((at, match.end(), "phone"))
         elif kind == "scheme":
-            match = _AFTER_SCHEME[word].match(text, at + 1)
-            if match:
-                stop = at + 1 + len(match[0].rstrip(".,;:!?)]}"))
-                if word in ("mailto:", "tel:") or _DOMAIN.search(text, at + 1, min(stop, at + 260)):
+            if word in _AFTER_SCHEME:
+                match = _AFTER_SCHEME[word].match(text, at + 1)
+                if match:
+                    stop = at + 1 + len(match[0].rstrip(".,;:!?)]}"))
                     spans.append((at + 1 - len(word), stop, "address"))
+            else:
+                if at + 1 >= url_end:
+                    run = _URL.match(text, at + 1)
+                    url_end = run.end()
+                    url_stop = at + 1 + len(run[0].rstrip(".,;:!?)]}"))
+                    dot = _LAST_DOT.match(text, at + 1, url_stop)
+                    url_dot = dot.end() - 3 if dot else -1
+                if url_dot > at:
+                    spans.append((at + 1 - len(word), url_stop, "address"))
         else:
             match = _AFTER_CUE[word].match(text, at + 1)
-            if match and (word != "iban" or _iban(match[1])):
+            if match:
                 # A key prefix is a part of the identifier itself.
                 start = at + 1 - len(word) if word == "akia" else match.start(1)
-                spans.append((start, match.end(1), "account"))
+                end = match.end(1)
+                if word == "iban":
+                    end = start + _iban(match[1])
+                elif word in ("password", "passwd"):
+                    if end > solid_end:
+                        solid_end = _SOLID.match(text, end).end()
+                    end = solid_end
+                if end > start:
+                    spans.append((start, end, "account"))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return spans
 

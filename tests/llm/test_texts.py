@@ -211,6 +211,39 @@ def test_added_spans_and_masks():
     assert pii.masked("a x@y.zz b", [(2, 8, "email")]) == "a [EMAIL] b"
 
 
+def test_added_spans_are_not_cut():
+    anchors = pii.automaton()
+    for cue, value in [
+        ("token=", "eyJ" + "aB3.-_" * 700), ("api_key=", "k9_" * 300), ("secret: ", "s/+" * 300), ("password=", "é#:" * 300),
+        ("passwd: ", "x!" * 300), ("account no ", "7" * 40), ("", "https://h.org/" + "q=1&" * 2000), ("", "mailto:" + "n" * 99 + "@h.org"),
+        ("", "tel:" + "555-" * 20 + "1"), ("", "http://" + "u" * 300 + ":p@h.org/"),
+    ]:
+        text = f"so {cue}{value} there"
+        spans = [x for x in pii.find_spans(text, anchors) if x[2] in ("address", "account")]
+        assert [text[s:e] for s, e, _ in spans] == [value]
+        assert value[-9:] not in pii.masked(text, pii.find_spans(text, anchors))
+
+
+def test_iban_ends_at_its_countrys_length():
+    anchors = pii.automaton()
+    iban, other = "DE89 3704 0044 0532 0130 00", "ZZ12 3456 7890 1234 5"
+    check = 98 - int("".join(str(int(c, 36)) for c in other.replace(" ", "")[4:] + "ZZ00")) % 97
+    other = other.replace("ZZ12", f"ZZ{check:02}")
+    for text, want in [
+        (f"IBAN {iban} BIC COBADEFF", iban), (f"iban: {iban} 1234 X", iban), (f"IBAN {iban}", iban), (f"IBAN {iban[:-1]}1 BIC", None),
+        (f"IBAN {iban.replace(' ', '')}", iban.replace(" ", "")), (f"IBAN {other} BIC COBADEFF", other), ("IBAN DE89 3704 0044 0532", None),
+    ]:
+        assert [text[s:e] for s, e, k in pii.find_spans(text, anchors) if k == "account"] == [want] * (want is not None), text
+
+
+def test_nested_spans_take_linear_time():
+    anchors = pii.automaton()
+    for part, n in (("password=", 30_000), ("http://a.b", 30_000), ("http://", 30_000)):
+        spans = pii.find_spans(part * n, anchors)
+        ends = {e for _, e, k in spans if k in ("address", "account")}
+        assert ends == (set() if part == "http://" else {len(part) * n})
+
+
 def test_pii_odd_rows(spark, odd):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == odd.count()
