@@ -53,6 +53,29 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, docs):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_near_dedup_stage_loses_no_other_texts(spark, docs):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [
+        (None, words("n")), (None, words("m")), (None, words("n")), (None, ""), (3, words("a")), (5, words("a") + " end"), (5, words("b")),
+        (7, words("c")), (7, words("c") + " end"), (8, words("d")), (8, words("d")), (9, words("e")), (9, words("e")), (9, words("f")),
+        (10, None), (10, ""), (11, words("b") + " end"),
+    ]
+    made = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], docs.schema)
+    left = stage(spark, made, "near_dedup")
+    assert left.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    sevens = [got.pop((7, words("c") + end), 0) for end in ("", " end")]
+    assert sorted(sevens) == [0, 1]
+    assert got == collections.Counter([
+        (None, words("n")), (None, words("m")), (None, words("n")), (None, ""), (3, words("a")), (5, words("b")),
+        (8, words("d")), (9, words("e")), (9, words("f")), (10, None), (10, ""),
+    ])
+    # The same without other texts under an id.
+    made = made.where("doc_id is null or doc_id in (3, 8)")
+    got = collections.Counter(r.doc_id for r in stage(spark, made, "near_dedup").collect())
+    assert got == {None: 4, 3: 1, 8: 1}
+
+
 def test_pii_stage_masks(spark, docs):
     left = stage(spark, docs, "pii")
     assert left.columns == docs.columns and left.count() == docs.count()
