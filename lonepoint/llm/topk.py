@@ -23,15 +23,17 @@ SCALE = 256
 #: Rows of one index block, and queries that meet it at once.
 BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 256
-#: Larger quantised components would let a score leave 64 bits; their vectors take no part.
-LARGEST = 1 << 27
+#: Numbers below this, in absolute value, and their sums with one another fit into 64 bits.
+SAFE = 1 << 62
 
 
 def quantised(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``vec_id, values``: whole numbers of the vectors that take part."""
-    fits = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(LARGEST / SCALE)))
+    """``vec_id, values``: whole numbers of the vectors that take part; an error where one leaves 64 bits."""
+    fits = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    error = F.raise_error(F.lit("a quantised component does not fit into 64 bits")).cast("bigint")
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**63), F.floor(x)).otherwise(error)
     return rows.where(F.col(vector).isNotNull() & fits & F.col("vec_id").isNotNull()).select(
-        "vec_id", F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("values")
+        "vec_id", F.transform(vector, lambda x: whole(x.cast("double") * SCALE)).alias("values")
     )
 
 
@@ -53,12 +55,13 @@ class Slices:
         self.rows, self.width = values.shape
         words = -(-self.rows // 64)
         self.low = values.min(0) if self.rows else np.zeros(self.width, np.int64)
-        shifted = np.zeros((self.width, words * 64), np.int64)
-        shifted[:, : self.rows] = (values - self.low).T
+        # The difference wraps around to the right number without sign.
+        shifted = np.zeros((self.width, words * 64), np.uint64)
+        shifted[:, : self.rows] = (values - self.low).view(np.uint64).T
         self.bits = []
         for column in shifted:
             depth = int(column.max(initial=0)).bit_length()
-            planes = ((column >> np.arange(depth)[:, None]) & 1).astype(np.uint8)
+            planes = ((column >> np.arange(depth, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)
             self.bits.append(np.packbits(planes, axis=1, bitorder="little").view(np.uint64).reshape(depth, words))
         self.valid = np.packbits(np.arange(words * 64) < self.rows, bitorder="little").view(np.uint64)
 
@@ -88,7 +91,10 @@ class Slices:
         return _added(columns), offset
 
     def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that can be among the ``k`` best, boundary ties included, and their scores."""
+        """Rows that can be among the ``k`` best, boundary ties included, and their scores.
+
+        Slices have any number of bits; scores that 64 bits may not hold are Python's whole numbers.
+        """
         slices, offset = self.scores(query)
         sure, open_rows = np.zeros_like(self.valid), self.valid.copy()
         need = min(k, self.rows)
@@ -102,9 +108,10 @@ class Slices:
                 need -= n
                 open_rows &= ~plane
         found = np.flatnonzero(np.unpackbits((sure | open_rows).view(np.uint8), bitorder="little"))
-        value = np.zeros(len(found), np.int64)
+        kind = np.int64 if len(slices) <= 62 and abs(offset) < SAFE else object
+        value = np.zeros(len(found), kind)
         for b, plane in enumerate(slices):
-            value += ((plane[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
+            value += ((plane[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64).astype(kind) << b
         return found, value + offset
 
 
@@ -147,7 +154,12 @@ def _best_in_block(k: int):
                 rows, scores = slices.top(np.asarray(vector), k + int(high - low))
                 own = ids[rows] == query
                 rows, scores = rows[~own], scores[~own]
-                order = np.lexsort((rows, -scores))[:k]
+                if scores.dtype == object:
+                    if any(not -(2**63) <= s < 2**63 for s in scores):
+                        raise OverflowError(f"a score of query {query} does not fit into 64 bits")
+                    scores = scores.astype(np.int64)
+                # The complement orders like the negative, which 64 bits may not hold.
+                order = np.lexsort((rows, ~scores))[:k]
                 found += [(query, vector, ids[r], s) for r, s in zip(rows[order], scores[order])]
         return pd.DataFrame(found, columns=["query_id", "vector", "vec_id", "score"])
 
@@ -157,9 +169,9 @@ def _best_in_block(k: int):
 def top_k(rows: DataFrame, every: int = 50, k: int = 5, vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: best ``k`` rows for every row whose id is divisible by ``every``.
 
-    Vectors that are null, or hold a null or non-finite component, or one that is not below 2**27 when
-    quantised, take no part, nor do rows without id.  Vectors of different lengths are compared as if the
-    shorter one ended in zeros.  Rows that repeat an id are separate candidates, but not for a query of that
+    Vectors that are null, or hold a null or non-finite component, take no part, nor do rows without id.
+    Scores are exact; a component that leaves 64 bits when quantised is an error, and so is a score that does
+    among a query's best of a block.  Vectors of different lengths are compared as if the shorter one ended in zeros.  Rows that repeat an id are separate candidates, but not for a query of that
     id; query rows that agree in id and vector are one query.  Ties go to the smaller id.  An empty table
     gives no rows.  Only ``vec_id`` and the vector are read.
     """
@@ -182,7 +194,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vector: str = "embedding
         spread(index, "block", "part")
         .groupBy("block", "part")
         .cogroup(spread(asked, "block", "part").groupBy("block", "part"))
-        .applyInPandas(_best_in_block(k), "query_id bigint, vector array<int>, vec_id bigint, score bigint")
+        .applyInPandas(_best_in_block(k), "query_id bigint, vector array<bigint>, vec_id bigint, score bigint")
     )
     order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return (

@@ -1,5 +1,6 @@
 """Operators on conversations, vectors, sources and URLs, against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -74,6 +75,36 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 15, 8])
+def test_top_k_takes_large_components(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([1, -1]) * 2.0 ** rng.randint(-8, 21), rng.uniform(-1, 1), rng.uniform(-1, 1) * 1e6]) for i in range(40)]
+    rows[0][1][1] = 0.0
+    rows += [(100, [0.0, 1 / 256, 0.0]), (101, [0.0, 3.5e16, 0.0]), (102, [0.0, -3.5e16, 0.0]), (103, [1e9]), (104, [-524288.0, 0.5, 0.0])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = {}
+    for q in (0, 50, 100):
+        if q in whole:
+            scores = {i: sum(a * b for a, b in zip(v, whole[q])) for i, v in whole.items() if i != q}
+            best = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+            want |= {(q, n + 1): (i, scores[i]) for n, i in enumerate(best)}
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(frame).collect()}
+    assert got == want and (101 in {i for i, _ in want.values()})
+
+
+def test_top_k_refuses_what_leaves_64_bits(spark):
+    for rows, error in [([(0, [1.0]), (1, [1e17])], "component"), ([(0, [1e9]), (1, [1e9])], "score of query 0")]:
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match=error):
+            topk.top_k(frame).collect()
+    low, high = -(2**63), 2**63 - 1
+    slices = topk.Slices(np.array([[low, 3], [high, 3], [0, 3]]))
+    found, scores = slices.top(np.array([high, -1]), 3)
+    assert dict(zip(found.tolist(), scores.tolist())) == {0: low * high - 3, 1: high * high - 3, 2: -3}
+
+
 # Operator 8
 
 
