@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lonepoint.llm import chat, topk, url_filters
+from lonepoint.llm import chat, hard_negatives, prefix_trie, topk, url_filters
+from lonepoint.llm.language import language_id
 from lonepoint.llm.mixing import mix
 from lonepoint.llm.near_dedup import near_duplicates
 from lonepoint.llm.pii import find_pii
@@ -69,6 +70,18 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.shifted_labels(table(spark, sf, "embeddings")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,10 +93,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE = {
     "op3_chat": chat.ORACLE,
     "op5_topk": topk.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

@@ -29,7 +29,7 @@ def stage(spark, docs, name):
 
 def test_stage_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "pii", "mixing", "sentencepiece"]
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
