@@ -7,12 +7,14 @@ points a cell holds; it expires with the watermark.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.slides import event_time, slide_index, slide_of_time
-from ..functions.vectors import Space
-from ..operators.routes import Route, assign, drop_stale_replicas
+from ..functions.vectors import Space, finite
+from ..operators.routes import GridRoute, Route, assign, drop_stale_replicas
 
 
 def with_event_time(points: DataFrame, slide: int, delay: int = 0) -> DataFrame:
@@ -85,3 +87,58 @@ def window_density(
             slide_of_time(F.col("report.start")).alias("e"), "n_points", "n_settled", "n_dense_cells"
         )
     )
+
+
+def _stream_sites(points: DataFrame, slide: int, space: Space, delay: int) -> DataFrame:
+    """Distinct vectors of each slide, once it is closed: ``id, n, ts`` and the coordinates.
+
+    Vectors with a coordinate that is not an ordinary number stay by themselves.
+    """
+    timed = space.project(with_event_time(points, slide, delay), F.col("id").cast("bigint").alias("id"), "ts")
+    if space.flat:
+        ordinary = functools.reduce(lambda a, b: a & b, [finite(F.col(c)) for c in space.coords()])
+    else:
+        ordinary = F.forall("value", finite)
+    alone = F.when(~ordinary, F.col("id")).alias("alone")
+    sites = timed.groupBy(F.window("ts", "1 second").alias("slide"), *space.coords(), alone)
+    return sites.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select(
+        "id", "n", F.window_time("slide").alias("ts"), *space.coords()
+    )
+
+
+def window_outliers(
+    points: DataFrame, window: int, slide: int, radius: float, k: int,
+    space: Space = Space(), route: Route | None = None, delay: int = 0,
+) -> DataFrame:
+    """Outliers per closed window, ``(e, n_outliers)``, by joins and aggregates of the stream alone.
+
+    Distinct vectors of a slide are probes and stored points of a stream-stream join on the partition, within
+    one window of time; the watermark removes both sides.  Two chained aggregates follow: neighbours per probe and
+    window, outliers per window.  Copies of a vector are one row each side.  A window is reported when the
+    watermark has passed its last probe by the length of a window, since a pair may come that late.
+    """
+    if window % slide:
+        raise ValueError("the window must be a multiple of the slide")
+    m = window // slide
+    route = route or GridRoute(radius)
+    probes = route.with_reach(_stream_sites(points, slide, space, delay), space)
+    probes = probes.withColumn("part", F.explode_outer("parts")).drop("parts")
+    stored = route.with_home(_stream_sites(points, slide, space, delay), space)
+    stored = stored.select(
+        F.col("part").alias("npart"), F.col("id").alias("nid"), F.col("n").alias("nn"), F.col("ts").alias("nts"),
+        *space.prefixed(stored, "n"),
+    )
+    near_time = F.expr(f"nts BETWEEN ts - INTERVAL {m - 1} SECONDS AND ts + INTERVAL {m - 1} SECONDS")
+    d = F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(space.distance("", "n"))
+    pairs = probes.join(stored, (F.col("part") == F.col("npart")) & near_time).where(d <= F.lit(float(radius)))
+    placed = pairs.withColumn("window", F.window("ts", f"{m} seconds", "1 second"))
+    placed = placed.where((F.col("nts") >= F.col("window.start")) & (F.col("nts") < F.col("window.end")))
+    counted = placed.groupBy("window", "id").agg(F.sum("nn").alias("near"), F.max("n").alias("n"))
+    # A probe's own copies are counted with it, so fewer than k others reads: at most k.
+    outliers = F.sum(F.when(F.col("near") <= k, F.col("n")).otherwise(F.lit(0)))
+    return (
+        counted.withColumn("closed", F.window_time("window"))
+        .groupBy(F.window("closed", "1 second").alias("report"))
+        .agg(outliers.alias("n_outliers"))
+        .select(slide_of_time(F.col("report.start")).alias("e"), "n_outliers")
+    )

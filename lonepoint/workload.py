@@ -26,10 +26,12 @@ from .plans import status as st
 from .plans.detect import detect_outliers, detect_rk, detect_rkws, keyed_points, partition_outliers
 from .plans.params import QuerySet, reporting_windows, with_queries
 from .session import shared_dir
-from .sources.points import format_points, parse_points, points_from_table, sample_head, sample_random, stream_table_points
+from .sources.points import (
+    format_points, parse_points, points_from_table, sample_head, sample_random, stream_table_points, stream_text_points,
+)
 from .sources.reports import report_lines, table_sink
-from .streaming.native import window_density, window_replicas
-from .streaming.slides import stream_outliers, stream_rk, stream_rkws
+from .streaming.keyed import stream_outliers, stream_rk, stream_rkws, stream_transitions
+from .streaming.native import window_density, window_outliers, window_replicas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -886,19 +888,45 @@ BATCHES = 4
 FILES_PER_BATCH = 2
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of several batches, by ranges of ids that arrive one after the other."""
+def _in_batches(spark: SparkSession, sf: str, late: int | None = None) -> tuple[list[DataFrame], int]:
+    """The events by ranges of ids, and the ids in a range; every ``late``-th event goes to the range after its own."""
     table = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
-    low, high = table.agg(F.min("event_id"), F.max("event_id")).first()
+    low, high = (x or 0 for x in table.agg(F.min("event_id"), F.max("event_id")).first())
+    shift = f" + int(event_id % {late} = 0)" if late else ""
+    place = F.expr(f"least((event_id - {low}) * {BATCHES} div {high - low + 1}{shift}, {BATCHES - 1})")
+    return [table.where(place == i) for i in range(BATCHES)], -(-(high - low + 1) // BATCHES)
+
+
+def _table_stream(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
+    """Batches that arrive one after the other as parquet files."""
     folder = shared_dir(spark, "event-files")
-    place = F.expr(f"least((event_id - {low or 0}) * {BATCHES} div {max(1, (high or 0) - (low or 0) + 1)}, {BATCHES - 1})")
-    for i in range(BATCHES):
-        table.where(place == i).repartition(FILES_PER_BATCH).write.mode("append").parquet(folder)
+    for batch in batches:
+        batch.repartition(FILES_PER_BATCH).write.mode("append").parquet(folder)
     return stream_table_points(
         spark, folder, "event_id bigint, value double", "event_id", ["value"], files_per_trigger=FILES_PER_BATCH
     )
 
 
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of several batches, by ranges of ids that arrive one after the other."""
+    return _table_stream(spark, _in_batches(spark, sf)[0])
+
+
+def late_stream(spark: SparkSession, sf: str, slide: int) -> tuple[DataFrame, int]:
+    """The same, with every seventh point a batch late; also how many slides late that can be."""
+    batches, size = _in_batches(spark, sf, late=7)
+    return _table_stream(spark, batches), 2 * size // slide + 2
+
+
+def text_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as text files that arrive one after the other."""
+    folder = shared_dir(spark, "event-text")
+    for batch in _in_batches(spark, sf)[0]:
+        lines = format_points(points_from_table(batch, "event_id", ["value"]))
+        lines.coalesce(1).write.mode("append").text(folder)
+    return stream_text_points(spark, folder, files_per_trigger=1)
+
+
 def _finished(started) -> DataFrame:
     running, report = started
     running.awaitTermination()
@@ -923,6 +951,55 @@ def _(spark, sf):
     return _finished(stream_rkws(event_stream(spark, sf), *RKWS_ARGS, store, space=D1))
 
 
+@query("stream_text_single", single_sql(EVENTS_SQL, W, S, 5.0, 10, closed_only=True))
+def _(spark, sf):
+    store = shared_dir(spark, "stream-text")
+    return _finished(stream_outliers(text_stream(spark, sf), W, S, 5.0, 10, store, space=D1))
+
+
+@query("stream_plane", single_sql(PLANE_SQL, W, S, 5.0, 5, dims=2, closed_only=True))
+def _(spark, sf):
+    """Two coordinates, of which the second is computed from the stream's own columns."""
+    store = shared_dir(spark, "stream-plane")
+    table = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value", "ts")
+    folder = shared_dir(spark, "plane-files")
+    table.repartitionByRange(BATCHES, "event_id").write.parquet(folder)
+    stream = points_from_table(
+        spark.readStream.schema(table.schema).parquet(folder), "event_id", ["value", F.expr(HOUR)]
+    )
+    return _finished(stream_outliers(stream, W, S, 5.0, 5, store, space=D2))
+
+
+@query("stream_corrections", single_sql(EVENTS_SQL, W, S, 5.0, 10, closed_only=True))
+def _(spark, sf):
+    """Late points correct the windows that were reported without them."""
+    points, late = late_stream(spark, sf, S)
+    store = shared_dir(spark, "stream-corrections")
+    return _finished(stream_outliers(points, W, S, 5.0, 10, store, space=D1, lateness=late))
+
+
+@query(
+    "stream_transitions",
+    f"{_STATUS}, l AS (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY e) AS previous FROM st) "
+    "SELECT e, id, previous, status FROM l WHERE previous <> status AND e < (SELECT max(sl) FROM p)",
+)
+def _(spark, sf):
+    store = shared_dir(spark, "stream-transitions")
+    return _finished(stream_transitions(event_stream(spark, sf), W, S, 5.0, 10, store, D1))
+
+
+@query(
+    "stream_native_single",
+    f"SELECT * FROM ({single_sql(EVENTS_SQL, W, S, 5.0, 10)}) WHERE e < (SELECT max(event_id) // {S} FROM events) - {M}",
+)
+def _(spark, sf):
+    """Joins and aggregates of the stream alone; a window is reported one window's length later."""
+    store = shared_dir(spark, "stream-native")
+    report = window_outliers(event_stream(spark, sf), W, S, 5.0, 10, D1)
+    table_sink(report, f"{store}/report", f"{store}/checkpoint").awaitTermination()
+    return spark.read.schema("e bigint, n_outliers bigint").parquet(f"{store}/report")
+
+
 @query(
     "stream_replicas",
     f"WITH {_GRID1D}, q AS (SELECT part, home, sl, unnest(range(sl, sl + {M})) AS e FROM g) "

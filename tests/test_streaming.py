@@ -1,12 +1,15 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lonepoint.functions import Space
-from lonepoint.plans.detect import RK, RKWS, detect_outliers, evaluate
+from lonepoint.operators.routes import HashRoute
+from lonepoint.plans.detect import RK, detect_outliers, evaluate
 from lonepoint.plans.params import QuerySet
+from lonepoint.plans.status import point_status, status_transitions
 from lonepoint.sources import console_sink, stream_text_points, table_sink
-from lonepoint.streaming.native import window_density
-from lonepoint.streaming.slides import drain, stream_outliers, stream_report
+from lonepoint.streaming.keyed import keyed_report, stream_outliers, stream_transitions
+from lonepoint.streaming.native import window_density, window_outliers
 
 from . import brute
 from .test_detect import crowd, frame
@@ -30,20 +33,38 @@ def rows(df):
     return {(r["e"], r["w"], r["s"], r["r"], r["k"]): r["n_outliers"] for r in df.collect()}
 
 
-def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
-    points = crowd(200, 1, seed=61)
-    source = tmp_path / "in"
+def started(spark, tmp_path, batches, name="in"):
+    """A stream of text files, one per batch."""
+    source = tmp_path / name
     source.mkdir()
-    for n in range(4):
-        write_file(source, n, points[n * 50 : (n + 1) * 50])
-    stream = stream_text_points(spark, str(source), files_per_trigger=1)
-    query, report = stream_outliers(stream, 40, 10, 0.5, 3, str(tmp_path / "store"), space=Space(1))
+    for n, points in enumerate(batches):
+        write_file(source, n, points)
+    return stream_text_points(spark, str(source), files_per_trigger=1)
+
+
+@pytest.mark.parametrize("dims, buckets", [(1, 3), (2, 1), (3, 16)])
+def test_stream_equals_batch_on_closed_windows(spark, tmp_path, dims, buckets):
+    points = crowd(200, dims, seed=61)
+    points[5] = (points[5][0], [float("nan")] * dims)
+    points[17] = (points[17][0], [float("inf")] * dims)
+    stream = started(spark, tmp_path, [points[n * 50 : (n + 1) * 50] for n in range(4)])
+    query, report = stream_outliers(stream, 40, 10, 0.5, 3, str(tmp_path / "store"), Space(dims), buckets=buckets)
     run(query)
     expected = brute.single(points, 40, 10, 0.5, 3)
     got = {r["e"]: r["n_outliers"] for r in report().collect()}
     assert got == {e: n for e, n in expected.items() if e < 19}
 
 
+@pytest.mark.parametrize("radius, k", [(0.0, 1), (0.0, 0), (0.5, 0), (1e-3, 2)])
+def test_stream_small_radii_and_ks(spark, tmp_path, radius, k):
+    points = [(i, [float(i % 4), -0.0 if i % 8 else 0.0]) for i in range(80)]
+    stream = started(spark, tmp_path, [points[:33], points[33:]])
+    query, report = stream_outliers(stream, 20, 5, radius, k, str(tmp_path / "store"), Space(2))
+    run(query)
+    expected = brute.single(points, 20, 5, radius, k)
+    assert {r["e"]: r["n_outliers"] for r in report().collect()} == {e: n for e, n in expected.items() if e < 15}
+
+
 def test_restart_and_drain(spark, tmp_path):
     points = crowd(200, 1, seed=62)
     queries = QuerySet([40, 60], [10, 20], [0.3, 1.0], [2, 5])
@@ -54,38 +75,114 @@ def test_restart_and_drain(spark, tmp_path):
         write_file(source, n, points[n * 50 : (n + 1) * 50])
         if n % 2:
             stream = stream_text_points(spark, str(source), files_per_trigger=1)
-            query, tables = stream_report(stream, queries, store, RKWS["sop"], Space(1))
+            query, report = keyed_report(stream, queries, store, Space(1))
             run(query)
     whole = rows(evaluate(frame(spark, points), queries, RK["sop"], Space(1)))
-    closed, rest = rows(tables.results()), rows(drain(tables, space=Space(1)))
+    closed, rest = rows(report.results()), rows(report.drain())
     assert not set(closed) & set(rest)
     assert {**closed, **rest} == whole
     # Slides that no open window needs have been removed.
-    kept = spark.read.parquet(f"{tables.path}/points").select("batch").distinct().count()
-    assert kept < 4
+    assert report.points().agg(F.min("sl")).first()[0] >= 19 - 6
 
 
-def test_late_points_count_for_open_windows_only(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    write_file(source, 0, [(0, [0.0]), (1, [5.0]), (10, [0.1])])
-    write_file(source, 1, [(2, [0.0]), (20, [0.0]), (40, [9.0])])
-    stream = stream_text_points(spark, str(source), files_per_trigger=1)
-    query, report = stream_outliers(stream, 20, 10, 0.5, 1, str(tmp_path / "store"), space=Space(1))
+def test_state_does_not_grow_with_the_stream(spark, tmp_path):
+    points = [(i, [float(i % 7)]) for i in range(600)]
+    stream = started(spark, tmp_path, [points[n : n + 50] for n in range(0, 600, 50)])
+    query, _ = stream_outliers(stream, 40, 10, 0.5, 3, str(tmp_path / "store"), Space(1), buckets=2)
     run(query)
-    # Window 0 was reported before point 2 came: points 0 and 1 were alone.
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    # 60 slides went through windows of 4; a key holds its slides and timers.
+    assert len(held) == 12 and max(held[6:]) <= max(held[:6])
+
+
+def test_late_points_are_dropped(spark, tmp_path):
+    batches = [[(0, [0.0]), (1, [5.0]), (10, [0.1])], [(20, [0.0])], [(2, [0.0]), (40, [9.0])]]
+    query, report = stream_outliers(started(spark, tmp_path, batches), 20, 10, 0.5, 1, str(tmp_path / "store"), Space(1))
+    run(query)
+    # Window 0 was reported before point 2 came, and its slide was closed.
     assert {r["e"]: r["n_outliers"] for r in report().collect()} == {0: 2, 1: 1, 2: 0, 3: 1}
 
 
-def test_delay_keeps_windows_open(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    write_file(source, 0, [(0, [0.0]), (1, [5.0]), (10, [0.1])])
-    write_file(source, 1, [(2, [0.0]), (20, [0.0]), (40, [9.0])])
-    stream = stream_text_points(spark, str(source), files_per_trigger=1)
-    query, report = stream_outliers(stream, 20, 10, 0.5, 1, str(tmp_path / "store"), space=Space(1), delay=1)
+def test_late_points_correct_reported_windows(spark, tmp_path):
+    batches = [[(0, [0.0]), (1, [5.0]), (10, [0.1])], [(2, [0.0]), (20, [0.0])], [(40, [9.0]), (3, [5.0]), (11, [0.0])], [(4, [0.0]), (50, [1.0])]]
+    stream = started(spark, tmp_path, batches)
+    query, report = keyed_report(stream, QuerySet([20], [10], [0.5], [1]), str(tmp_path / "store"), Space(1), lateness=2)
+    run(query)
+    # Point 3 is two slides late; so is point 11 then; point 4 is four late, which is too much.
+    arrived = [p for batch in batches for p in batch if p[0] != 4]
+    expected = brute.single(sorted(arrived), 20, 10, 0.5, 1)
+    got = {r["e"]: r["n_outliers"] for r in report.results().collect()}
+    assert got == {e: n for e, n in expected.items() if e < 5}
+    seen = {r["e"]: r["version"] for r in report.versions().groupBy("e").agg(F.max("version").alias("version")).collect()}
+    assert seen[0] == 2 and seen[3] == 0
+
+
+def test_shuffled_arrival_gives_the_batch_report(spark, tmp_path):
+    import random
+
+    points = crowd(240, 1, seed=71)
+    order = sorted(points, key=lambda p: p[0] + random.Random(p[0]).randint(0, 60))
+    stream = started(spark, tmp_path, [order[n : n + 30] for n in range(0, 240, 30)])
+    queries = QuerySet([40, 80], [10], [0.3, 1.0], [2, 5])
+    query, report = keyed_report(stream, queries, str(tmp_path / "store"), Space(1), lateness=10, buckets=3)
     run(query)
-    assert {r["e"]: r["n_outliers"] for r in report().collect()} == {0: 1, 1: 1, 2: 0}
+    whole = rows(evaluate(frame(spark, points), queries, RK["sop"], Space(1)))
+    assert rows(report.results()) == {key: n for key, n in whole.items() if key[0] < 23}
+
+
+@pytest.mark.parametrize("seed, k", [(81, 3), (82, 1), (83, 0)])
+def test_transitions_equal_batch(spark, tmp_path, seed, k):
+    points = crowd(200, 1, seed=seed)
+    stream = started(spark, tmp_path, [points[n * 50 : (n + 1) * 50] for n in range(4)])
+    query, report = stream_transitions(stream, 60, 10, 0.5, k, str(tmp_path / "store"), Space(1), buckets=3)
+    run(query)
+    expected = status_transitions(point_status(frame(spark, points), 60, 10, 0.5, k, Space(1))).where("e < 19")
+    assert sorted(tuple(r) for r in report().collect()) == sorted(tuple(r) for r in expected.collect())
+
+
+def test_events_wake_a_key_without_new_points(spark, tmp_path):
+    # Point 20 loses its neighbours in slides 0 and 1 while nothing arrives near it.
+    points = [(0, [0.0]), (10, [0.0]), (20, [0.0]), *[(i, [50.0]) for i in range(30, 100, 10)]]
+    query, report = stream_transitions(started(spark, tmp_path, [points]), 50, 10, 0.5, 2, str(tmp_path / "store"), Space(1))
+    run(query)
+    got = [tuple(r) for r in report().where("id < 30").orderBy("e", "id").collect()]
+    assert got == [(2, 0, "outlier", "safe_inlier"), (2, 10, "outlier", "inlier"), (5, 10, "inlier", "outlier"), (5, 20, "inlier", "outlier")]
+
+
+def test_stream_with_another_metric(spark, tmp_path):
+    points = crowd(120, 2, seed=64)
+    space = Space(2, metric=lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x))
+    matrix = lambda a, b: np.abs(a[:, None, :] - b[None, :, :]).sum(2)
+    stream = started(spark, tmp_path, [points[:70], points[70:]])
+    queries = QuerySet([40], [10], [0.5], [3])
+    with pytest.raises(ValueError):
+        keyed_report(stream, queries, str(tmp_path / "bad"), space)
+    query, report = keyed_report(stream, queries, str(tmp_path / "store"), space, route=HashRoute(3), distance=matrix)
+    run(query)
+    whole = rows(evaluate(frame(spark, points), queries, RK["sop"], space, part=HashRoute(3)))
+    assert rows(report.results()) == {key: n for key, n in whole.items() if key[0] < 11}
+
+
+def test_empty_stream(spark, tmp_path):
+    query, report = stream_outliers(started(spark, tmp_path, [[]]), 40, 10, 0.5, 3, str(tmp_path / "store"), Space(1))
+    run(query)
+    assert report().count() == 0
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_native_outliers_and_restart(spark, tmp_path, dims):
+    points = [(i, [round(x, 1) for x in v]) for i, v in crowd(160, dims, seed=65)]
+    points[3], points[4] = (3, [float("nan")] * dims), (4, [float("nan")] * dims)
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for n in range(4):
+        write_file(source, n, points[n * 40 : (n + 1) * 40])
+        if n % 2:
+            stream = stream_text_points(spark, str(source), files_per_trigger=1)
+            run(table_sink(window_outliers(stream, 40, 10, 0.5, 3, Space(dims)), out, str(tmp_path / "checkpoint")))
+    got = {r["e"]: r["n_outliers"] for r in spark.read.parquet(out).collect()}
+    expected = brute.single(points, 40, 10, 0.5, 3)
+    assert got == {e: n for e, n in expected.items() if e < 15 - 4}
 
 
 def test_native_density(spark, tmp_path):
