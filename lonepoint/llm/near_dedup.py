@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonepoint.llm.components import components
-from lonepoint.llm.words import Words, map_texts, mix, powers, span_hashes
+from lonepoint.llm.words import Words, map_texts, mix, powers, span_hashes, window_hashes
 from lonepoint.session import written
 
 SHINGLE = 5
@@ -74,7 +74,7 @@ def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
     words = Words(column, lower=True)
     hashes = words.hashes()
     at = words.windows(width)
-    shingles = span_hashes(hashes, at, at + width)
+    shingles = window_hashes(hashes, width)[at]
     cut = np.searchsorted(words.doc[at], np.arange(len(column) + 1))
     found = []
     for d, n in enumerate(words.count.tolist()):
@@ -313,3 +313,56 @@ def near_duplicates(
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that near-duplicate removal keeps, with all their columns.
+
+    Of each group the document with the smallest id stays.  Rows without id are documents of their own and all
+    stay, also those without text.  Rows that repeat an id and its text are one document.  Other texts under a
+    repeated id are documents of their own, which go only as near copies.  An empty table stays empty.
+    """
+    # The row travels as one column, so that none of its own can clash.
+    named = docs.where("doc_id is not null").select(
+        "doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    ends = named.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    if ends.where("low <> high").isEmpty():
+        kept = near_duplicates(named).where("kept").select("doc_id")
+        left = named.select("doc_id", "row").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    else:
+        # Written, so that the numbers stay what they are.
+        rows = named.dropDuplicates(["doc_id", "mark"]).withColumn("number", F.monotonically_increasing_id())
+        rows = written(rows, "near-dedup-rows")
+        groups = near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"))
+        groups = groups.select(F.col("doc_id").alias("number"), "component_id")
+        first = F.min(F.struct("doc_id", "mark", "number")).alias("first")
+        kept = rows.select("doc_id", "mark", "number").join(groups, "number").groupBy("component_id").agg(first)
+        left = rows.join(kept.select("first.number"), "number", "left_semi")
+    return left.select("row.*").union(docs.where("doc_id is null"))
+
+
+ORACLE = """
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END),
+                                              lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS shingles
+  FROM texts
+), parts AS (
+  SELECT doc_id, unnest(shingles) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM parts a JOIN parts b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * same >= 75 * (len(x.shingles) + len(y.shingles) - same)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM texts
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM sets s JOIN reached r ON r.a = s.doc_id GROUP BY s.doc_id, s.shingles
+"""

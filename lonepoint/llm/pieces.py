@@ -267,7 +267,7 @@ class PieceModel:
                 for i, n, ids in zip(part.tolist(), counts, table.tolist()):
                     ids = ids[:n]
                     text = ",".join([self.id_text[x] for x in ids])
-                    raw = chunks[i].replace(MARK, " ").encode()
+                    raw = b"".join([self.output[x] for x in ids])
                     self.memory[chunks[i]] = text, raw, bytes([self.plain[x] for x in ids])
 
     def _symbols(self, text: str) -> np.ndarray:
@@ -384,9 +384,9 @@ class Encoding:
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """``doc_id, ids, ends`` for every row: pieces and the source byte at which each ends.
+    """``doc_id, ids, ends, decoded`` for every row: pieces, the source byte at which each ends, the text of the ids.
 
-    A null or empty text has no pieces.  Repeated rows are encoded alike, an empty table gives no rows.
+    A null or empty text has no pieces and is decoded as empty.  Repeated rows are encoded alike, an empty table gives no rows.
     Only ``doc_id`` and ``text`` are read; ``model`` is the content of a model file.
     """
 
@@ -399,15 +399,20 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 piece.column(0),
                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids).astype(np.int32))),
                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(ends))),
+                pa.array([m.decoded() for m in made], pa.string()),
             ],
-            ["doc_id", "ids", "ends"],
+            ["doc_id", "ids", "ends", "decoded"],
         )
 
-    return _with_model(docs.select("doc_id", "text"), model, run, "doc_id bigint, ids array<int>, ends array<bigint>")
+    schema = "doc_id bigint, ids array<int>, ends array<bigint>, decoded string"
+    return _with_model(docs.select("doc_id", "text"), model, run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; no ids, or null, give an empty text."""
+    """``doc_id, text`` from ``doc_id, ids``; no ids, or null, give an empty text.
+
+    Repeated rows are decoded alike, an empty table gives no rows.
+    """
 
     def run(batches):
         pieces = PieceModel(model)

@@ -1,6 +1,6 @@
 """Quality by counting rules and a calibrated classifier on hashed word and character n-grams.
 
-The classifier sees, for every text, the shares of its words, word pairs and byte triples in hash buckets.
+The classifier sees, for every text, the shares of its words, word pairs and runs of three characters in hash buckets.
 It is fitted on one part of a bounded sample of labelled rows and its probabilities are calibrated on the
 other.  Texts are scored in Arrow batches, all texts of a batch at once, and a fixed threshold decides.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonepoint.llm.linear import Rows, fit, labelled_sample, prior, sigmoid
-from lonepoint.llm.words import Words, map_texts, mix, span_hashes
+from lonepoint.llm.words import Words, map_texts, mix, span_hashes, window_hashes
 
 #: At most so many labelled rows train the model; every fifth of them calibrates it.
 SAMPLE_ROWS = 4_000
@@ -37,18 +37,17 @@ def _summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _ngrams(words: Words, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(text, bucket)`` of the words, word pairs and byte triples, each in its own range."""
+    """``(text, bucket)`` of the words, word pairs and runs of three characters, each in its own range."""
     pairs = words.windows(2)
-    triples = np.flatnonzero(np.ones(max(0, len(words.data) - 2), bool))
-    home = np.repeat(np.arange(len(words.count)), np.diff(words.offsets))
-    triples = triples[home[triples] == home[triples + 2]] if len(triples) else triples
-    data = words.data.astype(np.uint32)
-    code = data[triples] << np.uint32(16) | data[triples + 1] << np.uint32(8) | data[triples + 2]
-    code = (code * np.uint32(0x9E3779B1)) >> np.uint32(17)
+    # Characters of UTF-8 begin where a byte does not go on with the one before it.
+    begins = np.flatnonzero((words.data & 0xC0) != 0x80)
+    letters = span_hashes(words.data.astype(np.uint64), begins, np.append(begins[1:], len(words.data)))
+    home = np.searchsorted(words.offsets, begins, "right") - 1
+    triples = np.flatnonzero(home[: max(0, len(home) - 2)] == home[2:])
     kinds = [
         (words.doc, (hashes % np.uint64(BUCKETS)).astype(np.int64)),
-        (words.doc[pairs], (span_hashes(hashes, pairs, pairs + 2) % np.uint64(BUCKETS)).astype(np.int64)),
-        (home[triples], (code % np.uint32(BUCKETS)).astype(np.int64)),
+        (words.doc[pairs], (window_hashes(hashes, 2)[pairs] % np.uint64(BUCKETS)).astype(np.int64)),
+        (home[triples], (window_hashes(letters, 3)[triples] % np.uint64(BUCKETS)).astype(np.int64)),
     ]
     return [(doc, bucket + i * BUCKETS) for i, (doc, bucket) in enumerate(kinds)]
 
@@ -155,7 +154,7 @@ def counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     duplicates = np.bincount(home, minlength=n) - np.bincount(distinct[:, 0].astype(np.int64), minlength=n)
 
     at = words.windows(3)
-    keys = mix(span_hashes(hashes, at, at + 3) + mix(words.doc[at].astype(np.uint64) + np.uint64(1)))
+    keys = mix(window_hashes(hashes, 3)[at] + mix(words.doc[at].astype(np.uint64) + np.uint64(1)))
     ordered = np.sort(keys)
     often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     covered = np.zeros(len(words.doc) + 3, bool)

@@ -13,7 +13,8 @@ start at an earlier place, in a smaller document or further up in the same one.
 4. A name with very many different fragments would make one shard too large.  Its windows are dealt out one
    by one, by their own hash, and compared by a pre-aggregated minimum.
 
-Words and windows are compared by 64-bit hashes.
+Words are compared by 64-bit hashes; windows by those of all their words, or by 128 bits where they are dealt out,
+and fragments by the 128 bits of name and content.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonepoint.llm.fm_index import FmIndex
-from lonepoint.llm.words import Words, map_texts, mix, span_hashes
+from lonepoint.llm.words import Words, map_texts, mix, span_hashes, window_hashes
 from lonepoint.session import written
 
 WIDTH = 20
@@ -40,14 +41,29 @@ SHARD_FRAGMENTS = 4_096
 _LAST = (1 << 63) - 1
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """``place, row, doc_id, text``: the order of the documents, and what tells those at one place apart.
+
+    ``place`` is the id, the largest number for a null one.  Where ids are not unique, texts under one id are
+    told apart by ``row``, a hash of the text.
+    """
+    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("place"), "doc_id", "text")
+    several = rows.groupBy("place").agg(F.count("*").alias("rows")).where("rows > 1")
+    row = F.lit(0).cast("bigint") if several.isEmpty() else F.xxhash64("text")
+    return rows.select("place", row.alias("row"), "doc_id", "text")
+
+
+def _digests(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of fragments, by the sequence of their windows."""
+    return span_hashes(window_hashes(hashes, width), first, first + count)
+
+
 def _names(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of all windows, and the smallest shingle of each."""
     at = words.windows(width)
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    n = len(hashes) - SHINGLE + 1
-    shingles = np.arange(n)
-    least = span_hashes(hashes, shingles, shingles + SHINGLE)
+    least = window_hashes(hashes, SHINGLE)
     # Minima over runs of 1, 2, 4, ... shingles, then over the whole run from two that overlap.
     run, wanted = 1, width - SHINGLE + 1
     while run * 2 <= wanted:
@@ -65,64 +81,64 @@ def _fragments(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray
     count = np.diff(np.append(first, len(at)))
     reach = width - SHINGLE
     itself = count > reach + 1
-    windows, home = span_hashes(hashes, at, at + width), np.cumsum(new) - 1
+    windows, home = window_hashes(hashes, width)[at], np.cumsum(new) - 1
     for step in range(1, min(reach + 1, len(at))):
         same = np.flatnonzero(windows[step:] == windows[:-step])
         itself[home[same[home[same] == home[same + step]]]] = True
     return at[first], count, names[first], itself
 
 
-def fragments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``name, digest, place, start, windows, itself``: all fragments, with a hash of their content.
+def fragments(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``name, digest, place, row, start, windows, itself``: all fragments, with a hash of their content.
 
-    ``place`` is the document's id, the largest number for a null one.  ``itself`` is false if no window
-    can occur twice in the fragment.
+    ``itself`` is false if no window can occur twice in the fragment.
     """
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(piece.column(1))
+        words = Words(piece.column(2))
         hashes = words.hashes()
         first, count, names, itself = _fragments(words, hashes, width)
-        digests = span_hashes(hashes, first, first + count + width - 1)
+        digests = _digests(hashes, first, count, width)
         doc = words.doc[first]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(names.view(np.int64)),
                 pa.array(digests.view(np.int64)),
                 piece.column(0).take(pa.array(doc)),
+                piece.column(1).take(pa.array(doc)),
                 pa.array((first - words.first[doc]).astype(np.int32)),
                 pa.array(count.astype(np.int32)),
                 pa.array(itself),
             ],
-            ["name", "digest", "place", "start", "windows", "itself"],
+            ["name", "digest", "place", "row", "start", "windows", "itself"],
         )
 
     return map_texts(
-        docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("place"), "text"),
+        texts.select("place", "row", "text"),
         "text",
         run,
-        "name bigint, digest bigint, place bigint, start int, windows int, itself boolean",
+        "name bigint, digest bigint, place bigint, row bigint, start int, windows int, itself boolean",
     )
 
 
-def _content(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``wanted`` rows (``name, digest, place, start, windows``) with their word hashes."""
-    lists = wanted.groupBy("place").agg(F.collect_list(F.struct("name", "digest", "start", "windows")).alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("place"), "text").join(lists, "place")
+def _content(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``wanted`` rows (``name, digest, place, row, start, windows``) with their word hashes.
+
+    Rows that agree in place and row are read once.
+    """
+    entry = F.struct("name", "digest", "start", "windows")
+    lists = wanted.groupBy("place", "row").agg(F.collect_list(entry).alias("wanted"))
+    read = texts.select("place", "row", "text").join(lists, ["place", "row"])
+    read = read.groupBy("place", "row").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch | None:
-        words = Words(piece.column(1))
+        words = Words(piece.column(2))
         hashes = words.hashes()
-        lists = piece.column(2)
+        lists = piece.column(3)
         doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
         name, digest, start, windows = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
         first = words.first[doc] + start
         size = windows.astype(np.int64) + width - 1
-        # Where an id has several rows, only the one with that content counts.
-        fits = first + size <= words.first[doc + 1]
-        doc, name, digest, start, first, size = (x[fits] for x in (doc, name, digest, start, first, size))
-        fits = span_hashes(hashes, first, first + size).view(np.int64) == digest
-        doc, name, digest, start, first, size = (x[fits] for x in (doc, name, digest, start, first, size))
         if not len(doc):
             return None
         ends = np.cumsum(size)
@@ -131,34 +147,38 @@ def _content(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes[at].view(np.int64))
         )
         return pa.RecordBatch.from_arrays(
-            [pa.array(name), pa.array(digest), piece.column(0).take(pa.array(doc)), pa.array(start), content],
-            ["name", "digest", "place", "start", "words"],
+            [
+                pa.array(name), pa.array(digest), piece.column(0).take(pa.array(doc)), piece.column(1).take(pa.array(doc)),
+                pa.array(start), content,
+            ],
+            ["name", "digest", "place", "row", "start", "words"],
         )
 
     return map_texts(
-        texts.select("place", "text", "wanted"),
+        read.select("place", "row", "text", "wanted"),
         "text",
         run,
-        "name bigint, digest bigint, place bigint, start int, words array<bigint>",
+        "name bigint, digest bigint, place bigint, row bigint, start int, words array<bigint>",
     )
 
 
-def _intervals(place: np.ndarray, start: np.ndarray, width: int) -> pd.DataFrame:
+def _intervals(place: np.ndarray, row: np.ndarray, start: np.ndarray, width: int) -> pd.DataFrame:
     """Runs of windows at consecutive starts, as intervals of words."""
     new = np.ones(len(place), bool)
-    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place))[: len(first)] - 1
-    return pd.DataFrame(
-        {"place": place[first], "from_word": start[first].astype("int64"), "to_word": start[last].astype("int64") + width}
-    )
+    return pd.DataFrame({
+        "place": place[first], "row": row[first],
+        "from_word": start[first].astype("int64"), "to_word": start[last].astype("int64") + width,
+    })
 
 
 def _search_shard(width: int):
     """Repeated windows among the fragments of one shard."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "start"])
+        group = group.sort_values(["place", "row", "start"])
         sizes = group["words"].map(len).to_numpy()
         # A separator after each fragment; it is symbol 0 and in no window.
         ends = np.cumsum(sizes + 1) - 1
@@ -176,17 +196,17 @@ def _search_shard(width: int):
         home = fragment[window]
         begins = ends - sizes
         start = group["start"].to_numpy()[home] + window - begins[home]
-        return _intervals(group["place"].to_numpy()[home], start, width)
+        return _intervals(group["place"].to_numpy()[home], group["row"].to_numpy()[home], start, width)
 
     return run
 
 
 def _window_rows(content: DataFrame, width: int) -> DataFrame:
-    """``window, place, start``: every window of the fragments by its hash."""
+    """``window, check, place, row, start``: every window of the fragments by two hashes."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.cumsum(sizes)
@@ -194,35 +214,42 @@ def _window_rows(content: DataFrame, width: int) -> DataFrame:
             at = np.arange(len(hashes))
             at = at[at + width <= ends[home]]
             home = home[at]
-            start = batch.column(1).to_numpy()[home] + at - (ends - sizes)[home]
+            start = batch.column(2).to_numpy()[home] + at - (ends - sizes)[home]
+            both = [window_hashes(h, width)[at].view(np.int64) for h in (hashes, mix(hashes + np.uint64(1)))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(mix(span_hashes(hashes, at, at + width)).view(np.int64)),
+                    *map(pa.array, both),
                     batch.column(0).take(pa.array(home)),
+                    batch.column(1).take(pa.array(home)),
                     pa.array(start.astype(np.int32)),
                 ],
-                ["window", "place", "start"],
+                ["window", "check", "place", "row", "start"],
             )
 
-    return content.select("place", "start", "words").mapInArrow(run, "window bigint, place bigint, start int")
+    return content.select("place", "row", "start", "words").mapInArrow(
+        run, "window bigint, check bigint, place bigint, row bigint, start int"
+    )
 
 
-def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``place, from_word, to_word``: words to remove; intervals may overlap."""
+def repeated_intervals(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``place, row, from_word, to_word``: words to remove from ``place, row, text``; intervals may overlap."""
     # Read twice: the fragments of all texts take more room than making them again takes time.
-    every = fragments(docs, width)
+    every = fragments(texts, width)
     counted = every.groupBy("name").agg(F.count("*").alias("times"), F.max("itself").alias("itself"))
     again = counted.where("times > 1 or itself").select("name")
     repeated = written(every.join(again, "name"), "repeated")
+    origin = F.min(F.struct("place", "row", "start")).alias("origin")
     distinct = repeated.groupBy("name", "digest").agg(
-        F.min(F.struct("place", "start")).alias("origin"), F.min("windows").alias("windows"), F.max("itself").alias("itself")
+        origin, F.min("windows").alias("windows"), F.max("itself").alias("itself")
     )
     distinct = written(distinct, "distinct")
+    later = F.expr("place <> origin.place or row <> origin.row or start <> origin.start")
     copies = (
         repeated.join(distinct.select("name", "digest", "origin"), ["name", "digest"])
-        .where((F.col("place") != F.col("origin.place")) | (F.col("start") != F.col("origin.start")))
+        .where(later)
         .select(
             "place",
+            "row",
             F.col("start").cast("long").alias("from_word"),
             (F.col("start") + F.col("windows") + width - 1).cast("long").alias("to_word"),
         )
@@ -230,31 +257,27 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     by_name = distinct.groupBy("name").agg(F.count("*").alias("fragments"), F.max("itself").alias("itself"))
     searched = by_name.where((F.col("fragments") > 1) | F.col("itself")).select("name", "fragments")
     wanted = distinct.join(searched, "name").select(
-        "name",
-        "digest",
-        F.col("origin.place").alias("place"),
-        F.col("origin.start").alias("start"),
-        "windows",
-        (F.col("fragments") > HOT_NAME).alias("hot"),
+        "name", "digest", "origin.place", "origin.row", "origin.start", "windows", (F.col("fragments") > HOT_NAME).alias("hot")
     )
     wanted = written(wanted, "wanted")
     sizes = {r["hot"]: r["count"] for r in wanted.groupBy("hot").count().collect()}
     shards = max(1, -(-sizes.get(False, 0) // SHARD_FRAGMENTS))
     found = (
-        _content(docs, wanted.where("not hot").drop("hot"), width)
+        _content(texts, wanted.where("not hot").drop("hot"), width)
         .withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(_search_shard(width), "place bigint, from_word bigint, to_word bigint")
+        .applyInPandas(_search_shard(width), "place bigint, row bigint, from_word bigint, to_word bigint")
     )
     if not sizes.get(True):
         return copies.union(found)
-    windows = _window_rows(_content(docs, wanted.where("hot").drop("hot"), width), width)
-    first = windows.groupBy("window").agg(F.min(F.struct("place", "start")).alias("origin"))
+    windows = _window_rows(_content(texts, wanted.where("hot").drop("hot"), width), width)
+    first = windows.groupBy("window", "check").agg(origin)
     single = (
-        windows.join(first, "window")
-        .where((F.col("place") != F.col("origin.place")) | (F.col("start") != F.col("origin.start")))
+        windows.join(first, ["window", "check"])
+        .where(later)
         .select(
             "place",
+            "row",
             F.col("start").cast("long").alias("from_word"),
             (F.col("start") + width).cast("long").alias("to_word"),
         )
@@ -265,16 +288,18 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Digest what is left of every text: ``doc_id, n_words, n_removed, kept_sha256``.
 
-    A null or empty text has no words.  A null ``doc_id`` comes after all others.  Rows that share a
-    ``doc_id`` are at the same place: neither is earlier, and what is removed by position in one is removed
-    in all.  An empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
+    A null or empty text has no words.  A null ``doc_id`` comes after all others.  Different texts under one
+    ``doc_id``, or without one, are documents of their own, one after the other by a hash of the text; rows that
+    agree in id and text are one document, and each is left with the same words.  An empty table gives no rows.
+    Only ``doc_id`` and ``text`` are read.
     """
+    texts = _texts(docs)
     cut = (
-        repeated_intervals(docs, width)
-        .groupBy("place")
+        repeated_intervals(texts, width)
+        .groupBy("place", "row")
         .agg(F.sort_array(F.collect_set(F.struct("from_word", "to_word"))).alias("cut"))
     )
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("place")).join(cut, "place", "left")
+    rows = texts.join(cut, ["place", "row"], "left")
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(piece.column(1))
@@ -308,3 +333,25 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         run,
         "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     )
+
+
+ORACLE = """
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS s FROM texts)
+), again AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM again
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM texts) w
+  ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i
+  GROUP BY w.doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, len(t.words)::BIGINT - coalesce(k.n, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""

@@ -21,8 +21,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _OTHER = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_FACTOR = 0x9E3779B97F4A7C15 | 5
-_FACTOR_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,11 +59,36 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash per span ``[start, end)`` of ``values``, by its sequence of values alone."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_FACTOR, len(values))[: len(values)], out=sums[1:])
-    found = (sums[ends] - sums[starts]) * powers(_FACTOR_INVERSE, len(values) + 1)[starts]
-    return mix(found + (ends - starts).astype(np.uint64))
+    """One hash per span ``[start, end)`` of ``values``, by its sequence of values alone.
+
+    Time and room grow with the lengths of all spans.
+    """
+    size = ends - starts
+    edges = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(edges[-1]) - np.repeat(edges[:-1], size)
+    terms = mix(values[np.repeat(starts, size) + place] + place.astype(np.uint64) * _STEP)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    return mix(sums[edges[1:]] - sums[edges[:-1]] + size.astype(np.uint64))
+
+
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """One hash per run of ``width`` consecutive values, by its sequence of values alone.
+
+    Runs are put together from runs of 1, 2, 4, ... values.
+    """
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, have, run, size = None, 0, values, 1
+    while True:
+        if width & size:
+            part = run[have : have + n]
+            out = part if out is None else mix(out * _FACTOR + part)
+            have += size
+        if have == width:
+            return mix(out + np.uint64(width))
+        run = mix(run[:-size] * _STEP + run[size:])
+        size *= 2
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lonepoint.llm import chat, hard_negatives, prefix_trie, topk, url_filters
+from lonepoint.llm import chat, hard_negatives, near_dedup, prefix_trie, substring_dedup, topk, url_filters
 from lonepoint.llm.language import language_id
 from lonepoint.llm.mixing import mix
 from lonepoint.llm.near_dedup import near_duplicates
@@ -101,6 +101,8 @@ QUERIES = {
 ORACLE = {
     "op3_chat": chat.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op6_minhash": near_dedup.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,

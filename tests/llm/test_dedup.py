@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lonepoint.llm import near_dedup, substring_dedup
@@ -161,3 +162,35 @@ def test_substring_dedup_odd_rows(spark):
     got = substring_dedup.without_repeats(frame(spark, [(1, text), (1, text), (2, text)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 30)]
     assert substring_dedup.without_repeats(frame(spark, [(1, text)]).limit(0)).count() == 0
+
+
+def test_substring_dedup_tells_texts_under_one_id_apart(spark):
+    def run(prefix, n):
+        return " ".join(f"{prefix}{i}" for i in range(n))
+
+    rows = [(1, run("a", 30)), (None, run("a", 30)), (None, run("u", 40)), (None, run("v", 25)), (7, run("a", 25)), (7, run("z", 50)), (None, None)]
+    got = substring_dedup.without_repeats(frame(spark, rows)).collect()
+    want = [(1, 30, 0), (7, 25, 25), (7, 50, 0), (None, 0, 0), (None, 25, 0), (None, 30, 30), (None, 40, 0)]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=str) == sorted(want, key=str)
+    # A third of all rows without id, with texts of their own and one common passage.
+    rng = random.Random(6)
+    rows = [(i if i % 3 else None, run(f"t{i}x", rng.randint(5, 40)) + (" " + run("p", 25) if i % 4 == 0 else "")) for i in range(90)]
+    got = substring_dedup.without_repeats(frame(spark, rows)).collect()
+    assert sum(r.n_removed for r in got) == 25 * (sum(i % 4 == 0 for i in range(90)) - 1)
+
+
+def test_hashes_tell_regular_patterns_apart():
+    from lonepoint.llm.words import Words, span_hashes, window_hashes
+
+    thue = [bin(i).count("1") % 2 for i in range(4096)]
+    first, second = ("".join("ab"[b] for b in thue), "".join("ba"[b] for b in thue))
+    hashes = Words(pa.array([first, second, first])).hashes()
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    values = np.array([5, 9, 5, 9, 9, 5, 9, 5, 5, 9], np.uint64)
+    for width in (1, 2, 3, 5, 7):
+        made = window_hashes(values, width)
+        runs = [tuple(values[i : i + width]) for i in range(len(values) - width + 1)]
+        assert len(made) == len(runs) and len(set(made.tolist())) == len(set(runs))
+        assert all((made[i] == made[j]) == (runs[i] == runs[j]) for i in range(len(runs)) for j in range(len(runs)))
+    spans = span_hashes(values, np.array([0, 2, 4, 0]), np.array([2, 4, 4, 2]))
+    assert spans[0] == spans[1] == spans[3] != spans[2]
