@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonepoint.llm import mixing, pieces, pii, toxicity
-from lonepoint.llm.near_dedup import near_duplicates
+from lonepoint.llm.near_dedup import one_of_each_group
 from lonepoint.llm.workload import piece_model, table
 from lonepoint.session import written
 
@@ -27,24 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id.
 
-    Rows without id are documents of their own and all stay.  Rows that repeat an id and its text are one
-    document.  Other texts under a repeated id are documents of their own, which go only as near copies.
+    Rows without id are documents of their own and all stay; see ``one_of_each_group``.
     """
-    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
-    ends = named.groupBy("doc_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high"))
-    if ends.where("low <> high").isEmpty():
-        kept = near_duplicates(named).where("kept").select("doc_id")
-        left = named.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    else:
-        # Written, so that the numbers stay what they are.
-        rows = named.dropDuplicates(["doc_id", "_text"]).withColumn("_row", F.monotonically_increasing_id())
-        rows = written(rows, "pipeline-rows")
-        groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-        groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
-        first = F.min(F.struct("doc_id", "_text", "_row"))
-        kept = rows.select("doc_id", "_text", "_row").join(groups, "_row").groupBy("component_id").agg(first.alias("first"))
-        left = rows.join(kept.select("first._row"), "_row", "left_semi")
-    return left.select(docs.columns).union(docs.where("doc_id is null"))
+    return one_of_each_group(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, ends`` of every row: piece ids, and the byte of the text where each ends."""
+    """``doc_id, n_tokens, ids, ends, decoded`` of every row: piece ids, the byte where each ends, the text of the ids."""
     encoded = pieces.encode(docs, piece_model())
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ends")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ends", "decoded")
 
 
 STAGES = [
