@@ -352,13 +352,17 @@ WITH RECURSIVE texts AS (
                                               lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS shingles
   FROM texts
 ), parts AS (
-  SELECT doc_id, unnest(shingles) AS shingle FROM sets
+  SELECT doc_id, len(shingles) AS n, unnest(list_transform(shingles, lambda s: hash(s))) AS shingle FROM sets
+), common AS (
+  SELECT * FROM parts QUALIFY count(*) OVER (PARTITION BY shingle) > 1
 ), pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM parts a JOIN parts b USING (shingle)
-  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS same
+  FROM common a JOIN common b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+), one_way AS (
+  SELECT a, b FROM pairs WHERE 100 * same >= 75 * (na + nb - same)
 ), links AS (
-  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
-  WHERE 100 * same >= 75 * (len(x.shingles) + len(y.shingles) - same)
+  SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way
 ), reached AS (
   SELECT doc_id AS a, doc_id AS b FROM texts
   UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b

@@ -98,7 +98,7 @@ def test_mixing_stage_repeats_rows(spark, docs):
 def test_chain(spark):
     made = corpus_pipeline.run(spark, SF)
     rows = made.collect()
-    assert made.columns == ["doc_id", "n_tokens", "ids", "ends"] and rows
+    assert made.columns == ["doc_id", "n_tokens", "ids", "ends", "decoded"] and rows
     model = piece_model()
     assert len(model) and all(r.n_tokens == len(r.ids) == len(r.ends) for r in rows)
     known = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
