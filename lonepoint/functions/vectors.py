@@ -55,17 +55,46 @@ def distance_band(d: Column, radii: Sequence[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(r)) for r in ordered]), lambda r: r < d))
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A distance of two array columns, and what plans may rely on.
+
+    ``axis`` says that two coordinates differ by at most so many times the distance, which lets grids and
+    boundaries partition by coordinates.  ``diameter`` is the largest distance within a cell of side 1, by the number
+    of coordinates, and must grow in proportion with the side; it tells how small a dense cell has to be.
+    """
+
+    function: Callable[[Column, Column], Column]
+    axis: float | None = None
+    diameter: Callable[[int], float] | None = None
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        return self.function(a, b)
+
+
+def _gaps(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.abs(x - y))
+
+
+#: Sum and maximum of the coordinates' differences.
+MANHATTAN = Metric(lambda a, b: F.aggregate(_gaps(a, b), F.lit(0.0), lambda t, x: t + x), 1.0, float)
+CHEBYSHEV = Metric(lambda a, b: F.aggregate(_gaps(a, b), F.lit(0.0), lambda t, x: F.greatest(t, x)), 1.0, lambda n: 1.0)
+
+
 @dataclass(frozen=True)
 class Space:
     """How vectors are laid out and compared.
 
     ``dims`` is the common vector length; ``None`` allows ragged vectors, which
     are compared over their common prefix.  ``metric`` replaces the Euclidean
-    distance and receives two array columns.
+    distance and receives two array columns; as a ``Metric`` it says what it
+    allows.  ``centres`` are the middles of balls that take the place of dense
+    cells where cells are unknown or too many; they only steer the plan.
     """
 
     dims: int | None = None
     metric: Callable[[Column, Column], Column] | None = None
+    centres: tuple[tuple[float, ...], ...] = ()
 
     @property
     def flat(self) -> bool:
@@ -109,6 +138,11 @@ class Space:
     def axis(self, i: int) -> Column:
         return F.col(f"x{i}") if self.flat else F.get("value", F.lit(i))
 
+    @property
+    def axis_bound(self) -> float | None:
+        """How far coordinates can be apart at distance 1, if that is known."""
+        return 1.0 if self.metric is None else getattr(self.metric, "axis", None)
+
     @property
     def cell_axes(self) -> int:
         """Axes used for grid cells; the distance test settles the others."""
@@ -147,9 +181,13 @@ class Space:
         """Key of a cell whose members are all within radius of each other.
 
         Null for vectors with a coordinate that is not an ordinary number, and
-        always null under a custom metric, for which no such cell is known.
+        always null under a metric for which no such cell is known.  With centres
+        the cell is the nearest one's ball of half the radius, null outside of it.
         """
-        if self.metric is not None:
+        if self.centres and not self.flat:
+            return self._nearest_centre(radius)
+        diameter = getattr(self.metric, "diameter", None)
+        if self.metric is not None and (diameter is None or self.dims is None):
             return F.lit(None).cast("bigint")
         if radius == 0:
             parts = [self.axis(i) for i in range(self.dims)] if self.flat else None
@@ -164,10 +202,18 @@ class Space:
             cells = [F.floor(s) for s in scaled]
             return F.when(ok, cells[0] if self.dims == 1 else F.array(*cells))
         value = F.col("value")
-        side = F.lit(radius * (1 - SLACK)) / F.sqrt(F.size(value))
+        across = F.sqrt(F.size(value)) if diameter is None else F.lit(diameter(self.dims))
+        side = F.lit(radius * (1 - SLACK)) / across
         ok = F.forall(value, lambda x: F.coalesce(F.abs(x / side) <= F.lit(MAX_CELL), F.lit(False)))
         return F.when(ok, F.transform(value, lambda x: F.floor(x / side)))
 
+    def _nearest_centre(self, radius: float) -> Column:
+        d = self.distances_to(self.centres)
+        inside = F.lit(radius / 2 * (1 - SLACK))
+        # Computed once: the first centre that is nearest, if it is near enough.
+        found = F.transform(F.array(d), lambda x: F.when(F.array_min(x) <= inside, F.array_position(x, F.array_min(x))))
+        return F.get(found, F.lit(0))
+
 
 def _distances_udf(vectors: Sequence[Sequence[float]]):
     """Distances of long vectors to a few fixed ones, a batch of rows at a time."""

@@ -2,7 +2,8 @@
 
 Points of one slide with equal vectors have the same neighbours, so the search
 runs once per distinct vector and slide, against distinct vectors with their
-numbers.  However many copies of a point there are, they cost one pair.
+numbers.  However many copies of a point there are, they cost one pair.  Where
+distinct vectors crowd, a pyramid of cell counts replaces the pairs.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Space, finite
+from . import pyramid
 from .joins import window_pairs
 from .routes import Route
 from .windows import histogram_counts
 
+#: A place is crowded if a cell holds so many times more sites, within a window's length, than a ball has cells.
+CROWD = 4
+
 
 def sites(pts: DataFrame, space: Space) -> DataFrame:
     """Distinct vectors per slide: smallest id, number of points ``n``.
@@ -45,12 +50,24 @@ def neighbour_histogram(
     """
     radii = sorted(radii)
     distinct = sites(pts, space)
+    sparse, crowded = distinct, None
+    if pyramid.usable(space, radii):
+        # Sites whose ball may hold more of them than it has cells are looked up in the pyramid.
+        crowds = pyramid.crowded_cells(distinct, span, radii[-1], space, CROWD * pyramid.CELLS[space.dims])
+        placed = distinct.withColumn("home", pyramid.home_cell(space, radii[-1]))
+        placed = placed.join(crowds.withColumn("crowd", F.lit(True)), "home", "left").drop("home")
+        sparse = placed.where("crowd is null").drop("crowd")
+        crowded = placed.where("crowd").drop("crowd")
     pairs = window_pairs(
-        distinct, distinct, slide=slide, span=span, radius=radii[-1], space=space, route=route
+        sparse, distinct, slide=slide, span=span, radius=radii[-1], space=space, route=route
     )
     per_site = pairs.groupBy("id", "nsl").agg(
         *[F.expr(f"sum(if(d <= double({float(r)!r}), n, 0)) as c{i}") for i, r in enumerate(radii)]
     )
+    if crowded is not None:
+        counted = pyramid.crowded_counts(crowded, distinct, span, radii, space)
+        # Other slides are listed if they hold a neighbour; the own one holds the site itself.
+        per_site = per_site.unionByName(counted.where(F.col(f"c{len(radii) - 1}") > 0))
     # A site of one point is that point; only sites with copies go back to the points.
     single = distinct.where(F.col("n") == 1).select(F.col("id").alias("site"), "id", "sl")
     several = distinct.where(F.col("n") > 1).withColumnRenamed("id", "site")

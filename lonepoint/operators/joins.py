@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import SLACK, Space, grid_width
 from ..session import spread
 from .blocks import BLOCK_ROWS, block_join
-from .routes import GridRoute, PivotRoute, Route, nearest_pivot
+from .routes import PivotRoute, Route, grid_route, nearest_pivot
 from .training import draw_pivots
 
 # Upper bound on the stored rows of one join key.
@@ -51,7 +51,7 @@ def window_pairs(
     ids holds at most C rows however crowded a partition is, and the work grows
     with the length of the stream, not with its square.
     """
-    route = route or GridRoute(radius)
+    route = route or grid_route(space, radius)
     blocks = uses_blocks(space)
     least, most = (MIN_BLOCK, BLOCK_ROWS) if blocks else (MIN_CHUNK, CHUNK_ROWS)
     size = chunk or max(least, min(most, slide * span))
@@ -151,7 +151,7 @@ def range_join(
     queries: DataFrame, points: DataFrame, radius: float, space: Space, route: Route | None = None
 ) -> DataFrame:
     """All points within the radius of each query: ``(qid, nid, d)``."""
-    route = route or GridRoute(radius)
+    route = route or grid_route(space, radius)
     left = route.with_reach(space.project(queries, F.col("id").alias("qid")), space)
     left = left.withColumn("part", F.explode_outer("parts")).drop("parts")
     right = route.with_home(space.project(points, "id"), space)

@@ -80,6 +80,13 @@ class GridRoute(Route):
         return df.withColumn("parts", F.array(*_product(around)))
 
 
+def grid_route(space: Space, radius: float) -> GridRoute:
+    """The grid for a radius, as wide as the metric needs."""
+    if space.axis_bound is None:
+        raise ValueError("grid partitioning needs a metric that bounds coordinates")
+    return GridRoute(radius * space.axis_bound)
+
+
 class HashRoute(Route):
     """Replicate to ``width`` hash partitions, each split further by ``inner``.
 

@@ -1,8 +1,9 @@
 """Partition training over the whole table.
 
-Vantage points and pivots are picked from a few candidates, which a hash of the
-id draws from all rows.  Thresholds are quantiles over all rows, one aggregate
-per level.  The driver sees the candidates and the thresholds only.
+Vantage points, pivots and thresholds come from a bounded sample, which a hash of
+the id draws from all rows in one pass; its number grows with the leaves.  They
+steer how even the partitions are, never the result.  Under a metric of its own
+a tree's thresholds are quantiles over all rows, one aggregate per level.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ CANDIDATES = 1_024
 ACCURACY = 10_000
 MAX_HEIGHT = 6
 MAX_PIVOTS = 256
+#: Sampled rows for each leaf of a tree, and bytes of a sample.
+LEAF_ROWS = 256
+SAMPLE_BYTES = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -77,6 +81,8 @@ def train_vantage_tree(
     height = partitions.bit_length() - 1
     if partitions < 2 or partitions != 1 << height or height > MAX_HEIGHT:
         raise ValueError(f"partitions must be a power of two from 2 to {1 << MAX_HEIGHT}")
+    if space.metric is None and space.dims is not None:
+        return _sampled_tree(points, height, quantile, space.dims)
     space = Space(metric=space.metric)
     usable = usable_points(points)
     members = [candidate_vectors(usable)]
@@ -113,6 +119,26 @@ def train_vantage_tree(
     return VantageTree(list(zip(vantages, thresholds)))
 
 
+def _sampled_tree(points: DataFrame, height: int, quantile: float, dims: int) -> VantageTree:
+    """A tree from one sample, for vectors of a known length."""
+    value = F.col("value").cast("array<double>")
+    usable = points.where((F.size("value") == dims) & F.forall("value", finite)).select("id", value.alias("value"))
+    rows = min(max(CANDIDATES, LEAF_ROWS << height), max(1, SAMPLE_BYTES // (8 * dims)))
+    members, nodes = [candidate_vectors(usable, rows)], []
+    for _ in range(height):
+        below = []
+        for inside in members:
+            vantage = median_vector(inside)
+            d = np.sqrt(((inside - vantage) ** 2).sum(axis=1))
+            threshold = float(np.quantile(d, quantile))
+            nodes.append((vantage.tolist(), threshold))
+            for part in (inside[d <= threshold], inside[d > threshold]):
+                # A side that got no row keeps its parent's, so that the tree stays complete.
+                below.append(part if len(part) else inside)
+        members = below
+    return VantageTree(nodes)
+
+
 def train_pivots(points: DataFrame, count: int = 16) -> list[list[float]]:
     """Pivots far apart from each other, picked farthest-first from the candidates."""
     matrix = candidate_vectors(usable_points(points))

@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.slides import slide_index
 from ..functions.vectors import Space
+from ..operators.clusters import free_centres
 from ..operators.density import unsettled_points
 from ..operators.joins import uses_blocks, window_pairs
-from ..operators.routes import BandRoute, BoundsRoute, GridRoute, HashRoute, PivotRoute, Route, VantageRoute
+from ..operators.routes import BandRoute, BoundsRoute, HashRoute, PivotRoute, Route, VantageRoute, grid_route
 from ..operators.training import train_pivot, train_pivots, train_vantage_tree
 from ..operators.windows import histogram_counts, occupied_windows, slide_histogram, window_counts
 from .params import QuerySet, parse_rk, reporting_windows
@@ -38,6 +39,7 @@ class Strategy:
 
     part: str = "grid"             # default partitioning
     histogram: bool = False        # count per slide first, then per window
+    clusters: bool = False         # dense balls around free centres instead of dense cells
 
 
 SINGLE = {
@@ -46,6 +48,7 @@ SINGLE = {
     "advanced_vp": Strategy(part="metric"),
     "slicing": Strategy(histogram=True),
     "pmcod": Strategy(),
+    "free_clusters": Strategy(part="metric", clusters=True),
 }
 RK = {
     "pamcod": Strategy(histogram=True),
@@ -91,14 +94,15 @@ def route_maker(
     """
     if isinstance(part, Route):
         return lambda radius: part
+    if part.startswith("preset:") or part in ("grid", "hash"):
+        if space.axis_bound is None:
+            raise ValueError("partitioning by coordinates needs a metric that bounds them")
     if part.startswith("preset:"):
-        return lambda radius: BoundsRoute.preset(part.split(":", 1)[1], radius)
-    if part in ("grid", "hash") and space.metric is not None:
-        raise ValueError("grid partitioning needs the Euclidean distance")
+        return lambda radius: BoundsRoute.preset(part.split(":", 1)[1], radius * space.axis_bound)
     if part == "grid":
-        return GridRoute
+        return lambda radius: grid_route(space, radius)
     if part == "hash":
-        return lambda radius: HashRoute(parallelism, GridRoute(radius))
+        return lambda radius: HashRoute(parallelism, grid_route(space, radius))
     if part == "hash_band":
         pivot = train_pivot(points)
         return lambda radius: HashRoute(parallelism, BandRoute(pivot, radius))
@@ -164,6 +168,11 @@ def evaluate(
     suspects = []
     for group in radius_groups(queries.radii):
         radii = [queries.radii[i] for i in group]
+        if plan.clusters:
+            # A ball settles points if slides have more than k of its points, on average at least.
+            ends = points.agg(F.min(slide_index(queries.unit)).alias("a"), F.max(slide_index(queries.unit)).alias("b")).first()
+            least = limit * ((ends["b"] or 0) - (ends["a"] or 0) + 1)
+            space = replace(space, centres=free_centres(points, radii[0], space, least))
         counts = neighbour_counts(points, queries, plan, space, route(radii[-1]), chunk, radii)
         few = _within(counts, between).where(F.col("n0") <= limit)
         suspects.append(few.select("wi", "e", *[F.col(f"n{j}").alias(f"n{i}") for j, i in enumerate(group)]))

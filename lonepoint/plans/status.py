@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import Space
 from ..operators.density import with_search_span
 from ..operators.joins import window_pairs
-from ..operators.routes import GridRoute, Route
+from ..operators.routes import Route, grid_route
 from .detect import keyed_points
 
 OUTLIER, INLIER, SAFE = "outlier", "inlier", "safe_inlier"
@@ -31,7 +31,7 @@ def _histories(
     is_safe = F.col("safe") | F.lit(k == 0)
     safe, rest = spans.where(is_safe), spans.where(~is_safe)
     pairs = window_pairs(
-        rest.drop("settled", "safe"), pts, slide=slide, span=m, radius=radius, space=space, route=route or GridRoute(radius)
+        rest.drop("settled", "safe"), pts, slide=slide, span=m, radius=radius, space=space, route=route or grid_route(space, radius)
     )
     # Running sums at the slides that hold a neighbour, each repeated up to the next one.
     by_time = Window.partitionBy("id").orderBy("nsl")

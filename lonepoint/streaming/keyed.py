@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.slides import EVENT_BASE
 from ..functions.vectors import MAX_CELL, SLACK, Space
-from ..operators.routes import GridRoute, Route, assign
+from ..operators.routes import Route, assign, grid_route
 from ..plans.detect import SINGLE, evaluate
 from ..plans.params import QuerySet, parse_rk
 from ..plans.status import INLIER, OUTLIER, SAFE
@@ -351,11 +351,11 @@ def _routed(
     """Copies of the points by key; a point is once in every cell that its ball touches."""
     if space.dims is None:
         raise ValueError("a stream needs vectors of a declared length")
-    if (space.metric is None) != (distance is None) or (space.metric is not None and route is None):
-        raise ValueError("another metric comes with its matrix form and a route")
+    if (space.metric is None) != (distance is None):
+        raise ValueError("another metric comes with its matrix form")
     # Spark drops what is not after the watermark: one slide more, so that the newest one stays open.
     timed = space.project(with_event_time(points, slide, lateness + 1), F.col("id").cast("bigint").alias("id"), "sl", "ts")
-    copies = assign(timed, route or GridRoute(radius), space).withColumn("cell", F.xxhash64("part")).drop("part")
+    copies = assign(timed, route or grid_route(space, radius), space).withColumn("cell", F.xxhash64("part")).drop("part")
     return copies.withColumn("bucket", F.pmod("cell", F.lit(buckets)))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.slides import event_time, slide_index, slide_of_time
 from ..functions.vectors import Space, finite
-from ..operators.routes import GridRoute, Route, assign, drop_stale_replicas
+from ..operators.routes import Route, assign, drop_stale_replicas, grid_route
 
 
 def with_event_time(points: DataFrame, slide: int, delay: int = 0) -> DataFrame:
@@ -120,7 +120,7 @@ def window_outliers(
     if window % slide:
         raise ValueError("the window must be a multiple of the slide")
     m = window // slide
-    route = route or GridRoute(radius)
+    route = route or grid_route(space, radius)
     probes = route.with_reach(_stream_sites(points, slide, space, delay), space)
     probes = probes.withColumn("part", F.explode_outer("parts")).drop("parts")
     stored = route.with_home(_stream_sites(points, slide, space, delay), space)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.slides import slide_index
-from .functions.vectors import SLACK, Space
+from .functions.vectors import CHEBYSHEV, MANHATTAN, SLACK, Space
 from .operators import neighbours as nb
 from .operators.density import dense_cells, looking_back, outside_dense_cells
 from .operators.histogram import band_counts, cumulative_counts, neighbour_histogram, neighbour_totals
@@ -464,6 +464,17 @@ _VECTOR_PAIRS = (
 )
 
 
+@query(
+    "range_join_chebyshev",
+    f"WITH p AS ({TIMELINE_SQL}) SELECT a.id AS qid, b.id AS nid, round(greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)), 6) AS d "
+    "FROM p a JOIN p b ON abs(a.x0 - b.x0) <= 0.8::DOUBLE AND abs(a.x1 - b.x1) <= 0.8::DOUBLE",
+)
+def _(spark, sf):
+    pts = timeline(spark, sf)
+    pairs = range_join(pts, pts, 0.8, Space(2, CHEBYSHEV))
+    return pairs.select("qid", "nid", F.round("d", 6).alias("d"))
+
+
 @query("range_join_events", f"{_TIMELINE_PAIRS} SELECT qid, nid, round(d, 6) AS d FROM pr")
 def _(spark, sf):
     pts = timeline(spark, sf)
@@ -837,6 +848,28 @@ def _(spark, sf):
     return detect_outliers(vectors(spark, sf), 100, 50, 1.2, 2, "advanced_vp", D64)
 
 
+def _taxi(sql: str) -> str:
+    """The same SQL in the plane with the sum of the coordinates' differences."""
+    return sql.replace(distance_sql("a", "b", 2), "(abs(a.x0-b.x0) + abs(a.x1-b.x1))")
+
+
+@query("single_manhattan", _taxi(single_sql(PLANE_SQL, W, S, 5.0, 5, 2)))
+def _(spark, sf):
+    """Another metric, with cells and dense cells by what it says of coordinates."""
+    return detect_outliers(plane(spark, sf), W, S, 5.0, 5, space=Space(2, MANHATTAN))
+
+
+@query("single_plug_in_clusters", _taxi(single_sql(PLANE_SQL, W, S, 5.0, 5, 2)))
+def _(spark, sf):
+    """A metric of which nothing is known but that it is one: free centres and vantage points."""
+    return detect_outliers(plane(spark, sf), W, S, 5.0, 5, "free_clusters", Space(2, lambda a, b: MANHATTAN(a, b)))
+
+
+@query("single_embedding_clusters", single_sql(VECTORS_SQL, 100, 50, 1.2, 2, 64))
+def _(spark, sf):
+    return detect_outliers(vectors(spark, sf), 100, 50, 1.2, 2, "free_clusters", D64)
+
+
 @query("single_order_lines", single_sql(LINES_SQL, 2000, 500, 1.0, 3, 2))
 def _(spark, sf):
     return detect_outliers(order_lines(spark, sf), 2000, 500, 1.0, 3, space=D2)

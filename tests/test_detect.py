@@ -1,11 +1,16 @@
+import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from lonepoint.functions import Space
+from lonepoint.functions import CHEBYSHEV, MANHATTAN, Metric, Space
+from lonepoint.operators import histogram, pyramid
+from lonepoint.operators.clusters import free_centres
+from lonepoint.operators.density import unsettled_points
 from lonepoint.operators.routes import BoundsRoute, GridRoute
-from lonepoint.plans.detect import RK, RKWS, SINGLE, detect_outliers, detect_rk, detect_rkws
+from lonepoint.plans.detect import RK, RKWS, SINGLE, detect_outliers, detect_rk, detect_rkws, keyed_points
 from lonepoint.plans.params import QuerySet, gcd_of, parse_rk, with_queries
 from lonepoint.plans.status import expiry_schedule, point_status, safe_inliers, status_transitions
 
@@ -224,3 +229,87 @@ def test_parameters(spark):
     queries = QuerySet([10, 20, 10], [5], [1.0, 0.5], [3])
     assert queries.windows == (10, 20) and queries.radii == (0.5, 1.0) and queries.spans == [2, 4]
     assert with_queries(spark.range(3), queries).count() == 12
+
+
+def by_metric(points, window, slide, radius, k, distance):
+    expected = {}
+    for e in range(max(i for i, _ in points) // slide + window // slide):
+        inside = [(i, v) for i, v in points if e - window // slide < i // slide <= e]
+        if inside:
+            expected[e] = sum(sum(1 for j, u in inside if j != i and distance(v, u) <= radius) < k for i, v in inside)
+    return expected
+
+
+def taxi(a, b):
+    return sum(abs(x - y) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("name", ["manhattan", "chebyshev", "stretched"])
+@pytest.mark.parametrize("part", ["grid", "hash", "metric"])
+def test_metrics_that_bound_coordinates(spark, name, part):
+    # The stretched one counts the first coordinate a tenth, so that it may differ by ten times the distance.
+    tenth = Metric(lambda a, b: F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) / 10 + F.abs(F.get(a, F.lit(1)) - F.get(b, F.lit(1))), 10.0, lambda n: 1.1)
+    metric, distance = {
+        "manhattan": (MANHATTAN, taxi),
+        "chebyshev": (CHEBYSHEV, lambda a, b: max(abs(x - y) for x, y in zip(a, b))),
+        "stretched": (tenth, lambda a, b: abs(a[0] - b[0]) / 10 + abs(a[1] - b[1])),
+    }[name]
+    points = crowd(90, 2, seed=12)
+    got = detect_outliers(frame(spark, points), 30, 10, 0.7, 3, "slicing", Space(2, metric), part=part)
+    assert as_dict(got) == by_metric(points, 30, 10, 0.7, 3, distance)
+
+
+def clustered(n, dims, seed):
+    """A third of all points in one small ball, some in another, the others far apart."""
+    rng = random.Random(seed)
+    far = lambda: [rng.uniform(-50, 50) for _ in range(dims)]
+    middles = [far(), far()]
+    near = lambda m: [x + rng.uniform(-1, 1) * 0.2 / dims for x in m]
+    return [(i, near(middles[0]) if i % 3 == 0 else near(middles[1]) if i % 7 == 0 else far()) for i in range(n)]
+
+
+@pytest.mark.parametrize("dims, plug_in", [(64, False), (12, True), (3, True)])
+def test_free_clusters_settle_points(spark, dims, plug_in):
+    points = clustered(240, dims, seed=4)
+    space = Space(dims, (lambda a, b: MANHATTAN(a, b)) if plug_in else None)
+    got = detect_outliers(frame(spark, points), 80, 40, 1.0, 5, "free_clusters", space)
+    assert as_dict(got) == by_metric(points, 80, 40, 1.0, 5, taxi if plug_in else brute.distance)
+    centres = free_centres(frame(spark, points), 1.0, space, 5)
+    assert 2 <= len(centres) < 100
+    pts = keyed_points(frame(spark, points), 40, space)
+    left = {r.id for r in unsettled_points(pts, replace(space, centres=centres), 1.0, 5, 2).collect()}
+    assert not any(i % 3 == 0 for i in left) and len(left) < 170
+    if plug_in:
+        assert unsettled_points(pts, space, 1.0, 5, 2).count() == 240
+
+
+def test_free_centres_of_nothing(spark):
+    empty = frame(spark, [(0, [0.0, 0.0])]).limit(0)
+    assert free_centres(empty, 1.0, Space(64), 2) == () and free_centres(empty, 1.0, Space(2, MANHATTAN), 2) == ()
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_histogram_in_crowds_equals_pairs(spark, monkeypatch, dims):
+    rng = random.Random(dims)
+    points = [(i, [rng.gauss(0, 0.6) if i % 3 else rng.uniform(-9, 9) for _ in range(dims)]) for i in range(400)]
+    points[7:12] = [(i, [x] * dims) for i, x in zip(range(7, 12), (math.nan, math.inf, 1e300, 0.25, 0.25))]
+    pts = keyed_points(frame(spark, points), 50, Space(dims))
+    made = []
+    for crowd_of in (10**9, 0.02):
+        monkeypatch.setattr(histogram, "CROWD", crowd_of)
+        found = histogram.neighbour_histogram(pts, 50, 3, [0.5, 2.0], Space(dims))
+        made.append(sorted(tuple(r) for r in found.collect()))
+    assert made[0] == made[1]
+
+
+def test_pyramid_work_is_linear_in_a_crowd(spark):
+    # All points are in one radius: pairs would be the square of their number.
+    def cells(n):
+        points = spark.range(n).selectExpr("id", "array(cast(id AS double) / 100000) AS value")
+        pts = keyed_points(points, n // 2, Space(1))
+        columns, edge = pyramid._cover([5.0], Space(1))
+        for name, text in columns:
+            pts = pts.withColumn(name, F.expr(text))
+        return pts.agg(F.max(F.size("whole")), F.max(F.size(edge))).first()
+
+    assert cells(1000) == cells(4000) and sum(cells(1000)) <= 2 * pyramid.CELLS[1]
