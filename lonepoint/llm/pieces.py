@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from lonepoint.llm.words import map_texts
 
 MARK = "▁"
-#: Remembered chunks of a task; beyond that the memory starts anew.
-REMEMBERED = 400_000
+#: Bytes of chunks that a task remembers, about; beyond that the memory starts anew.  A chunk costs so many by itself.
+REMEMBERED_BYTES, CHUNK_COST = 32 << 20, 300
 #: Longest chunk that is merged in a table with others.
 WIDEST = 32
 
@@ -144,6 +144,7 @@ class PieceModel:
         alone = "" if "\n" in joined else "\n"
         self.chunks = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|{alone}" if alone else ""))
         self.memory: dict[str, Chunk] = {}
+        self.held = 0
 
     def _tabulate(self) -> None:
         """Tables of single characters and of all pairs of pieces that make a piece."""
@@ -333,12 +334,15 @@ class PieceModel:
                 # Nothing is replaced but spaces, so places follow from the marks alone.
                 normal = (MARK if self.prefix else "") + text.replace(" ", MARK)
             split.append((self.chunks.findall(normal), places))
-        if len(self.memory) >= REMEMBERED:
+        if self.held >= REMEMBERED_BYTES:
             self.memory.clear()
+            self.held = 0
         memory = self.memory
         new = {c for chunks, _ in split for c in chunks if c not in memory}
         if new:
             self.learn(list(new))
+            # A character of a chunk is kept in its text, its output and its ids.
+            self.held += CHUNK_COST * len(new) + 8 * sum(map(len, new))
         return [Encoding(self, [memory[c] for c in chunks], places) for chunks, places in split]
 
     def encode(self, text: str | None) -> Encoding:
