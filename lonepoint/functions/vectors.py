@@ -168,6 +168,12 @@ class Space:
         fixed = F.expr(f"array({', '.join(_array_sql(v) for v in vectors)})")
         return F.transform(fixed, lambda v: self._arrays(F.col("value"), v))
 
+    def distances_to_many(self, vectors: Sequence[Sequence[float]]) -> Column:
+        """The same for lists that are too long for the text of a plan."""
+        if self.metric is None and self.dims is not None:
+            return _distances_udf(vectors)(F.array(*self.coords()) if self.flat else F.col("value"))
+        return self.distances_to(vectors)
+
     def _root_sql(self, vector: Sequence[float]) -> str:
         squares = [f"({c} - {number_sql(v)}) * ({c} - {number_sql(v)})" for c, v in zip(self.coords(), vector)]
         return f"sqrt({' + '.join(squares)})"

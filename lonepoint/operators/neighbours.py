@@ -44,13 +44,15 @@ def most_recent_per_band(pairs: DataFrame, radii: Sequence[float], k: int) -> Da
 def layered_skyband(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFrame:
     """Neighbours with fewer than k newer ones in their own or a nearer band.
 
-    One running count per band over a single sort; no neighbour is compared
+    Only the k most recent of each band are looked at: an older one has k newer
+    ones in its own band, and where it would count, they count as well.  Then
+    one running count per band over a single sort; no neighbour is compared
     with another.
     """
     newer = (
         Window.partitionBy("id").orderBy(F.desc("nsl"), F.desc("nid")).rowsBetween(Window.unboundedPreceding, -1)
     )
-    banded = pairs.withColumn("band", distance_band(F.col("d"), radii))
+    banded = most_recent_per_band(pairs, radii, k).drop("rank")
     counts = [F.count_if(F.col("band") <= b).over(newer) for b in range(len(set(radii)))]
     return (
         banded.withColumn("_newer", F.array(*counts))
@@ -63,23 +65,37 @@ def layered_skyband(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFra
 def k_skyband(pairs: DataFrame, limit: int, span: int) -> DataFrame:
     """Earlier neighbours with at most ``limit`` others no farther and strictly later.
 
-    Counted by walking outwards once per point and keeping a running count per
-    slide offset, so that the neighbours of a point are never paired up.
+    Of each slide only the ``limit + 1`` smallest distances matter to older
+    slides.  One walk per point over its slides, newest first, carries the
+    smallest distances so far; a neighbour's dominators are those of its
+    slide's list that are no larger.  A point's group holds so many numbers per
+    slide, however many neighbours it has.
     """
-    age = F.col("sl") - F.col("nsl")
-    outwards = (
-        Window.partitionBy("id").orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    some = limit + 1
+    early = pairs.where((F.col("sl") - F.col("nsl")).between(1, span - 1))
+    outwards = Window.partitionBy("id", "nsl").orderBy("d")
+    slides = (
+        early.select("id", "nsl", "d")
+        .withColumn("_place", F.row_number().over(outwards))
+        .where(F.col("_place") <= some)
+        .groupBy("id", "nsl")
+        .agg(F.collect_list("d").alias("near"))
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("nsl", "near")), asc=False).alias("slides"))
     )
-    running = [F.count_if(age == a).over(outwards) for a in range(1, span)]
-    later = F.aggregate(
-        F.slice("_running", F.lit(1), age.cast("int") - 1), F.lit(0).cast("bigint"), lambda acc, n: acc + n
+    lists = F.expr(
+        "aggregate(slides, "
+        "named_struct('later', cast(array() as array<double>), "
+        "'out', cast(array() as array<struct<nsl:bigint,later:array<double>>>)), "
+        f"(seen, s) -> named_struct('later', slice(array_sort(concat(seen.later, s.near)), 1, {some}), "
+        "'out', concat(seen.out, array(named_struct('nsl', s.nsl, 'later', seen.later)))), "
+        "seen -> seen.out)"
     )
     return (
-        pairs.where(age.between(1, span - 1))
-        .withColumn("_running", F.array(*running))
-        .withColumn("dominators", later)
+        early.join(slides.select("id", F.inline(lists)), ["id", "nsl"])
+        .withColumn("dominators", F.expr("cast(size(filter(later, x -> x <= d)) as bigint)"))
         .where(F.col("dominators") <= limit)
-        .drop("_running")
+        .drop("later")
     )
 
 

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MAX_CELL, SLACK, Space, cell_index, grid_width, number_sql
-from .training import VantageTree
+from ..functions.vectors import MAX_CELL, SLACK, Space, cell_index, finite, grid_width, number_sql
+from .training import Balls, VantageTree
 
 # Published axis boundaries of the stock, gauss, tao and fc data
 # sets.  A cell holds the values up to and including its upper boundary.
@@ -273,6 +273,42 @@ class PivotRoute(Route):
         return df.withColumn("parts", parts).drop("_pd", "_pmin")
 
 
+class BallRoute(Route):
+    """Chunks of balls; a point's ball touches ball j when d(x,c_j) <= r_j + R.
+
+    A ball holds the points that are nearest to its centre, so d(x,c_j) <=
+    d(x,home) + 2R has to hold as well.  The radii are those of the table the
+    balls were trained on; storing a point outside of its ball is an error.
+    """
+
+    def __init__(self, balls: Balls, radius: float):
+        self.balls = balls
+        self.reach = radius * (1 + SLACK)
+
+    def _chunks(self) -> str:
+        return f"array({', '.join(f'{c}L' for c in self.balls.chunks)})"
+
+    def _limits(self, more: float) -> str:
+        return f"array({', '.join(number_sql((r + more) * (1 + SLACK)) for r in self.balls.radii)})"
+
+    def with_home(self, df, space):
+        df = df.withColumn("_pd", space.distances_to_many(self.balls.centres)).withColumn("_ball", nearest_pivot("_pd"))
+        d = F.array_min("_pd")
+        outside = finite(d) & (d > F.expr(f"get({self._limits(0.0)}, cast(_ball as int))"))
+        lost = F.raise_error(F.lit("a stored point lies outside of the balls: train them on the stored points"))
+        home = F.when(outside, lost.cast("bigint")).otherwise(F.expr(f"get({self._chunks()}, cast(_ball as int))"))
+        return df.withColumn("part", home).drop("_pd", "_ball")
+
+    def with_reach(self, df, space):
+        df = df.withColumn("_pd", space.distances_to_many(self.balls.centres)).withColumn("_pmin", F.array_min("_pd"))
+        zipped = F.filter(
+            F.arrays_zip(F.col("_pd"), F.expr(self._limits(self.reach)).alias("_limit"), F.expr(self._chunks()).alias("_chunk")),
+            lambda b: (b["_pd"] <= F.col("_pmin"))
+            | ((b["_pd"] <= b["_limit"]) & (b["_pd"] <= F.col("_pmin") + F.lit(2 * self.reach))),
+        )
+        return df.withColumn("parts", F.array_distinct(F.transform(zipped, lambda b: b["_chunk"]))).drop("_pd", "_pmin")
+
+
 def nearest_pivot(distances: str) -> Column:
     """Index of the smallest distance; the first one on ties."""
     return (F.array_position(distances, F.array_min(distances)) - 1).cast("bigint")

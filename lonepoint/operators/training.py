@@ -22,6 +22,8 @@ from ..sources.points import sample_random
 CANDIDATES = 1_024
 ACCURACY = 10_000
 MAX_HEIGHT = 6
+#: Balls for each chunk of a ball partitioning: more make the chunks more even.
+CHUNK_BALLS = 8
 MAX_PIVOTS = 256
 #: Sampled rows for each leaf of a tree, and bytes of a sample.
 LEAF_ROWS = 256
@@ -64,6 +66,54 @@ def candidate_vectors(usable: DataFrame, n: int = CANDIDATES) -> np.ndarray:
     return np.array(rows, dtype=float).reshape(len(rows), -1)
 
 
+@dataclass(frozen=True)
+class Balls:
+    """Balls that hold all points of a table, and the chunk of each.
+
+    ``radii`` cover the points that are nearer to the centre than to any other.
+    """
+
+    centres: list[list[float]]
+    radii: list[float]
+    chunks: list[int]
+
+
+def train_balls(points: DataFrame, chunks: int, space: Space) -> Balls:
+    """Balls around drawn centres, packed into chunks of about equally many points.
+
+    Centres are drawn from all rows, a fixed number for each chunk, so crowded
+    places get more and smaller balls.  One aggregate over the table counts the
+    points of each ball and takes its radius.  Balls are then lined up, each
+    next to the nearest one left, and the line is cut into chunks; a chunk
+    differs from its fair share by at most one ball's points.
+    """
+    if space.dims is None:
+        raise ValueError("balls need vectors of a declared length")
+    value = F.col("value").cast("array<double>")
+    usable = points.where((F.size("value") == space.dims) & F.forall("value", finite))
+    usable = usable.select("id", value.alias("value"))
+    centres = np.unique(candidate_vectors(usable, CHUNK_BALLS * chunks), axis=0)
+    measured = space.project(usable, "id").select(space.distances_to_many(centres.tolist()).alias("pd"))
+    found = {
+        r["ball"]: (r["radius"], r["rows"])
+        for r in measured.select(F.array_min("pd").alias("d"), F.array_position("pd", F.array_min("pd")).alias("ball"))
+        .groupBy("ball")
+        .agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("rows"))
+        .collect()
+    }
+    radii = [float(found.get(i + 1, (0.0, 0))[0]) for i in range(len(centres))]
+    rows = [int(found.get(i + 1, (0.0, 0))[1]) for i in range(len(centres))]
+    left, line = set(range(1, len(centres))), [0]
+    while left:
+        line.append(min(left, key=lambda i: (float(((centres[i] - centres[line[-1]]) ** 2).sum()), i)))
+        left.remove(line[-1])
+    of, before, total = [0] * len(centres), 0, sum(rows)
+    for i in line:
+        of[i] = min(chunks - 1, int((before + rows[i] / 2) * chunks / total))
+        before += rows[i]
+    return Balls(centres.tolist(), radii, of)
+
+
 def train_pivot(points: DataFrame) -> list[float]:
     """A vector in the middle of the candidates."""
     return median_vector(candidate_vectors(usable_points(points))).tolist()

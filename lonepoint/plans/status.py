@@ -108,9 +108,13 @@ def expiry_schedule(
     _, counted = _histories(points, window, slide, radius, k, space, route)
     step = F.posexplode_outer(F.sequence(F.col("sl"), F.col("sl") + (m - 1))).alias("j", "e")
     inlier = F.expr(f"h[j + {m}] - h[{m - 1}] <= {k} and h[j + {m}] - h[j] > {k}")
+    # The counts only fall with x, so the first x that leaves too few is found by halving.
+    middle = "(s.low + s.high) div 2"
     first_gone = F.expr(
-        f"case when j < {m - 1} then "
-        f"get(filter(sequence(least(j + 1, {m - 1}), {m - 1}), x -> h[j + {m}] - h[x] <= {k}), 0) end"
+        f"aggregate(sequence(1, {m.bit_length()}), named_struct('low', j + 1L, 'high', {m}L), "
+        f"(s, i) -> if(s.low >= s.high, s, if(h[j + {m}] - h[cast({middle} as int)] <= {k}, "
+        f"named_struct('low', s.low, 'high', {middle}), named_struct('low', {middle} + 1L, 'high', s.high))), "
+        f"s -> if(s.low < {m}, s.low, null))"
     )
     return (
         counted.select("id", "sl", "h", step)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +25,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder for written tables, in a place that all executors share.
 
-    ``spark.checkpoint.dir`` names the place; where it is unset, the warehouse,
-    which executors share as well, has a folder for it.
+    ``spark.checkpoint.dir`` names the place.  Where it is unset, the warehouse
+    has a folder for it, but on a cluster only if the warehouse is no folder of
+    one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.conf.get("spark.master", "local")
+        one_machine = urlparse(warehouse).scheme in ("", "file")
+        if one_machine and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = warehouse.rstrip("/") + "/_written"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -18,9 +18,10 @@ from .operators import neighbours as nb
 from .operators.density import dense_cells, looking_back, outside_dense_cells
 from .operators.histogram import band_counts, cumulative_counts, neighbour_histogram, neighbour_totals
 from .operators.joins import knn_join, nearest_first, pivot_prune_join, range_join, range_limit_join, window_pairs
-from .operators.routes import BandRoute, BoundsRoute, GridRoute, HashRoute, PivotRoute, Route, VantageRoute
+from .operators.routes import BallRoute, BandRoute, BoundsRoute, GridRoute, HashRoute, PivotRoute, Route, VantageRoute
 from .operators.routes import assign, drop_stale_replicas
-from .operators.training import median_distance, train_vantage_tree
+from .operators.search import nearest_anywhere
+from .operators.training import median_distance, train_balls, train_vantage_tree
 from .operators.windows import window_population
 from .plans import status as st
 from .plans.detect import detect_outliers, detect_rk, detect_rkws, keyed_points, partition_outliers
@@ -373,26 +374,33 @@ def _(spark, sf):
     return assign(D2.project(pts, "id"), route, D2).select("id", "part", "is_home")
 
 
-@query(
-    "vantage_meets",
-    "SELECT event_id AS id, 1::BIGINT AS n_home, 0::BIGINT AS n_missed FROM events",
-)
-def _(spark, sf):
+_MEETS = "SELECT event_id AS id, 1::BIGINT AS n_home, 0::BIGINT AS n_missed FROM events"
+
+
+def _meets(route: Callable[[DataFrame], Route]) -> Query:
     """Every point has one home, and every near pair meets: what a partitioning has to keep."""
-    pts = timeline(spark, sf)
-    placed = assign(D2.project(pts, "id"), VantageRoute(train_vantage_tree(pts, 16), 1.0), D2)
-    homes = placed.where("is_home").groupBy("id").agg(F.count(F.lit(1)).alias("n_home"), F.first("part").alias("home"))
-    near = range_join(pts, pts, 1.0, D2).select(F.col("qid").alias("id"), "nid")
-    seen = placed.select("id", F.col("part").alias("home"), F.lit(True).alias("seen"))
-    missed = (
-        near.join(homes.select(F.col("id").alias("nid"), "home"), "nid")
-        .join(seen, ["id", "home"], "left")
-        .groupBy("id")
-        .agg(F.count_if(F.col("seen").isNull()).alias("n_missed"))
-    )
-    return homes.join(missed, "id", "left").select(
-        "id", "n_home", F.coalesce("n_missed", F.lit(0).cast("bigint")).alias("n_missed")
-    )
+
+    def run(spark, sf):
+        pts = timeline(spark, sf)
+        placed = assign(D2.project(pts, "id"), route(pts), D2)
+        homes = placed.where("is_home").groupBy("id").agg(F.count(F.lit(1)).alias("n_home"), F.first("part").alias("home"))
+        near = range_join(pts, pts, 1.0, D2).select(F.col("qid").alias("id"), "nid")
+        seen = placed.select("id", F.col("part").alias("home"), F.lit(True).alias("seen"))
+        missed = (
+            near.join(homes.select(F.col("id").alias("nid"), "home"), "nid")
+            .join(seen, ["id", "home"], "left")
+            .groupBy("id")
+            .agg(F.count_if(F.col("seen").isNull()).alias("n_missed"))
+        )
+        return homes.join(missed, "id", "left").select(
+            "id", "n_home", F.coalesce("n_missed", F.lit(0).cast("bigint")).alias("n_missed")
+        )
+
+    return run
+
+
+query("vantage_meets", _MEETS)(_meets(lambda pts: VantageRoute(train_vantage_tree(pts, 16), 1.0)))
+query("ball_meets", _MEETS)(_meets(lambda pts: BallRoute(train_balls(pts, 16, D2), 1.0)))
 
 
 _PIVOTS = (
@@ -532,6 +540,19 @@ def _(spark, sf):
     return found.select("qid", "nid", F.col("rank").cast("bigint").alias("rank"), F.round("d", 6).alias("d"))
 
 
+@query(
+    "search_unbounded",
+    f"WITH p AS ({PLANE_SQL}), pr AS (SELECT a.id AS qid, b.id AS nid, {distance_sql('a', 'b', 2)} AS d "
+    "FROM p a JOIN p b ON a.id <> b.id WHERE a.id % 100 = 0) SELECT qid, nid, rank, round(d, 6) AS d FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, nid) AS rank FROM pr) WHERE rank <= 10",
+)
+def _(spark, sf):
+    """The ten nearest points of every hundredth one, without a radius."""
+    pts = plane(spark, sf)
+    found = nearest_anywhere(pts.where(F.col("id") % 100 == 0), pts, 10, D2)
+    return found.select("qid", "nid", F.col("rank").cast("bigint").alias("rank"), F.round("d", 6).alias("d"))
+
+
 @query(
     "window_range_join",
     f"WITH {points_sql(EVENTS_SQL)}, {pairs_sql(0.2)} SELECT id, nid FROM pr WHERE id <> nid",
@@ -697,6 +718,20 @@ def _(spark, sf):
     return nb.k_skyband(earlier_pairs(spark, sf, 2.0), 4, M).select("id", "nid", "dominators")
 
 
+@query(
+    "k_skyband_long",
+    f"WITH {points_sql(EVENTS_SQL, 5)}, {pairs_sql(1.0, span=200, earlier=True)} "
+    "SELECT a.id, a.nid, (SELECT count(*) FROM pr b WHERE b.id = a.id AND b.d <= a.d AND b.nsl > a.nsl) AS dominators "
+    "FROM pr a WHERE (SELECT count(*) FROM pr b WHERE b.id = a.id AND b.d <= a.d AND b.nsl > a.nsl) <= 4",
+)
+def _(spark, sf):
+    """The skyband in windows of 200 slides."""
+    pts = event_slides(spark, sf, 5)
+    probes = pts.withColumns({"first": F.col("sl") - 199, "last": F.col("sl") - 1})
+    pairs = window_pairs(probes, pts, slide=5, span=200, radius=1.0, space=D1)
+    return nb.k_skyband(pairs, 4, 200).select("id", "nid", "dominators")
+
+
 # --- dense cells, partial counts, status ----------------------------------
 
 

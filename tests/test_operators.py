@@ -11,8 +11,9 @@ from lonepoint.operators import routes as rt
 from lonepoint.operators.blocks import near_pairs
 from lonepoint.operators.histogram import neighbour_histogram
 from lonepoint.operators.joins import collapse_copies, knn_join, pivot_prune_join, range_join, window_pairs
+from lonepoint.operators.search import nearest_anywhere
 from lonepoint.operators.training import (
-    median_distance, median_vector, train_bounds, train_pivots, train_vantage_tree,
+    median_distance, median_vector, train_balls, train_bounds, train_pivots, train_vantage_tree,
 )
 from lonepoint.operators.windows import histogram_counts, slide_histogram, window_counts
 from lonepoint.plans.detect import keyed_points
@@ -37,6 +38,7 @@ def routes(pts, radius, dims):
         "vantage": rt.VantageRoute(tree, radius),
         "rings": rt.VantageRoute(tree, radius, rings=True),
         "pivot": rt.PivotRoute(train_pivots(pts, 5), radius),
+        "balls": rt.BallRoute(train_balls(pts, 3, Space(dims)), radius),
     }
 
 
@@ -134,6 +136,92 @@ def test_knn(spark, dims):
         assert got[i] == [j for _, j in order]
 
 
+def _nearest(queries, points, n, exclude_self=True):
+    out = {}
+    for i, v in queries:
+        order = sorted(
+            (brute.distance(v, u), j) for j, u in points
+            if u is not None and None not in u and np.isfinite(u).all() and (j != i or not exclude_self)
+        )
+        out[i] = [j for _, j in order[:n]]
+    return out
+
+
+def _ranked(df):
+    got = {}
+    for r in df.orderBy("qid", "rank").collect():
+        assert r["rank"] == len(got.setdefault(r["qid"], [])) + 1
+        got[r["qid"]].append(r["nid"])
+    return got
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_search_without_radius(spark, dims):
+    """Crowds, lonely points, copies, odd coordinates, and queries far from all points."""
+    rng = random.Random(dims)
+    points = crowd(150, dims, seed=40 + dims)
+    points += [(200 + i, [1e6 + rng.random() * 1e-3 for _ in range(dims)]) for i in range(12)]
+    points += [(300, [-5e4] * dims), (301, [float("nan")] * dims), (302, [float("inf")] * dims)]
+    far = [(900, [3e7] * dims), (901, [-7e6] + [0.0] * (dims - 1)), (902, [float("nan")] * dims)]
+    space, pts = Space(dims), frame(spark, points)
+    asked = points[:40] + points[150:163] + far
+    expected = {i: js for i, js in _nearest(asked, points, 5).items() if i != 902}
+    assert _ranked(nearest_anywhere(frame(spark, asked), pts, 5, space)) == expected
+    assert _ranked(nearest_anywhere(frame(spark, asked), pts, 3, space, exclude_self=False)) == {
+        i: js for i, js in _nearest(asked, points, 3, False).items() if i != 902
+    }
+
+
+def test_search_in_small_tables(spark):
+    space = Space(2)
+    same = [(i, [7.0, -7.0]) for i in range(9)]
+    assert _ranked(nearest_anywhere(frame(spark, same), frame(spark, same), 4, space)) == _nearest(same, same, 4)
+    few = [(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None)]
+    pts = spark.createDataFrame(few, "id bigint, value array<double>")
+    assert _ranked(nearest_anywhere(pts, pts, 4, space)) == {1: [2], 2: [1]}
+    assert nearest_anywhere(pts, pts.where("false"), 4, space).collect() == []
+    assert nearest_anywhere(pts.where("false"), pts, 4, space).collect() == []
+
+
+def test_search_reads_balls_not_tables(spark):
+    """Rows of the distance join stay near the number asked for, in crowds as well as outside."""
+    from lonepoint.operators import search
+
+    rng = random.Random(5)
+    points = [(i, [rng.gauss(0, 1), rng.gauss(0, 1)] if i % 3 else [50 + rng.random() * 1e-4, rng.random() * 1e-4]) for i in range(6000)]
+    pts, compared = frame(spark, points), spark.sparkContext.accumulator(0)
+    original = search._near
+
+    def counted(left, right, space):
+        pairs = original(left, right, space)
+        compared.add(pairs.count())
+        return pairs
+
+    search._near = counted
+    try:
+        found = nearest_anywhere(pts.where("id % 100 = 0"), pts, 5, Space(2)).count()
+    finally:
+        search._near = original
+    assert found == 60 * 5 and compared.value < 60 * 300
+
+
+def test_balls(spark):
+    points = [(i, [random.Random(i).gauss(0, 1), random.Random(-i - 1).gauss(0, 1)]) for i in range(3000)]
+    pts, space = frame(spark, points), Space(2)
+    balls = train_balls(pts, 6, space)
+    homes = rt.BallRoute(balls, 0.1).with_home(space.project(pts, "id"), space)
+    sizes = [r["count"] for r in homes.groupBy("part").count().collect()]
+    assert len(sizes) == 6 and sum(sizes) == 3000 and max(sizes) <= 2 * min(sizes)
+    away = space.project(frame(spark, [(1, [90.0, 90.0])]), "id")
+    with pytest.raises(Exception, match="outside of the balls"):
+        rt.BallRoute(balls, 0.1).with_home(away, space).collect()
+    assert rt.BallRoute(balls, 0.1).with_reach(away, space).first()["parts"]
+    odd = space.project(frame(spark, [(1, [float("nan"), 0.0])]), "id")
+    assert rt.BallRoute(balls, 0.1).with_home(odd, space).first()["part"] is not None
+    with pytest.raises(ValueError):
+        train_balls(pts, 6, Space())
+
+
 def test_collapse_copies(spark):
     pts = frame(spark, [(i, [1.0]) for i in range(20)] + [(30, [2.0])])
     assert sorted(r["id"] for r in collapse_copies(pts, 3).collect()) == [0, 1, 2, 30]

@@ -43,7 +43,8 @@ def test_every_oracle_has_a_query():
 
 ORACLE = [
     "window_membership", "slide_assign", "grid1d_assign", "dense_cells", "single_slicing", "single_2d_grid",
-    "rk_sop", "rkws_psod", "expiry_schedule", "k_skyband",
+    "rk_sop", "rkws_psod", "expiry_schedule", "k_skyband", "k_skyband_long", "layered_skyband", "search_unbounded",
+    "ball_meets", "vantage_meets",
 ]
 
 
