@@ -164,14 +164,14 @@ class Space:
         if self.flat:
             return F.expr(f"array({', '.join(self._root_sql(v) for v in vectors)})")
         if self.metric is None and self.dims is not None:
-            return _distances_udf(vectors)(F.col("value"))
+            return _batched_distances(vectors, F.col("value"))
         fixed = F.expr(f"array({', '.join(_array_sql(v) for v in vectors)})")
         return F.transform(fixed, lambda v: self._arrays(F.col("value"), v))
 
     def distances_to_many(self, vectors: Sequence[Sequence[float]]) -> Column:
         """The same for lists that are too long for the text of a plan."""
         if self.metric is None and self.dims is not None:
-            return _distances_udf(vectors)(F.array(*self.coords()) if self.flat else F.col("value"))
+            return _batched_distances(vectors, F.array(*self.coords()) if self.flat else F.col("value"))
         return self.distances_to(vectors)
 
     def _root_sql(self, vector: Sequence[float]) -> str:
@@ -221,6 +221,11 @@ class Space:
         return F.get(found, F.lit(0))
 
 
+def _batched_distances(vectors: Sequence[Sequence[float]], value: Column) -> Column:
+    """Distances computed in batches; what is not a number, which batches return as null, is NaN again."""
+    return F.transform(_distances_udf(vectors)(value), lambda d: F.coalesce(d, F.lit(float("nan"))))
+
+
 def _distances_udf(vectors: Sequence[Sequence[float]]):
     """Distances of long vectors to a few fixed ones, a batch of rows at a time."""
     fixed = np.asarray(vectors, dtype=float)

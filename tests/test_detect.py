@@ -313,3 +313,13 @@ def test_pyramid_work_is_linear_in_a_crowd(spark):
         return pts.agg(F.max(F.size("whole")), F.max(F.size(edge))).first()
 
     assert cells(1000) == cells(4000) and sum(cells(1000)) <= 2 * pyramid.CELLS[1]
+
+
+def test_long_vectors_with_odd_coordinates(spark):
+    """A point that is near to nothing is an outlier of its windows under trained partitionings too."""
+    points = [(i, [float(i % 3)] * 12) for i in range(30)]
+    points[4] = (4, [float("nan")] * 12)
+    points[17] = (17, [1.0] * 11 + [float("inf")])
+    expected = brute.single(points, 10, 5, 0.5, 2)
+    for strategy in ("advanced_vp", "advanced"):
+        assert as_dict(detect_outliers(frame(spark, points), 10, 5, 0.5, 2, strategy, Space(12))) == expected, strategy
