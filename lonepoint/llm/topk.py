@@ -6,8 +6,9 @@ query adds these slices with bitmap arithmetic, each as often as the query's own
 gives the slices of all scores of the block.  From the most significant slice downward the rows that are
 surely among the best are kept, until the rest is tied; the boundary rows are resolved by id.
 
-Queries come to every block in groups, by a join on the block's number.  A block returns its best rows per
-query, and these meet in one ranking.
+The slices of a block are made once and written as one row of a table.  Queries come to every block in groups,
+by a join on the numbers of block and group.  A block returns its best rows per query, and these meet in one
+ranking.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from lonepoint.session import spread, written
 
 SCALE = 256
-#: Rows of one index block, and queries that meet it at once.
+#: Rows of one index block on average, and queries that meet it at once.
 BLOCK_ROWS = 1 << 15
-QUERY_ROWS = 256
+QUERY_ROWS = 2048
 #: Numbers below this, in absolute value, and their sums with one another fit into 64 bits.
 SAFE = 1 << 62
 
@@ -65,11 +66,27 @@ class Slices:
             self.bits.append(np.packbits(planes, axis=1, bitorder="little").view(np.uint64).reshape(depth, words))
         self.valid = np.packbits(np.arange(words * 64) < self.rows, bitorder="little").view(np.uint64)
 
+    def packed(self) -> tuple[int, bytes, bytes, bytes]:
+        """Number of rows, minima, slices per component, and all slices one after the other."""
+        depths = np.array([len(planes) for planes in self.bits], np.int64)
+        return self.rows, self.low.tobytes(), depths.tobytes(), b"".join(planes.tobytes() for planes in self.bits)
+
+    @classmethod
+    def unpacked(cls, rows: int, low: bytes, depths: bytes, bits: bytes) -> Slices:
+        new = cls(np.zeros((rows, 0), np.int64))
+        new.low = np.frombuffer(low, np.int64)
+        new.width = len(new.low)
+        stops = np.cumsum(np.frombuffer(depths, np.int64))[:-1]
+        planes = np.frombuffer(bits, np.uint64).reshape(-1, len(new.valid))
+        new.bits = np.split(planes, stops) if new.width else []
+        return new
+
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the non-negative scores, and what to add to them.
 
-        A negative factor counts the complement of the slice: ``-q * a = q * (m - a) - q * m`` with ``m``
-        the largest number of the component's bits.
+        A factor is a sum of few powers of two with signs, no two of them next to each other.  A negative power
+        counts the complement of the slice: ``-p * a = p * (m - a) - p * m`` with ``m`` the largest number of the
+        component's bits.
         """
         columns: list[list[np.ndarray]] = []
         offset = 0
@@ -79,25 +96,30 @@ class Slices:
             planes = self.bits[d]
             if q == 0 or not len(planes):
                 continue
-            if q < 0:
-                offset += q * ((1 << len(planes)) - 1)
-                planes = ~planes
-            for j in range(abs(q).bit_length()):
-                if abs(q) >> j & 1:
-                    while len(columns) < j + len(planes):
-                        columns.append([])
-                    for i, plane in enumerate(planes):
-                        columns[i + j].append(plane)
+            other = ~planes
+            for j, sign in _signed_powers(q):
+                if sign < 0:
+                    offset -= ((1 << len(planes)) - 1) << j
+                while len(columns) < j + len(planes):
+                    columns.append([])
+                for i, plane in enumerate(planes if sign > 0 else other):
+                    columns[i + j].append(plane)
         return _added(columns), offset
 
-    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, k: int, skip: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
         """Rows that can be among the ``k`` best, boundary ties included, and their scores.
 
+        Rows from ``skip[0]`` to before ``skip[1]`` take no part.
+
         Slices have any number of bits; scores that 64 bits may not hold are Python's whole numbers.
         """
         slices, offset = self.scores(query)
         sure, open_rows = np.zeros_like(self.valid), self.valid.copy()
-        need = min(k, self.rows)
+        low, high = skip
+        if low < high:
+            at = np.arange(len(self.valid) * 64)
+            open_rows &= np.packbits((at < low) | (at >= high), bitorder="little").view(np.uint64)
+        need = min(k, self.rows - (high - low))
         for plane in reversed(slices):
             ahead = open_rows & plane
             n = int(np.bitwise_count(ahead).sum())
@@ -115,6 +137,19 @@ class Slices:
         return found, value + offset
 
 
+def _signed_powers(number: int) -> list[tuple[int, int]]:
+    """``(exponent, sign)`` of the powers of two that add up to the number, as few as possible."""
+    out, at = [], 0
+    while number:
+        if number & 1:
+            sign = 2 - (number & 3)
+            out.append((at, sign))
+            number -= sign
+        number >>= 1
+        at += 1
+    return out
+
+
 def _added(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     """One slice per weight: adders take two or three bitmaps of a weight to a sum and a carry."""
     blank = next((np.zeros_like(p) for pile in columns for p in pile), None)
@@ -140,28 +175,32 @@ def _added(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
+def _sliced(group: pd.DataFrame) -> pd.DataFrame:
+    """The index of one block; rows stand by id, so that ties at the boundary are resolved by place."""
+    group = group.sort_values("vec_id")
+    copies = group["copies"].to_numpy()
+    values = np.repeat(_matrix(group["values"].tolist()), copies, axis=0)
+    row = (group["block"].iloc[0], np.repeat(group["vec_id"].to_numpy(), copies).tobytes(), *Slices(values).packed())
+    return pd.DataFrame([row], columns=["block", "ids", "rows", "low", "depths", "bits"])
+
+
 def _best_in_block(k: int):
     def run(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(index) and len(queries):
-            # By id, so that ties at the boundary are resolved by place.
-            index = index.sort_values("vec_id")
-            ids = index["vec_id"].to_numpy()
-            slices = Slices(_matrix(index["values"].tolist()))
-            for query, vector in zip(queries["query_id"].tolist(), queries["vector"].tolist()):
-                # The query's own rows can take places, so as many more are asked for.
-                low, high = np.searchsorted(ids, [query, query + 1])
-                rows, scores = slices.top(np.asarray(vector), k + int(high - low))
-                own = ids[rows] == query
-                rows, scores = rows[~own], scores[~own]
+        for ids, *packed in index[["ids", "rows", "low", "depths", "bits"]].itertuples(index=False):
+            ids = np.frombuffer(ids, np.int64)
+            slices = Slices.unpacked(*packed)
+            for query, mark, check, vector in queries[["query_id", "mark", "check", "vector"]].itertuples(index=False):
+                own = np.searchsorted(ids, query), np.searchsorted(ids, query, side="right")
+                rows, scores = slices.top(np.asarray(vector), k, own)
                 if scores.dtype == object:
                     if any(not -(2**63) <= s < 2**63 for s in scores):
                         raise OverflowError(f"a score of query {query} does not fit into 64 bits")
                     scores = scores.astype(np.int64)
                 # The complement orders like the negative, which 64 bits may not hold.
                 order = np.lexsort((rows, ~scores))[:k]
-                found += [(query, vector, ids[r], s) for r, s in zip(rows[order], scores[order])]
-        return pd.DataFrame(found, columns=["query_id", "vector", "vec_id", "score"])
+                found += [(query, mark, check, ids[r], s) for r, s in zip(rows[order], scores[order])]
+        return pd.DataFrame(found, columns=["query_id", "mark", "check", "vec_id", "score"])
 
     return run
 
@@ -175,28 +214,37 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, vector: str = "embedding
     id; query rows that agree in id and vector are one query.  Ties go to the smaller id.  An empty table
     gives no rows.  Only ``vec_id`` and the vector are read.
     """
-    numbers = written(quantised(rows, vector), "quantised")
+    # Rows that agree in id and vector tie with each other everywhere, so more than k of them are never returned.
+    alike = quantised(rows, vector).groupBy("vec_id", "values").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+    numbers = written(alike, "quantised")
     blocks = max(1, -(-numbers.count() // BLOCK_ROWS))
-    queries = numbers.where(F.col("vec_id") % every == 0).distinct()
+    queries = numbers.where(F.col("vec_id") % every == 0)
     groups = max(1, -(-queries.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    # The index side of a block goes to every group of queries, and each group to every block.
-    index = numbers.select(
-        "vec_id", "values", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")
+    dealt = numbers.withColumn("block", F.pmod(F.xxhash64("vec_id", "values"), F.lit(blocks)))
+    index = written(
+        spread(dealt, "block")
+        .groupBy("block")
+        .applyInPandas(_sliced, "block bigint, ids binary, rows bigint, low binary, depths binary, bits binary"),
+        "slices",
     )
+    # A block's row goes to every group of queries, and each group to every block.
+    met = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = queries.select(
         F.col("vec_id").alias("query_id"),
+        # Two hashes tell the vectors of one id apart.
+        F.xxhash64("values").alias("mark"),
+        F.xxhash64(F.lit(1), "values").alias("check"),
         F.col("values").alias("vector"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("vec_id", "values", F.lit(1)), F.lit(groups)).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
     )
     found = (
-        spread(index, "block", "part")
+        spread(met, "block", "part")
         .groupBy("block", "part")
         .cogroup(spread(asked, "block", "part").groupBy("block", "part"))
-        .applyInPandas(_best_in_block(k), "query_id bigint, vector array<bigint>, vec_id bigint, score bigint")
+        .applyInPandas(_best_in_block(k), "query_id bigint, mark bigint, check bigint, vec_id bigint, score bigint")
     )
-    order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "mark", "check").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

@@ -107,6 +107,31 @@ def test_top_k_refuses_what_leaves_64_bits(spark):
     assert dict(zip(found.tolist(), scores.tolist())) == {0: low * high - 3, 1: high * high - 3, 2: -3}
 
 
+def test_top_k_counts_copies_and_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(9, [2.0, 0.0])] * 7 + [(3, [0.0, 3.0]), (4, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(frame).collect())
+    u = 256 * 256
+    first = [(1, 4, 2 * u)] + [(n, 9, 2 * u) for n in range(2, 6)]
+    second = [(1, 3, 3 * u), (2, 4, 0)] + [(n, 9, 0) for n in range(3, 6)]
+    assert got == sorted(first + second)
+
+
+def test_slices_are_read_as_written():
+    rng = np.random.default_rng(5)
+    values = rng.integers(-300, 300, (200, 6))
+    values[:, 2] = 7
+    slices = topk.Slices.unpacked(*topk.Slices(values).packed())
+    query = np.array([127, -255, 3, 0, -1, 86])
+    rows, scores = slices.top(query, 5, (10, 140))
+    want = sorted((-int(s), i) for i, s in enumerate(values @ query) if not 10 <= i < 140)
+    assert sorted(zip((-scores).tolist(), rows.tolist()))[:5] == want[:5]
+    for number in (*range(-70, 70), 2**63 - 1, -(2**63)):
+        powers = topk._signed_powers(number)
+        assert sum(sign << at for at, sign in powers) == number
+        assert all(b - a > 1 for (a, _), (b, _) in zip(powers, powers[1:]))
+
+
 # Operator 8
 
 
