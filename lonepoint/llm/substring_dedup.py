@@ -7,9 +7,11 @@ start at an earlier place, in a smaller document or further up in the same one.
    shingle.  Equal windows lie in fragments of one name, so names make the shards, and a name that occurs
    once in the corpus can hold no repeated window: nearly all text leaves here.
 2. Equal fragments collapse to their earliest place.  All windows of the other ones are repeats.
-3. The fragments of a shard are streamed through the shard's FM-index: backward search over a wavelet matrix
-   gives the interval of suffixes that start with each window, and the smallest text position in it is the
-   window's first place.  Windows that have an earlier one are reported as intervals.
+3. The fragments of a shard are streamed through the shard's compressed FM-index: backward search over a wavelet
+   matrix gives the matching statistic at each word, the length of the longest passage that ends there and occurs
+   twice, as far as ``WIDTH``.  Where it reaches that, the smallest text position among the suffixes found, from
+   a sample of the suffix order, is the window's first place.  Windows that have an earlier one are reported as
+   intervals.
 4. A name with very many different fragments would make one shard too large.  Its windows are dealt out one
    by one, by their own hash, and compared by a pre-aggregated minimum.
 
@@ -190,9 +192,11 @@ def _search_shard(width: int):
         fragment = np.repeat(np.arange(len(sizes)), sizes + 1)
         at = np.arange(len(text))
         window = at[at + width <= ends[fragment]]
-        index = FmIndex(text, len(known) + 1, width)
-        earliest = index.earliest(*index.search(text, window + width, width))
-        window = window[earliest < window]
+        index = FmIndex(text, len(known) + 1)
+        length, low, high = index.statistics(text, window + width, width)
+        again = length == width
+        window = window[again]
+        window = window[index.earliest(low[again], high[again]) < window]
         home = fragment[window]
         begins = ends - sizes
         start = group["start"].to_numpy()[home] + window - begins[home]

@@ -109,17 +109,29 @@ def test_components(spark):
 # Operator 7
 
 
-def test_fm_index_finds_first_places():
+@pytest.mark.parametrize("every", [1, 4, 16])
+def test_fm_index_gives_matching_statistics_and_places(every):
     rng = np.random.default_rng(1)
-    for n, symbols, width in [(300, 3, 4), (800, 6, 7), (60, 1, 20), (200, 2, 20)]:
+    for n, symbols, most, cuts in [(300, 3, 4, 5), (800, 6, 7, 40), (60, 1, 20, 0), (200, 2, 20, 3), (90, 50, 9, 60), (1, 1, 3, 0)]:
         text = np.append(rng.integers(1, symbols + 1, n), 0)
-        ends = np.arange(width, n + 1)
-        low, high = (index := FmIndex(text, symbols + 1, width)).search(text, ends, width)
+        text[rng.choice(n, cuts, replace=False)] = 0
+        index = FmIndex(text, symbols + 1, every)
+        assert sorted(index.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
         places = {}
-        for e in ends:
-            places.setdefault(tuple(text[e - width : e]), []).append(e - width)
-        assert index.earliest(low, high).tolist() == [places[tuple(text[e - width : e])][0] for e in ends]
-        assert (high - low).tolist() == [len(places[tuple(text[e - width : e])]) for e in ends]
+        for i in range(len(text)):
+            for size in range(1, most + 1):
+                if i + size <= len(text) and text[i : i + size].all():
+                    places.setdefault(tuple(text[i : i + size]), []).append(i)
+        ends = np.arange(len(text))
+        length, low, high = index.statistics(text, ends, most)
+        want = [max((s for s in range(1, min(most, e) + 1) if len(places.get(tuple(text[e - s : e]), ())) > 1), default=0) for e in ends]
+        assert length.tolist() == want
+        # Pieces of one length lie in intervals that are equal or apart.
+        for size in range(1, most + 1):
+            some = length == size
+            pieces = [places[tuple(text[e - size : e])] for e in ends[some]]
+            assert (high - low)[some].tolist() == list(map(len, pieces))
+            assert index.earliest(low[some], high[some]).tolist() == [p[0] for p in pieces]
 
 
 def without(rows):
