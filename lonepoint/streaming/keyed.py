@@ -1,13 +1,13 @@
 """Detectors in Spark's keyed streaming state.
 
 Points go to cells, with copies to the cells their ball touches, and cells to a fixed number of keys.  A key keeps
-the slides of its open windows in one map, slide by slide; event-time timers report each window when it closes and
-remove the slides that no window needs any more.  A window holds at most as many points as it has ids, so the
+the slides of its open windows in one map, in blocks of a window's length; an event-time timer wakes it when a window
+closes, it reports all windows that have closed by then and removes the slides that no window needs any more.  A window holds at most as many points as it has ids, so the
 state of a key has a bound, however crowded a cell is.
 
 Only points that can be outliers are searched for: a point with more than k others in its own small cell and slide
 is left out at once, and one with k neighbours of its own or later slides as soon as it has them.  So searches
-are few in crowded places, and each one compares a point with its cell.
+are few in crowded places, and each one compares a point with its cell's points of a few slides.
 """
 
 from __future__ import annotations
@@ -37,24 +37,28 @@ TRANSITION = "e bigint, id bigint, previous string, status string"
 
 #: Distances computed at once.
 CHUNK = 1 << 21
+#: Points looked at in one run.
+RUN_ROWS = 1 << 16
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_SLIDE = "ids binary, cells binary, home binary, x binary, open binary, hist binary, mark binary"
+_WAITING = "ids binary, sl binary, cells binary, home binary, x binary"
+_SLIDES = f"{_WAITING}, open binary, hist binary, mark binary"
 
 
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass
-class Slide:
-    """Points of one slide of a key, ordered by cell.
+class Points:
+    """Points of a key, ordered by cell and slide.
 
     ``open`` are the places of home points that can still be outliers, ``hist[i, j]`` the neighbours of the
     i-th of them in slide ``own + j - (span - 1)`` within each radius, and ``mark`` what a detector notes about it.
     """
 
     ids: np.ndarray
+    sl: np.ndarray
     cells: np.ndarray
     home: np.ndarray
     x: np.ndarray
@@ -63,35 +67,50 @@ class Slide:
     mark: np.ndarray
 
     def store(self) -> tuple[bytes, ...]:
-        return tuple(
-            a.tobytes() for a in (self.ids, self.cells, self.home, self.x, self.open, self.hist, self.mark)
-        )
+        return tuple(np.ascontiguousarray(a).tobytes() for a in vars(self).values())
 
     @staticmethod
-    def load(stored: Sequence[bytes], width: int, radii: int) -> Slide:
-        ids, cells, home, x, opened, hist, mark = stored
+    def load(stored: Sequence[bytes], width: int, radii: int) -> Points:
+        ids, sl, cells, home, x, opened, hist, mark = stored
         ids = np.frombuffer(ids, np.int64)
         opened = np.frombuffer(opened, np.int64)
-        return Slide(
+        return Points(
             ids,
+            np.frombuffer(sl, np.int64),
             np.frombuffer(cells, np.int64),
             np.frombuffer(home, bool),
             np.frombuffer(x).reshape(len(ids), -1),
             opened,
-            np.frombuffer(hist, np.int32).reshape(len(opened), width, radii).copy(),
-            np.frombuffer(mark, np.int64).reshape(len(opened), 2).copy(),
+            np.frombuffer(hist, np.int32).reshape(len(opened), width, radii),
+            np.frombuffer(mark, np.int64),
+        )
+
+    @staticmethod
+    def joined(parts: Sequence[Points]) -> Points:
+        """All of them in one order."""
+        first = np.cumsum([0] + [len(p.ids) for p in parts])
+        ids, sl, cells, home, x = (
+            np.concatenate([getattr(p, name) for p in parts]) for name in ("ids", "sl", "cells", "home", "x")
+        )
+        order = np.lexsort((ids, sl, cells))
+        opened = np.argsort(order)[np.concatenate([p.open + n for p, n in zip(parts, first)])]
+        sorting = np.argsort(opened)
+        hist, mark = (np.concatenate([getattr(p, name) for p in parts])[sorting] for name in ("hist", "mark"))
+        return Points(ids[order], sl[order], cells[order], home[order], x[order], opened[sorting], hist, mark)
+
+    def where(self, which: np.ndarray) -> Points:
+        """Only the points of a mask."""
+        opened = which[self.open]
+        return Points(
+            self.ids[which], self.sl[which], self.cells[which], self.home[which], self.x[which],
+            (np.cumsum(which) - 1)[self.open[opened]], self.hist[opened], self.mark[opened],
         )
 
     def keep(self, which: np.ndarray) -> None:
+        """Only these open ones stay open."""
         self.open, self.hist, self.mark = self.open[which], self.hist[which], self.mark[which]
 
 
-def _spans(cells: np.ndarray) -> dict[int, tuple[int, int]]:
-    """Where each cell of an ordered array begins and ends."""
-    names, first = np.unique(cells, return_index=True)
-    return dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(cells)])))
-
-
 def _crowded(cells: np.ndarray, x: np.ndarray, radius: float, k: int) -> np.ndarray:
     """Points with more than k points, themselves included, in a cell so small that all of it is near."""
     if radius > 0:
@@ -117,17 +136,22 @@ def euclidean_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Cells(StatefulProcessor):
-    """Slides of a key, their neighbour counts, and the timers that both detectors share."""
+    """Slides of a key, their neighbour counts, and the timer that both detectors share.
+
+    Slides are kept in blocks of one window's length.  A key has one timer, for the next window that closes; when
+    it wakes, it looks at all windows that the watermark has closed since, a run of blocks at a time.
+    """
 
     def __init__(self, span: int, radii: Sequence[float], k: int, lateness: int, space: Space, distance: Distance | None):
         self.span, self.radii, self.k, self.lateness = span, list(radii), k, lateness
         self.coords = space.coords()
-        self.flat, self.distance = space.flat, distance
+        self.dims, self.flat, self.distance = space.dims, space.flat, distance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slides = handle.getMapState("slides", "sl bigint", _SLIDE)
-        self.waiting = handle.getMapState("waiting", "sl bigint", "ids binary, cells binary, home binary, x binary")
+        self.slides = handle.getMapState("slides", "block bigint", _SLIDES)
+        self.waiting = handle.getMapState("waiting", "block bigint", _WAITING)
+        self.clock = handle.getValueState("clock", "done bigint, timer bigint")
 
     def close(self) -> None:
         pass
@@ -137,104 +161,203 @@ class Cells(StatefulProcessor):
         self.handle.registerTimer((EVENT_BASE + e - self.lateness) * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list[pd.DataFrame]] = {}
+        frames, held, first = [], 0, None
         for frame in rows:
-            for sl, group in frame.groupby("sl"):
-                arrived.setdefault(int(sl), []).append(group)
-        for sl, groups in arrived.items():
-            group = pd.concat(groups)
-            x = group[self.coords].to_numpy(np.float64) if self.flat else np.stack(group["value"].to_numpy()).astype(float)
-            new = [group["id"].to_numpy(np.int64), group["cell"].to_numpy(np.int64), group["is_home"].to_numpy(bool), x]
-            stored = [np.ascontiguousarray(a).tobytes() for a in new]
-            if self.waiting.containsKey((sl,)):
-                stored = [a + b for a, b in zip(self.waiting.getValue((sl,)), stored)]
-            self.waiting.updateValue((sl,), tuple(stored))
-            self.arrived(sl)
-            self.timer(sl + self.span + self.lateness)
+            frames.append(frame)
+            held += len(frame)
+            if held >= RUN_ROWS:
+                first = self._wait(frames, first)
+                frames, held = [], 0
+        first = self._wait(frames, first)
+        if first is not None:
+            done, timer = self.clock.get() if self.clock.exists() else (None, None)
+            if timer is None or first < timer:
+                self.timer(first)
+                self.clock.update((done, first))
         return iter([])
 
-    def arrived(self, sl: int) -> None:
-        raise NotImplementedError
-
-    def settle(self, e: int) -> tuple[dict[int, Slide], set[int]]:
-        """All slides with the points that wait up to ``e`` counted, and the slides that changed.
+    def _wait(self, frames: list[pd.DataFrame], first: int | None) -> int | None:
+        """Put points to those that wait for the watermark; the oldest slide of all."""
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return first
+        group = pd.concat(frames)
+        x = group[self.coords].to_numpy(np.float64) if self.flat else np.stack(group["value"].to_numpy()).astype(float)
+        self._put([
+            group["id"].to_numpy(np.int64), group["sl"].to_numpy(np.int64),
+            group["cell"].to_numpy(np.int64), group["is_home"].to_numpy(bool), x,
+        ])
+        oldest = int(group["sl"].min())
+        return oldest if first is None else min(first, oldest)
+
+    def _put(self, new: list[np.ndarray]) -> None:
+        blocks = new[1] // self.span
+        order = np.argsort(blocks, kind="stable")
+        names, start = np.unique(blocks[order], return_index=True)
+        for block, rows in zip(names.tolist(), np.split(order, start[1:])):
+            stored = [np.ascontiguousarray(a[rows]).tobytes() for a in new]
+            if self.waiting.containsKey((block,)):
+                stored = [a + b for a, b in zip(self.waiting.getValue((block,)), stored)]
+            self.waiting.updateValue((block,), tuple(stored))
 
-        If these points are late, slides after ``e`` have been counted before and count them too.
-        """
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000
+        upto += self.lateness - EVENT_BASE
+        done = self.clock.get()[0] if self.clock.exists() else None
+        blocks = sorted(k[0] for k in self.waiting.keys())
+        due = [b for b in blocks if b * self.span <= upto]
+        if done is not None and done >= upto and not due:
+            return
         width, radii = 2 * self.span - 1, len(self.radii)
-        known = {k[0]: Slide.load(v, width, radii) for k, v in self.slides.iterator()}
-        changed: set[int] = set()
-        for sl in sorted(k[0] for k in self.waiting.keys()):
-            if sl > e:
-                continue
-            ids, cells, home, x = self.waiting.getValue((sl,))
-            ids = np.frombuffer(ids, np.int64)
-            cells, home = np.frombuffer(cells, np.int64), np.frombuffer(home, bool)
-            x = np.frombuffer(x).reshape(len(ids), -1)
-            self.waiting.removeKey((sl,))
-            changed |= self._insert(known, sl, ids, cells, home, x)
-        return known, changed
-
-    def _insert(self, known: dict[int, Slide], sl: int, ids, cells, home, x) -> set[int]:
-        """Count the new points of a slide against all others that share a window, both ways."""
-        order = np.lexsort((ids, cells))
-        ids, cells, home, x = ids[order], cells[order], home[order], x[order]
+        stored = {k[0]: v for k, v in self.slides.iterator()}
+        held = Points.joined([self._new([b""] * 5), *[Points.load(v, width, radii) for v in stored.values()]])
+        self._open()
+        # Windows that were not looked at yet, or that new points change.
+        since = upto if done is None else done
+        pending = {e for e in self._windows(held.sl) if since < e <= upto}
+        while due or pending:
+            fresh = [self._new([b""] * 5)]
+            while due and sum(len(p.ids) for p in fresh) < RUN_ROWS:
+                fresh.append(self._due(due.pop(0), upto))
+            end = min(upto, due[0] * self.span - 1) if due else upto
+            new = Points.joined(fresh)
+            pending |= {e for e in self._windows(new.sl) if e <= upto}
+            held = self._insert(held, new)
+            now = sorted(e for e in pending if e <= end)
+            pending = {e for e in pending if e > end}
+            if now:
+                yield from self._report(key, held, np.array(now, np.int64))
+            self._settle(held, end)
+            held = held.where(held.sl > end - self.lateness - self.span)
+        self._save(held, stored)
+        self._close(upto)
+        nexts = [k[0] for k in self.waiting.keys()]
+        oldest = [int(np.frombuffer(self.waiting.getValue((min(nexts),))[1], np.int64).min())] if nexts else []
+        if len(held.sl):
+            oldest.append(upto + 1 if held.sl.max() > upto - self.span else int(held.sl.min()) + self.span + self.lateness)
+        if oldest:
+            self.timer(min(oldest))
+            self.clock.update((upto, min(oldest)))
+        else:
+            self.clock.clear()
+
+    def _windows(self, sl: np.ndarray) -> list[int]:
+        """Windows that hold any of the slides."""
+        return np.unique(np.unique(sl)[:, None] + np.arange(self.span)).tolist()
+
+    def _new(self, stored: Sequence[bytes]) -> Points:
+        """Points without counts, the home ones open unless others of their slide settle them."""
+        ids, sl, cells, home, x = stored
+        ids, sl, cells = (np.frombuffer(a, np.int64) for a in (ids, sl, cells))
+        home = np.frombuffer(home, bool)
+        x = np.frombuffer(x).reshape(len(ids), self.dims)
         # Under another distance no cell is known whose points are all near.
-        settled = np.zeros(len(ids), bool) if self.distance else _crowded(cells, x, self.radii[0], self.k)
+        if self.distance or not len(ids):
+            settled = np.zeros(len(ids), bool)
+        else:
+            settled = _crowded(np.column_stack([cells, sl]), x, self.radii[0], self.k)
         opened = np.flatnonzero(home & ~settled) if self.k > 0 else np.zeros(0, np.int64)
         empty = np.zeros((len(opened), 2 * self.span - 1, len(self.radii)), np.int32)
-        new = Slide(ids, cells, home, x, opened, empty, np.full((len(opened), 2), -1, np.int64))
-        changed = {sl}
-        for other, old in known.items():
-            if abs(other - sl) < self.span:
-                self._count(new, old, other - sl)
-                if self._count(old, new, sl - other):
-                    changed.add(other)
-        self._count(new, new, 0, itself=True)
-        if sl in known:
-            old = known[sl]
-            ids, cells = np.concatenate([old.ids, ids]), np.concatenate([old.cells, cells])
-            order = np.lexsort((ids, cells))
-            opened = np.argsort(order)[np.concatenate([old.open, new.open + len(old.ids)])]
-            # Open points are ordered by cell like all points.
-            sorting = np.argsort(opened)
-            new = Slide(
-                ids[order], cells[order], np.concatenate([old.home, new.home])[order], np.concatenate([old.x, new.x])[order],
-                opened[sorting], np.concatenate([old.hist, new.hist])[sorting], np.concatenate([old.mark, new.mark])[sorting],
-            )
-        known[sl] = new
-        return changed
-
-    def _count(self, searching: Slide, stored: Slide, ahead: int, itself: bool = False) -> bool:
-        """Add the stored points near the open ones of ``searching`` to their counts; whether there were any."""
-        found = False
-        if not len(searching.open) or not len(stored.ids):
-            return found
-        spans = _spans(stored.cells)
-        for cell, (a, b) in _spans(searching.cells[searching.open]).items():
-            if cell not in spans:
+        return Points(ids, sl, cells, home, x, opened, empty, np.full(len(opened), -1, np.int64))
+
+    def _due(self, block: int, upto: int) -> Points:
+        """The points of a block that wait no longer; newer ones go back."""
+        ids, sl, cells, home, x = stored = self.waiting.getValue((block,))
+        self.waiting.removeKey((block,))
+        slides = np.frombuffer(sl, np.int64)
+        if slides.max() <= upto:
+            return self._new(stored)
+        arrays = [
+            np.frombuffer(ids, np.int64), slides, np.frombuffer(cells, np.int64), np.frombuffer(home, bool),
+            np.frombuffer(x).reshape(len(slides), -1),
+        ]
+        self._put([a[slides > upto] for a in arrays])
+        return self._new([a[slides <= upto].tobytes() for a in arrays])
+
+    def _insert(self, held: Points, new: Points) -> Points:
+        """Count the new points against all others that share a window, both ways."""
+        if not len(new.ids):
+            return held
+        if not len(held.ids):
+            held = new.where(np.zeros(len(new.ids), bool))
+        old = held.mark.copy()
+        # Old open points against the new ones, then new open points against all.
+        held.hist = held.hist + self._count(held, held.open, new, None)
+        held.mark, new.mark = np.full(len(old), 0, np.int64), np.full(len(new.open), 1, np.int64)
+        marks = Points.joined([held, new]).mark.astype(bool)
+        held.mark, new.mark = old, np.full(len(new.open), -1, np.int64)
+        both = Points.joined([held, new])
+        hist = both.hist.copy()
+        hist[marks] += self._count(both, both.open[marks], both, both.open[marks])
+        both.hist = hist
+        return both
+
+    def _count(self, searching: Points, rows: np.ndarray, stored: Points, own: np.ndarray | None) -> np.ndarray:
+        """Stored points near the rows by slide and radius; ``own`` are the places of the rows themselves among them."""
+        width, span = 2 * self.span - 1, self.span
+        out = np.zeros((len(rows), width, len(self.radii)), np.int32)
+        if not len(rows) or not len(stored.ids):
+            return out
+        names, code = np.unique(stored.cells, return_inverse=True)
+        cells, sl = searching.cells[rows], searching.sl[rows]
+        at = np.minimum(np.searchsorted(names, cells), len(names) - 1)
+        low = min(int(sl.min()), int(stored.sl.min())) - span
+        length = max(int(sl.max()), int(stored.sl.max())) + span + 1 - low
+        keys = code.reshape(-1) * length + (stored.sl - low)
+        first = np.searchsorted(keys, at * length + (sl - span + 1 - low), "left")
+        last = np.searchsorted(keys, at * length + (sl + span - 1 - low), "right")
+        last = np.where(names[at] == cells, last, first)
+        # Rows of a cell within the length of a window are compared with the stored ones around them at once.
+        block = sl // span
+        cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (block[1:] != block[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+            c, d = int(first[a]), int(last[b - 1])
+            if c >= d:
                 continue
-            c, d = spans[cell]
             step = max(1, CHUNK // (d - c))
             for i in range(a, b, step):
-                rows = searching.open[i : min(i + step, b)]
-                distance = (self.distance or euclidean_matrix)(searching.x[rows], stored.x[c:d])
-                if itself:
-                    distance[np.arange(len(rows)), rows - c] = np.inf
+                j = min(i + step, b)
+                distance = (self.distance or euclidean_matrix)(searching.x[rows[i:j]], stored.x[c:d])
+                if own is not None:
+                    distance[np.arange(j - i), own[i:j] - c] = np.inf
+                p, q = np.nonzero(distance <= self.radii[-1])
+                place = stored.sl[c + q] - sl[i + p] + (span - 1)
+                common = (place >= 0) & (place < width)
+                p, q, place = p[common], q[common], place[common]
+                place = p * width + place
                 for r, radius in enumerate(self.radii):
-                    near = (distance <= radius).sum(1)
-                    searching.hist[i : i + len(rows), ahead + self.span - 1, r] += near.astype(np.int32)
-                    found = found or bool(near.any())
-        return found
+                    near = place if r == len(self.radii) - 1 else place[distance[p, q] <= radius]
+                    out[i:j, :, r] = np.bincount(near, minlength=(j - i) * width).reshape(j - i, width)
+        return out
+
+    def _save(self, held: Points, stored: dict[int, tuple]) -> None:
+        """Write the blocks that changed, and remove those that no later report needs."""
+        blocks = held.sl // self.span
+        names = np.unique(blocks).tolist()
+        for block in stored:
+            if block not in names:
+                self.slides.removeKey((block,))
+        order = np.argsort(blocks, kind="stable")
+        for block, rows in zip(names, np.split(order, np.searchsorted(blocks[order], names)[1:])):
+            which = np.zeros(len(blocks), bool)
+            which[rows] = True
+            value = held.where(which).store()
+            if block not in stored or tuple(bytes(v) for v in stored[block]) != value:
+                self.slides.updateValue((block,), value)
+
+    def _open(self) -> None:
+        """Before the windows of a key are looked at."""
+
+    def _close(self, upto: int) -> None:
+        """After that."""
+
+    def _report(self, key, held: Points, windows: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Rows for some windows, in ascending order."""
+        raise NotImplementedError
 
-    def save(self, known: dict[int, Slide], changed: set[int], e: int) -> None:
-        """Write the slides that changed, and remove those that no later report needs."""
-        last = e - self.lateness - self.span
-        for sl, slide in known.items():
-            if sl <= last:
-                self.slides.removeKey((sl,))
-            elif sl in changed:
-                self.slides.updateValue((sl,), slide.store())
+    def _settle(self, held: Points, e: int) -> None:
+        """Close what is certain after the windows up to ``e``."""
+        raise NotImplementedError
 
 
 class WindowReports(Cells):
@@ -246,102 +369,116 @@ class WindowReports(Cells):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.versions = handle.getMapState("versions", "e bigint", "version int")
-
-    def arrived(self, sl: int) -> None:
-        for e in range(sl, sl + self.span):
-            self.timer(e)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        e = expiredTimerInfo.getExpiryTimeInMs() // 1000 - EVENT_BASE + self.lateness
-        known, changed = self.settle(e)
-        rows = list(self._report(known, e))
-        for sl, slide in known.items():
-            # What is certain now is certain in every window that can still be reported.
-            done = e - self.lateness - sl
-            if done >= 0 and len(slide.open):
-                safe = slide.hist[:, self.span - 1 : self.span + done, 0].sum(1) >= self.k
-                if safe.any():
-                    slide.keep(~safe)
-                    changed.add(sl)
-        self.save(known, changed, e)
-        version = 0
-        if rows and self.lateness:
-            version = self.versions.getValue((e,))[0] + 1 if self.versions.containsKey((e,)) else 0
-            self.versions.updateValue((e,), (version,))
-        if self.lateness and self.versions.containsKey((e - self.lateness - self.span,)):
-            self.versions.removeKey((e - self.lateness - self.span,))
-        if rows:
-            frame = pd.DataFrame(rows, columns=["e", "w", "s", "r", "k", "n_outliers"])
-            frame.insert(0, "version", version)
-            frame.insert(0, "part", key[0])
-            yield frame
-
-    def _report(self, known: dict[int, Slide], e: int) -> Iterator[tuple]:
-        wanted = self.queries
+        self.versions = handle.getMapState("versions", "block bigint", "version binary")
+
+    def _open(self) -> None:
+        self.reported, self.touched = {}, set()
+        if self.lateness:
+            self.reported = {k[0]: np.frombuffer(v[0], np.int32).copy() for k, v in self.versions.iterator()}
+
+    def _close(self, upto: int) -> None:
+        if not self.lateness:
+            return
+        for block in list(self.reported):
+            if (block + 1) * self.span <= upto - self.lateness - self.span:
+                if block not in self.touched or self.versions.containsKey((block,)):
+                    self.versions.removeKey((block,))
+            elif block in self.touched:
+                self.versions.updateValue((block,), (self.reported[block].tobytes(),))
+
+    def _version(self, e: int) -> int:
+        """How often a window was reported before."""
+        if not self.lateness:
+            return 0
+        block, at = divmod(e, self.span)
+        counts = self.reported.setdefault(block, np.zeros(self.span, np.int32))
+        self.touched.add(block)
+        counts[at] += 1
+        return int(counts[at]) - 1
+
+    def _report(self, key, held: Points, windows: np.ndarray) -> Iterator[pd.DataFrame]:
+        wanted, low = self.queries, int(windows[0])
+        size = int(windows[-1]) - low + 1
+        asked = np.zeros(size, bool)
+        asked[windows - low] = True
+        homes = np.unique(held.sl[held.home])
+        sl = held.sl[held.open]
+        near = np.flatnonzero((sl > low - self.span) & (sl <= windows[-1]))
+        sl, upto = sl[near], np.zeros((len(near), 2 * self.span, len(self.radii)), np.int64)
+        np.cumsum(held.hist[near], axis=1, out=upto[:, 1:])
+        columns: list[list[np.ndarray]] = []
         for w, span in zip(wanted.windows, wanted.spans):
-            inside = {sl: s for sl, s in known.items() if e - span < sl <= e}
-            if not any(s.home.any() for s in inside.values()):
+            living = np.unique(homes[:, None] + np.arange(span)) - low
+            living = living[(living >= 0) & (living < size)]
+            living = living[asked[living]]
+            if not len(living):
                 continue
-            counts = [
-                s.hist[:, max(0, e - span + 1 - sl + self.span - 1) : e - sl + self.span].sum(1)
-                for sl, s in inside.items()
-                if len(s.open)
-            ]
-            counts = np.concatenate([np.zeros((0, len(self.radii)), np.int64), *counts])
-            for s, step in zip(wanted.slides, wanted.steps):
-                if (e + 1) % step == 0:
-                    for i, r in enumerate(wanted.radii):
-                        for k in wanted.ks:
-                            yield e, w, s, r, k, int((counts[:, i] < k).sum())
+            at = sl[:, None] + np.arange(span) - low
+            inside = (at >= 0) & (at < size)
+            place = np.arange(span)
+            # Neighbours in the window that ends so many slides after the point's own.
+            counts = upto[:, place + self.span] - upto[:, np.maximum(place - span + self.span, 0)]
+            for i, r in enumerate(wanted.radii):
+                for k in wanted.ks:
+                    found = np.bincount(at[inside & (counts[:, :, i] < k)], minlength=size)
+                    for s, step in zip(wanted.slides, wanted.steps):
+                        e = living[(living + low + 1) % step == 0]
+                        n = len(e)
+                        columns.append([e + low, np.full(n, w), np.full(n, s), np.full(n, r), np.full(n, k), found[e]])
+        names = ["e", "w", "s", "r", "k", "n_outliers"]
+        if not any(len(c[0]) for c in columns):
+            return
+        frame = pd.DataFrame({name: np.concatenate([c[i] for c in columns]) for i, name in enumerate(names)})
+        versions = {e: self._version(e) for e in np.unique(frame["e"]).tolist()}
+        frame.insert(0, "version", frame["e"].map(versions))
+        frame.insert(0, "part", key[0])
+        yield frame
+
+    def _settle(self, held: Points, e: int) -> None:
+        """What is certain now is certain in every window that can still be reported."""
+        known = e - self.lateness - held.sl[held.open]
+        sure = np.arange(self.span) < known[:, None]
+        safe = (held.hist[:, self.span - 1 :, 0] * sure).sum(1) >= self.k
+        if safe.any():
+            held.keep(~safe)
 
 
 class StatusChanges(Cells):
-    """Status changes of points, by a queue of events.
+    """Status changes of points.
 
-    After each look at a point a timer is set for the slide in which it will have lost too many neighbours
-    if none arrive.  A key wakes for new points and for such events; points without either are not looked at.
+    Whenever a key wakes, the status of its open points follows for all windows that have closed since, from their
+    neighbours per slide.  A mark is the status in the last window looked at.
     """
 
     def __init__(self, span: int, radius: float, k: int, space: Space, distance: Distance | None):
         super().__init__(span, [radius], k, 0, space, distance)
 
-    def arrived(self, sl: int) -> None:
-        self.timer(sl)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        e = expiredTimerInfo.getExpiryTimeInMs() // 1000 - EVENT_BASE
-        known, changed = self.settle(e)
-        names, out = np.array([OUTLIER, INLIER, SAFE], dtype=object), []
-        for sl, slide in known.items():
-            # Marks are the status after the last look, and the slide of the next event.
-            due = slide.mark[:, 1] == e
-            look = np.ones(len(slide.open), bool) if sl in changed else due
-            if not (0 <= e - sl < self.span and look.any()):
-                continue
-            hist = slide.hist[look, :, 0]
-            at = e - sl + self.span
-            until_now = np.where(np.arange(hist.shape[1]) < at, hist, 0)
-            # Neighbours in this slide and all later ones, up to now.
-            rest = until_now[:, ::-1].cumsum(1)[:, ::-1]
-            status = (rest[:, at - self.span] >= self.k).astype(np.int64)
-            status[rest[:, self.span - 1] >= self.k] = 2
-            before = slide.mark[look, 0]
-            moved = np.flatnonzero((before >= 0) & (before != status))
-            ids = slide.ids[slide.open[look]]
-            out += [(e, ids[i], names[before[i]], names[status[i]]) for i in moved]
-            # The j-th window from here loses what lies before place at - span + j.
-            enough = rest[:, at - self.span + 1 : self.span] >= self.k
-            event = np.where(enough.all(1), -1, e + 1 + np.argmin(enough, axis=1)) if enough.shape[1] else np.full(len(ids), -1)
-            event[status != 1] = -1
-            for t in np.unique(event[event > 0]).tolist():
-                self.timer(t)
-            slide.mark[look] = np.column_stack([status, event])
-            slide.keep(slide.mark[:, 0] != 2)
-            changed.add(sl)
-        self.save(known, changed, e)
-        if out:
-            yield pd.DataFrame(out, columns=["e", "id", "previous", "status"])
+    def _report(self, key, held: Points, windows: np.ndarray) -> Iterator[pd.DataFrame]:
+        names = np.array([OUTLIER, INLIER, SAFE], dtype=object)
+        opened, span = held.open, self.span
+        sl, hist = held.sl[opened], held.hist[:, :, 0].astype(np.int64)
+        upto = np.zeros((len(opened), 2 * span), np.int64)
+        np.cumsum(hist, axis=1, out=upto[:, 1:])
+        place = np.arange(span)
+        status = (upto[:, place + span] - upto[:, place] >= self.k).astype(np.int64)
+        status[upto[:, place + span] - upto[:, [span - 1]] >= self.k] = 2
+        at = sl[:, None] + place
+        seen = (at >= windows[0]) & (at <= windows[-1])
+        before = np.column_stack([np.full(len(opened), -1, np.int64), status[:, :-1]])
+        # The first window of this look follows the one of the last look.
+        begins = seen & ~np.column_stack([np.zeros(len(opened), bool), seen[:, :-1]])
+        before[begins] = held.mark[np.nonzero(begins)[0]]
+        rows, j = np.nonzero(seen & (before >= 0) & (before != status))
+        last = np.where(seen.any(1), span - 1 - np.argmax(seen[:, ::-1], axis=1), -1)
+        held.mark = np.where(last >= 0, status[np.arange(len(opened)), last], held.mark)
+        if len(rows):
+            yield pd.DataFrame({
+                "e": at[rows, j], "id": held.ids[opened[rows]],
+                "previous": names[before[rows, j]], "status": names[status[rows, j]],
+            })
+
+    def _settle(self, held: Points, e: int) -> None:
+        held.keep(held.mark != 2)
 
 
 def _routed(
@@ -408,17 +545,17 @@ class KeyedReport:
                 .option("path", f"{self.path}/checkpoint")
                 .option("stateVarName", name)
                 .load()
-                .select(F.col("user_map_key.sl").alias("sl"), *[F.col(f"user_map_value.{c}").alias(c) for c in ("ids", "home", "x")])
+                .select(*[F.col(f"user_map_value.{c}").alias(c) for c in ("ids", "sl", "home", "x")])
             )
             held = rows if held is None else held.union(rows)
 
         def unpacked(frames):
             for frame in frames:
                 for sl, ids, home, x in zip(frame["sl"], frame["ids"], frame["home"], frame["x"]):
-                    ids, home = np.frombuffer(ids, np.int64), np.frombuffer(home, bool)
+                    ids, sl, home = np.frombuffer(ids, np.int64), np.frombuffer(sl, np.int64), np.frombuffer(home, bool)
                     x = np.frombuffer(x).reshape(len(ids), -1)
                     if home.any():
-                        yield pd.DataFrame({"id": ids[home], "value": list(x[home]), "sl": sl})
+                        yield pd.DataFrame({"id": ids[home], "value": list(x[home]), "sl": sl[home]})
 
         return held.mapInPandas(unpacked, "id bigint, value array<double>, sl bigint")
 

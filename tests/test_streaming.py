@@ -221,3 +221,28 @@ def test_bad_window(spark):
         window_density(frame(spark, [(0, [0.0])]), 5, 2, 1.0, 1)
     with pytest.raises(ValueError):
         detect_outliers(frame(spark, [(0, [0.0])]), 5, 2, 1.0, 1)
+
+
+def test_a_key_wakes_once_in_a_batch(spark, tmp_path):
+    # 300 slides close in one batch: state is read and written once, not for each window.
+    points = [(i, [float(i % 3)]) for i in range(600)]
+    query, report = stream_outliers(started(spark, tmp_path, [points]), 20, 2, 0.5, 3, str(tmp_path / "store"), Space(1), buckets=1)
+    run(query)
+    expected = brute.single(points, 20, 2, 0.5, 3)
+    assert {r["e"]: r["n_outliers"] for r in report().collect()} == {e: n for e, n in expected.items() if e < 299}
+    removed = [int(o["numRowsRemoved"]) for p in query.recentProgress for o in p["stateOperators"]]
+    assert sum(removed) < 300
+
+
+def test_native_join_meets_near_times_only(spark, tmp_path):
+    points = [(i, [0.001 * i]) for i in range(400)]
+    stream = started(spark, tmp_path, [points[:200], points[200:]])
+    frame = window_outliers(stream, 20, 5, 10.0, 3, Space(1))
+    out = str(tmp_path / "out")
+    query = table_sink(frame, out, str(tmp_path / "checkpoint"))
+    run(query)
+    expected = brute.single(points, 20, 5, 10.0, 3)
+    assert {r["e"]: r["n_outliers"] for r in spark.read.parquet(out).collect()} == {e: n for e, n in expected.items() if e < 79 - 4}
+    plan = query._jsq.explainInternal(False)
+    join = next(line for line in plan.splitlines() if "StreamingSymmetricHashJoin" in line)
+    assert "nblock" in join
