@@ -122,23 +122,31 @@ def window_outliers(
     m = window // slide
     route = route or grid_route(space, radius)
     probes = route.with_reach(_stream_sites(points, slide, space, delay), space)
+    # Blocks of a window's length are part of the key: a site meets the stored ones around its time, not all of its cell.
+    block = F.floor(slide_of_time(F.col("ts")) / m)
     probes = probes.withColumn("part", F.explode_outer("parts")).drop("parts")
+    probes = probes.withColumn("block", F.explode_outer(F.sequence(block - 1, block + 1)))
     stored = route.with_home(_stream_sites(points, slide, space, delay), space)
     stored = stored.select(
-        F.col("part").alias("npart"), F.col("id").alias("nid"), F.col("n").alias("nn"), F.col("ts").alias("nts"),
-        *space.prefixed(stored, "n"),
+        F.col("part").alias("npart"), F.col("id").alias("nid"), F.col("n").alias("nn"), block.alias("nblock"),
+        F.col("ts").alias("nts"), *space.prefixed(stored, "n"),
     )
     near_time = F.expr(f"nts BETWEEN ts - INTERVAL {m - 1} SECONDS AND ts + INTERVAL {m - 1} SECONDS")
     d = F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(space.distance("", "n"))
-    pairs = probes.join(stored, (F.col("part") == F.col("npart")) & near_time).where(d <= F.lit(float(radius)))
-    placed = pairs.withColumn("window", F.window("ts", f"{m} seconds", "1 second"))
-    placed = placed.where((F.col("nts") >= F.col("window.start")) & (F.col("nts") < F.col("window.end")))
-    counted = placed.groupBy("window", "id").agg(F.sum("nn").alias("near"), F.max("n").alias("n"))
+    same = (F.col("part") == F.col("npart")) & (F.col("block") == F.col("nblock"))
+    pairs = probes.join(stored, same & near_time).where(d <= F.lit(float(radius)))
+    # One row per probe with its neighbours by slide: probes are copied to windows, pairs are not.
+    gap = slide_of_time(F.col("nts")) - slide_of_time(F.col("ts"))
+    per_gap = [F.sum(F.when(gap == j, F.col("nn")).otherwise(F.lit(0))).alias(f"g{j + m - 1}") for j in range(1 - m, m)]
+    counted = pairs.groupBy(F.window("ts", "1 second").alias("slide"), "id").agg(F.max("n").alias("n"), *per_gap)
+    counted = counted.select("n", F.array(*[f"g{j}" for j in range(2 * m - 1)]).alias("near"), F.window_time("slide").alias("at"))
+    placed = counted.withColumn("window", F.window("at", f"{m} seconds", "1 second"))
+    after = slide_of_time(F.col("window.end")) - 1 - slide_of_time(F.col("at"))
+    inside = F.aggregate(F.slice("near", after.cast("int") + 1, m), F.lit(0).cast("bigint"), lambda t, x: t + x)
     # A probe's own copies are counted with it, so fewer than k others reads: at most k.
-    outliers = F.sum(F.when(F.col("near") <= k, F.col("n")).otherwise(F.lit(0)))
+    outliers = F.sum(F.when(inside <= k, F.col("n")).otherwise(F.lit(0)))
     return (
-        counted.withColumn("closed", F.window_time("window"))
-        .groupBy(F.window("closed", "1 second").alias("report"))
+        placed.groupBy("window")
         .agg(outliers.alias("n_outliers"))
-        .select(slide_of_time(F.col("report.start")).alias("e"), "n_outliers")
+        .select((slide_of_time(F.col("window.end")) - 1).alias("e"), "n_outliers")
     )
