@@ -397,34 +397,30 @@ class WindowReports(Cells):
         return int(counts[at]) - 1
 
     def _report(self, key, held: Points, windows: np.ndarray) -> Iterator[pd.DataFrame]:
-        wanted, low = self.queries, int(windows[0])
-        size = int(windows[-1]) - low + 1
-        asked = np.zeros(size, bool)
-        asked[windows - low] = True
+        wanted = self.queries
         homes = np.unique(held.sl[held.home])
         sl = held.sl[held.open]
-        near = np.flatnonzero((sl > low - self.span) & (sl <= windows[-1]))
+        near = np.flatnonzero((sl > windows[0] - self.span) & (sl <= windows[-1]))
         sl, upto = sl[near], np.zeros((len(near), 2 * self.span, len(self.radii)), np.int64)
         np.cumsum(held.hist[near], axis=1, out=upto[:, 1:])
         columns: list[list[np.ndarray]] = []
         for w, span in zip(wanted.windows, wanted.spans):
-            living = np.unique(homes[:, None] + np.arange(span)) - low
-            living = living[(living >= 0) & (living < size)]
-            living = living[asked[living]]
-            if not len(living):
+            living = np.isin(windows, np.unique(homes[:, None] + np.arange(span)))
+            if not living.any():
                 continue
-            at = sl[:, None] + np.arange(span) - low
-            inside = (at >= 0) & (at < size)
+            ends = sl[:, None] + np.arange(span)
+            at = np.minimum(np.searchsorted(windows, ends), len(windows) - 1)
+            inside = windows[at] == ends
             place = np.arange(span)
             # Neighbours in the window that ends so many slides after the point's own.
             counts = upto[:, place + self.span] - upto[:, np.maximum(place - span + self.span, 0)]
             for i, r in enumerate(wanted.radii):
                 for k in wanted.ks:
-                    found = np.bincount(at[inside & (counts[:, :, i] < k)], minlength=size)
+                    found = np.bincount(at[inside & (counts[:, :, i] < k)], minlength=len(windows))
                     for s, step in zip(wanted.slides, wanted.steps):
-                        e = living[(living + low + 1) % step == 0]
-                        n = len(e)
-                        columns.append([e + low, np.full(n, w), np.full(n, s), np.full(n, r), np.full(n, k), found[e]])
+                        due = living & ((windows + 1) % step == 0)
+                        n = int(due.sum())
+                        columns.append([windows[due], np.full(n, w), np.full(n, s), np.full(n, r), np.full(n, k), found[due]])
         names = ["e", "w", "s", "r", "k", "n_outliers"]
         if not any(len(c[0]) for c in columns):
             return

@@ -246,3 +246,11 @@ def test_native_join_meets_near_times_only(spark, tmp_path):
     plan = query._jsq.explainInternal(False)
     join = next(line for line in plan.splitlines() if "StreamingSymmetricHashJoin" in line)
     assert "nblock" in join
+
+
+def test_wide_gaps_between_ids_in_one_batch(spark, tmp_path):
+    points = [(i + base, [float(i % 3)]) for base in (0, 4 * 10**10) for i in range(40)] + [(8 * 10**10, [0.0])]
+    query, report = stream_outliers(started(spark, tmp_path, [points]), 20, 10, 0.5, 4, str(tmp_path / "store"), Space(1), buckets=1)
+    run(query)
+    expected = {e + base: n for base in (0, 4 * 10**9) for e, n in brute.single(points[:40], 20, 10, 0.5, 4).items()}
+    assert {r["e"]: r["n_outliers"] for r in report().collect()} == expected
