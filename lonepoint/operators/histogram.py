@@ -3,7 +3,8 @@
 Points of one slide with equal vectors have the same neighbours, so the search
 runs once per distinct vector and slide, against distinct vectors with their
 numbers.  However many copies of a point there are, they cost one pair.  Where
-distinct vectors crowd, a pyramid of cell counts replaces the pairs.
+distinct vectors crowd, a pyramid of cell counts replaces the pairs.  On one
+coordinate sorted slides replace them all, unless a route is asked for.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Space, finite
-from . import pyramid
+from . import line, pyramid
 from .joins import window_pairs
 from .routes import Route
 from .windows import histogram_counts
@@ -49,6 +50,8 @@ def neighbour_histogram(
     neighbour.
     """
     radii = sorted(radii)
+    if route is None and line.usable(space, slide, span, radii):
+        return line.line_histogram(pts, slide, span, radii)
     distinct = sites(pts, space)
     sparse, crowded = distinct, None
     if pyramid.usable(space, radii):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lonepoint.functions import Space, distance_band, euclidean, event_time
 from lonepoint.functions.slides import EVENT_BASE, slide_of_time
+from lonepoint.operators import line
 from lonepoint.operators import neighbours as nb
 from lonepoint.operators import routes as rt
 from lonepoint.operators.blocks import near_pairs
@@ -339,3 +341,35 @@ def test_tables_samples_reports(spark, tmp_path):
     assert report_lines(report.select("e", "n_outliers")).first()[0] == "3;7"
     write_report(report.select("e", "r", "k", "n_outliers"), str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).first()[0] == "3;0.5;2;7"
+
+
+def test_sorted_slides_count_as_the_distance_does(spark):
+    """On one coordinate no pairs are made, also where x - r and x - y round differently."""
+    rng = random.Random(8)
+    values = [rng.randrange(400) / 100 for _ in range(160)] + [5e-17, -5e-17, 1e300, -1e300, math.inf, -math.inf, math.nan, 0.0, -0.0, 1e16]
+    points = [(3 * i, [v]) for i, v in enumerate(values)]
+    radii = [0.0, 0.07, 1.1, 2.0]
+    pts = keyed_points(frame(spark, points), 30, Space(1))
+    found = neighbour_histogram(pts, 30, 3, radii, Space(1))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.nsl): (r.c0, r.c1, r.c2, r.c3) for r in found.collect()}
+    expected = {}
+    for i, (x,) in points:
+        for nsl in range(i // 30 - 2, i // 30 + 3):
+            d = [abs(x - y) for j, (y,) in points if j != i and j // 30 == nsl]
+            counts = tuple(sum(1 for t in d if t <= r) for r in radii)
+            if counts[-1] or nsl == i // 30:
+                expected[i, nsl] = counts
+    assert got == expected
+
+
+def test_sorted_slides_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line, "BLOCK_POINTS", 1)
+    points = [(i, [x]) for i, x in enumerate([None, 1.0, 1.5, 1.0, 7.0] * 12)] + [(4, [7.0]), (5, [None]), (None, [1.0])]
+    pts = keyed_points(spark.createDataFrame(points, "id bigint, value array<double>"), 5, Space(1))
+    made = []
+    for most in (1 << 22, 0):
+        monkeypatch.setattr(line, "BLOCK_ROWS", most)
+        found = neighbour_histogram(pts, 5, 3, [0.5, 2.0], Space(1))
+        made.append(sorted(tuple(r) for r in found.collect()))
+    assert made[0] == made[1] and len(made[0]) > 60
