@@ -4,7 +4,7 @@ Points of one slide with equal vectors have the same neighbours, so the search
 runs once per distinct vector and slide, against distinct vectors with their
 numbers.  However many copies of a point there are, they cost one pair.  Where
 distinct vectors crowd, a pyramid of cell counts replaces the pairs.  On one
-coordinate sorted slides replace them all, unless a route is asked for.
+coordinate sorted slides replace them all.
 """
 
 from __future__ import annotations
@@ -50,8 +50,10 @@ def neighbour_histogram(
     neighbour.
     """
     radii = sorted(radii)
-    if route is None and line.usable(space, slide, span, radii):
-        return line.line_histogram(pts, slide, span, radii)
+    own = F.when(F.col("nsl") == F.col("sl"), 1).otherwise(0)
+    others = [(F.col(f"c{i}") - own).alias(f"c{i}") for i in range(len(radii))]
+    if line.usable(space, slide, span):
+        return line.line_histogram(pts, pts, slide, span, radii, space, route).select("id", "sl", "nsl", *others)
     distinct = sites(pts, space)
     sparse, crowded = distinct, None
     if pyramid.usable(space, radii):
@@ -76,11 +78,10 @@ def neighbour_histogram(
     several = distinct.where(F.col("n") > 1).withColumnRenamed("id", "site")
     keys = ["sl", *space.coords()]
     members = pts.join(several.select("site", *keys), keys).select("site", "id", "sl")
-    own = F.when(F.col("nsl") == F.col("sl"), 1).otherwise(0)
     return (
         single.unionByName(members)
         .join(per_site.withColumnRenamed("id", "site"), "site")
-        .select("id", "sl", "nsl", *[(F.col(f"c{i}") - own).alias(f"c{i}") for i in range(len(radii))])
+        .select("id", "sl", "nsl", *others)
     )
 
 

@@ -1,12 +1,13 @@
 """Neighbour counts on one coordinate, without pairs.
 
 Spark brings together the points of a block of slides with those of the windows around it.  A task sorts each slide
-once; the neighbours of a point in a slide are then two places in its order apart, however many they are.
+once; the neighbours of a point in a slide are then two places in its order apart, however many they are.  A route
+still tells who meets whom: a probe's order holds the points whose home is in its reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,93 +16,131 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import Space
 from ..session import spread
+from .routes import Route
 
-#: Points of a block, more if a window is longer, and rows that a block may return.
+#: Points of a block, and searches of its probes in slides; more of both if a window is longer.
 BLOCK_POINTS = 1 << 13
-BLOCK_ROWS = 1 << 22
-#: Radii whose square is an ordinary number.
-MAX_RADIUS = 1e150
+BLOCK_SEARCHES = 1 << 20
+MAX_SEARCHES = 1 << 22
 
 
-def usable(space: Space, slide: int, span: int, radii: Sequence[float]) -> bool:
+def usable(space: Space, slide: int, span: int) -> bool:
     """Whether slides can be sorted: one plain coordinate, and windows that a task can hold."""
-    rows = slide * span * (2 * span - 1)
-    return space.flat and space.dims == 1 and rows <= BLOCK_ROWS and 0 <= min(radii) and max(radii) <= MAX_RADIUS
+    return space.flat and space.dims == 1 and slide * span * (2 * span - 1) <= MAX_SEARCHES
 
 
-def _near(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
-    """The test of ``Space.distance``."""
-    t = x - y
-    return np.sqrt(t * t) <= radius
-
-
-def _turn(values: np.ndarray, x: np.ndarray, radius: float, low: np.ndarray, high: np.ndarray, near: bool) -> np.ndarray:
-    """The first place from ``low`` to ``high`` whose value is near (or is not), by halving."""
+def _first(low: np.ndarray, high: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each row the first place from ``low`` to ``high`` that passes, by halving; later ones pass too."""
     low, high = low.copy(), high.copy()
     while len(at := np.flatnonzero(low < high)):
         middle = (low[at] + high[at]) // 2
-        hit = _near(x[at], values[middle], radius) == near
+        hit = test(at, middle)
         high[at[hit]] = middle[hit]
         low[at[~hit]] = middle[~hit] + 1
     return low
 
 
-def counts_within(values: np.ndarray, before: np.ndarray, x: np.ndarray, radii: Sequence[float]) -> list[np.ndarray]:
-    """Points within each radius of ``x``; ``before`` has the points in front of each of the ascending values, and all.
+def counts_within(
+    values: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray, radii: Sequence[float]
+) -> list[np.ndarray]:
+    """Values within each of the ascending radii of ``x``, in the ascending runs from ``start`` to ``end``."""
 
-    Differences only find the place but for their rounding; what is that close to the radius is tested itself.
-    """
-    first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+    def near(at, place, radius):
+        # The test of ``Space.distance``, which never falls on the way to x.
+        t = x[at] - values[place]
+        return np.sqrt(t * t) <= radius
+
+    below = _first(start, end, lambda at, place: values[place] >= x[at])
+    above = _first(below, end, lambda at, place: values[place] > x[at])
     counts = []
-    for r in radii:
-        rounding = 4 * np.spacing(np.maximum(np.abs(x), r)) + 1 / MAX_RADIUS
-        low = np.searchsorted(values, x - r - rounding, "left")
-        high = np.minimum(np.searchsorted(values, x - r + rounding, "right"), first)
-        start = _turn(values, x, r, low, high, True)
-        low = np.maximum(np.searchsorted(values, x + r - rounding, "left"), last)
-        high = np.searchsorted(values, x + r + rounding, "right")
-        end = _turn(values, x, r, low, high, False)
-        counts.append(before[end] - before[start])
+    for r in reversed(radii):
+        start = _first(start, below, lambda at, place: near(at, place, r))
+        end = _first(above, end, lambda at, place: ~near(at, place, r))
+        counts.insert(0, end - start)
     return counts
 
 
-def _block_counts(rows: pd.DataFrame, span: int, radii: Sequence[float]) -> pd.DataFrame:
-    """The histogram of a block's own points."""
+def _dealt(reach: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each probe's reach, and stored rows with the reaches they are in."""
+    groups, sets = pd.factorize(reach)
+    homes, names = pd.factorize(home)
+    order = np.argsort(homes, kind="stable")
+    edges = np.searchsorted(homes[order], np.arange(len(names) + 1))
+    found = {name: order[edges[i] : edges[i + 1]] for i, name in enumerate(names)}
+    held = [(g, found[h]) for g, text in enumerate(sets) for h in text.split(";") if h in found]
+    none = [np.zeros(0, np.int64)]
+    rows = np.concatenate(none + [rows for _, rows in held])
+    return groups, rows, np.repeat([g for g, _ in held], [len(rows) for _, rows in held]).astype(np.int64)
+
+
+def _block_counts(rows: pd.DataFrame, radii: Sequence[float], per_id: bool) -> pd.DataFrame:
+    """The histogram of a block's probes."""
     names = [f"c{i}" for i in range(len(radii))]
-    rows = rows.sort_values("sl", kind="stable")
-    ids, sl, x, own = (rows[c].to_numpy() for c in ("id", "sl", "x0", "own"))
-    ordinary = np.isfinite(x)
-    asked = own & ordinary
-    id_, at, value = ids[asked], sl[asked], x[asked]
-    # A point without an ordinary coordinate is near to itself alone, in as many rows as it has.
-    odd = rows[own & ~ordinary]
-    alone = odd.groupby("id")["id"].transform("size").to_numpy() - 1
-    parts = [(odd["id"].to_numpy(), odd["sl"].to_numpy(), odd["sl"].to_numpy(), *[alone] * len(radii))]
-    sl, x = sl[ordinary], x[ordinary]
-    slides, starts = np.unique(sl, return_index=True)
-    for s, a, b in zip(slides, starts, [*starts[1:], len(sl)]):
-        values, copies = np.unique(x[a:b], return_counts=True)
-        before = np.concatenate([[0], np.cumsum(copies)])
-        i, j = np.searchsorted(at, s - (span - 1), "left"), np.searchsorted(at, s + (span - 1), "right")
-        counts = counts_within(values, before, value[i:j], radii)
+    ordinary = np.isfinite(rows["x0"].to_numpy())
+    asked = rows["asked"].to_numpy()
+    probes, stored, odd = rows[asked & ordinary], rows[~asked & ordinary], rows[~ordinary]
+    groups, at, of = _dealt(probes["reach"].to_numpy(), stored["home"].to_numpy())
+    value, slide = stored["x0"].to_numpy()[at], stored["sl"].to_numpy()[at]
+    order = np.lexsort((value, slide, of))
+    value, slide, of = value[order], slide[order], of[order]
+    parts = []
+    if len(value):
+        low, width = slide.min(), slide.max() - slide.min() + 1
+        keys, starts = np.unique(of * width + (slide - low), return_index=True)
+        ends = np.append(starts[1:], len(value))
+        first = np.maximum(probes["first"].to_numpy(), low)
+        many = np.maximum(np.minimum(probes["last"].to_numpy(), low + width - 1) - first + 1, 0)
+        probe = np.repeat(np.arange(len(probes)), many)
+        there = first[probe] + np.arange(len(probe)) - np.repeat(np.cumsum(many) - many, many)
+        key = groups[probe] * width + (there - low)
+        run = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        some = keys[run] == key
+        probe, there, run = probe[some], there[some], run[some]
+        counts = counts_within(value, starts[run], ends[run], probes["x0"].to_numpy()[probe], radii)
         held = counts[-1] > 0
-        itself = (at[i:j][held] == s).astype(np.int64)
-        parts.append((id_[i:j][held], at[i:j][held], np.full(held.sum(), s), *[c[held] - itself for c in counts]))
+        probe = probe[held]
+        parts.append([probes["id"].to_numpy()[probe], probes["sl"].to_numpy()[probe], there[held], *[c[held] for c in counts]])
+    # A point without an ordinary coordinate is near to itself alone, in as many rows as it has.
+    alone = odd[odd["asked"] & (odd["sl"] >= odd["first"]) & (odd["sl"] <= odd["last"])]
+    copies = alone["id"].map(odd[~odd["asked"]].groupby("id").size()).fillna(0)
+    parts.append([alone[c].to_numpy() for c in ("id", "sl", "sl")] + [copies.to_numpy()] * len(radii))
     columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts)]
-    return pd.DataFrame(dict(zip(["id", "sl", "nsl", *names], columns)))
-
-
-def line_histogram(pts: DataFrame, slide: int, span: int, radii: Sequence[float]) -> DataFrame:
-    """``neighbour_histogram`` for points ``(id, sl, x0)``.
-
-    A block holds the slides of a few thousand ids and the windows next to them, so it has a bounded number of points
-    as ids are unique, and every point is sent to its own block and, near a border, to the next one.
+    out = pd.DataFrame(dict(zip(["id", "sl", "nsl", *names], columns)))
+    out = out[out[names[-1]] > 0]
+    if per_id and probes["id"].duplicated().any() | alone["id"].duplicated().any():
+        out = out.groupby(["id", "sl", "nsl"], as_index=False).sum()
+    return out
+
+
+def line_histogram(
+    probes: DataFrame, pts: DataFrame, slide: int, span: int, radii: Sequence[float], space: Space, route: Route | None,
+    per_id: bool = False,
+) -> DataFrame:
+    """Points within each radius of the probes, by slide: ``(id, sl, nsl, c0, c1, ..)``, the probe included.
+
+    Probes may bring the slides ``first .. last`` beyond which nothing matters; slides without a near point are left
+    out.  Rows are per probe, or per id.  A block holds the slides of a few thousand ids and the windows next to them,
+    so it has a bounded number of points as ids are unique; a stored point goes to its own block and, near a border,
+    to the next one.
     """
-    length = max(span, BLOCK_POINTS // slide)
+    length = max(span, min(BLOCK_POINTS, BLOCK_SEARCHES // (2 * span - 1)) // slide)
+    if "first" not in probes.columns:
+        probes = probes.withColumns({"first": F.col("sl") - (span - 1), "last": F.col("sl") + (span - 1)})
     block = lambda at: f"({at} - pmod({at}, {length}L)) div {length}L"
-    reach = F.expr(f"sequence({block(f'(sl - {span - 1}L)')}, {block(f'(sl + {span - 1}L)')})")
-    dealt = pts.where("sl is not null").select("id", "sl", "x0", F.explode_outer(reach).alias("block"))
-    dealt = dealt.withColumn("own", F.expr(f"{block('sl')} = block"))
+    around = F.expr(f"sequence({block(f'(sl - {span - 1}L)')}, {block(f'(sl + {span - 1}L)')})")
+    none, every = F.lit(None), F.lit("")
+    left = probes.where("sl is not null").select("id", "sl", "first", "last", "x0")
+    right = pts.where("sl is not null").select("id", "sl", "x0")
+    if route is None:
+        left, right = left.withColumn("reach", every), right.withColumn("home", every)
+    else:
+        left, right = route.with_reach(left, space), route.with_home(right, space)
+        left = left.withColumn("reach", F.array_join(F.transform("parts", lambda p: p.cast("string")), ";"))
+        right = right.withColumn("home", F.col("part").cast("string"))
+    names = ["block", "asked", "id", "sl", "first", "last", "x0", "reach", "home"]
+    left = left.withColumns({"block": F.expr(block("sl")), "asked": F.lit(True), "home": none.cast("string")})
+    right = right.withColumns({"asked": F.lit(False), "reach": none.cast("string")}).withColumns({"first": F.col("sl"), "last": F.col("sl")})
+    dealt = left.select(names).unionByName(right.withColumn("block", F.explode_outer(around)).select(names))
     schema = ", ".join(f"{c} bigint" for c in ["id", "sl", "nsl", *[f"c{i}" for i in range(len(radii))]])
     radii = [float(r) for r in radii]
-    return spread(dealt, "block").groupBy("block").applyInPandas(lambda rows: _block_counts(rows, span, radii), schema)
+    return spread(dealt, "block").groupBy("block").applyInPandas(lambda rows: _block_counts(rows, radii, per_id), schema)

@@ -27,6 +27,7 @@ from ..functions.vectors import Space
 from ..operators.clusters import free_centres
 from ..operators.density import unsettled_points
 from ..operators.joins import uses_blocks, window_pairs
+from ..operators.line import line_histogram, usable
 from ..operators.routes import BandRoute, BoundsRoute, HashRoute, PivotRoute, Route, VantageRoute, grid_route
 from ..operators.training import train_pivot, train_pivots, train_vantage_tree
 from ..operators.windows import histogram_counts, occupied_windows, slide_histogram, window_counts
@@ -137,6 +138,9 @@ def neighbour_counts(
     pts = keyed_points(points, queries.unit, space)
     spans, radii = queries.spans, radii or queries.radii
     probes = unsettled_points(pts, space, radii[0], queries.ks[-1], spans[-1], spans[0])
+    if chunk is None and usable(space, queries.unit, spans[-1]):
+        histogram = line_histogram(probes, pts, queries.unit, spans[-1], radii, space, route, per_id=True)
+        return histogram_counts(histogram, len(radii), spans)
     pairs = window_pairs(
         probes, pts, slide=queries.unit, span=spans[-1], radius=radii[-1],
         space=space, route=route, chunk=chunk,

@@ -369,7 +369,23 @@ def test_sorted_slides_in_several_blocks(spark, monkeypatch):
     pts = keyed_points(spark.createDataFrame(points, "id bigint, value array<double>"), 5, Space(1))
     made = []
     for most in (1 << 22, 0):
-        monkeypatch.setattr(line, "BLOCK_ROWS", most)
+        monkeypatch.setattr(line, "MAX_SEARCHES", most)
         found = neighbour_histogram(pts, 5, 3, [0.5, 2.0], Space(1))
         made.append(sorted(tuple(r) for r in found.collect()))
     assert made[0] == made[1] and len(made[0]) > 60
+
+
+def test_routes_deal_sorted_slides(spark):
+    """Probes meet the points whose home is in their reach, without pairs; a route that hides points would show."""
+    points = crowd(90, 1, seed=42)
+    pts = keyed_points(frame(spark, points), 10, Space(1))
+    plain = sorted(tuple(r) for r in neighbour_histogram(pts, 10, 3, [0.2, 1.0], Space(1)).collect())
+    some = [rt.HashRoute(3, rt.GridRoute(1.0)), rt.HashRoute(2, rt.BandRoute([1.0], 1.0)), rt.VantageRoute(train_vantage_tree(frame(spark, points), 8), 1.0, rings=True)]
+    for route in some:
+        found = neighbour_histogram(pts, 10, 3, [0.2, 1.0], Space(1), route)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == plain
+    class Nowhere(rt.HashRoute):
+        def with_reach(self, df, space):
+            return df.withColumn("parts", F.array(F.lit(self.width).cast("bigint")))
+    assert neighbour_histogram(pts, 10, 3, [0.2, 1.0], Space(1), Nowhere(2)).count() == 0
