@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import SLACK, Space, grid_width
 from ..session import spread
+from . import line
 from .blocks import BLOCK_ROWS, block_join
 from .routes import PivotRoute, Route, grid_route, nearest_pivot
 from .training import draw_pivots
@@ -38,6 +39,7 @@ def window_pairs(
     space: Space,
     route: Route | None = None,
     chunk: int | None = None,
+    keep: line.Recent | line.Skyband | None = None,
 ) -> DataFrame:
     """Pairs of points that share a window and lie within the radius.
 
@@ -50,7 +52,14 @@ def window_pairs(
     The join key is (partition, id chunk).  Ids are unique, so a chunk of C
     ids holds at most C rows however crowded a partition is, and the work grows
     with the length of the stream, not with its square.
+
+    ``keep`` says what bounded list of earlier neighbours the pairs are for.  On one coordinate only the pairs that can be
+    on it are made then, in sorted slides; otherwise all pairs are returned.
     """
+    if keep is not None and route is None and "n" not in stored.columns and line.usable(space, slide, span):
+        if "first" not in probes.columns:
+            probes = probes.withColumns({"first": F.col("sl") - (span - 1), "last": F.col("sl") - 1})
+        return line.line_pairs(probes, stored, slide, span, radius, keep)
     route = route or grid_route(space, radius)
     blocks = uses_blocks(space)
     least, most = (MIN_BLOCK, BLOCK_ROWS) if blocks else (MIN_CHUNK, CHUNK_ROWS)
@@ -125,7 +134,10 @@ def _salted(left: DataFrame, right: DataFrame, space: Space) -> tuple[DataFrame,
     probes = left.join(cuts, "part", "left")
     probes = probes.withColumn("salt", F.explode_outer(F.sequence(zero, n - 1))).drop("cuts")
     if not blocks:
-        return spread(probes, "part", "salt"), spread(right, "part", "salt"), ["part", "salt"]
+        # A number first: rows are then sorted by it and not by arrays of cells.
+        keys = ["_cell", "part", "salt"]
+        probes, right = (x.withColumn("_cell", F.xxhash64("part")) for x in (probes, right))
+        return spread(probes, *keys), spread(right, *keys), keys
     slices = _crowded(left, target, "slices")
     n = F.coalesce("slices", one)
     probes = probes.join(slices, "part", "left").withColumn("slice", F.pmod(F.xxhash64("qid"), n)).drop("slices")

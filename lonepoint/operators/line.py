@@ -1,13 +1,15 @@
-"""Neighbour counts on one coordinate, without pairs.
+"""Neighbour counts and bounded neighbour lists on one coordinate, without a join.
 
 Spark brings together the points of a block of slides with those of the windows around it.  A task sorts each slide
 once; the neighbours of a point in a slide are then two places in its order apart, however many they are.  A route
-still tells who meets whom: a probe's order holds the points whose home is in its reach.
+still tells who meets whom: a probe's order holds the points whose home is in its reach.  For bounded lists a task walks
+each probe's slides, newest first, and returns only the pairs that can be on the list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,27 @@ from .routes import Route
 BLOCK_POINTS = 1 << 13
 BLOCK_SEARCHES = 1 << 20
 MAX_SEARCHES = 1 << 22
+#: Pairs that a task looks at together, more if one slide holds more.
+PIECE_PAIRS = 1 << 20
+
+
+@dataclass(frozen=True)
+class Recent:
+    """Keep, for each probe and class, the ``k`` most recent earlier neighbours, in the order of slide and id.
+
+    ``classes`` numbers neighbours from their ids and distances, below ``count``.
+    """
+
+    k: int
+    count: int = 1
+    classes: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
+@dataclass(frozen=True)
+class Skyband:
+    """Keep, for each probe, the earlier neighbours with at most ``limit`` others no farther and strictly later."""
+
+    limit: int
 
 
 def usable(space: Space, slide: int, span: int) -> bool:
@@ -144,3 +167,123 @@ def line_histogram(
     schema = ", ".join(f"{c} bigint" for c in ["id", "sl", "nsl", *[f"c{i}" for i in range(len(radii))]])
     radii = [float(r) for r in radii]
     return spread(dealt, "block").groupBy("block").applyInPandas(lambda rows: _block_counts(rows, radii, per_id), schema)
+
+
+def _rank(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, and for its places the rank, from 0, among those that agree in all keys but the last."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys[:-1]])
+    at = np.arange(len(order))
+    return order, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def with_nearest(nearest: np.ndarray, probe: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Adds distances to the ascending lists of smallest ones, a row for each probe; returns the probes that got any."""
+    order, rank = _rank(probe, d)
+    few = rank < nearest.shape[1]
+    seen, at = np.unique(probe[order[few]], return_inverse=True)
+    new = np.full((len(seen), nearest.shape[1]), np.inf)
+    new[at, rank[few]] = d[order[few]]
+    nearest[seen] = np.sort(np.concatenate([nearest[seen], new], axis=1), axis=1)[:, : nearest.shape[1]]
+    return seen
+
+
+def _pieces(sizes: np.ndarray) -> list[np.ndarray]:
+    """Rows in runs of about ``PIECE_PAIRS`` pairs."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // PIECE_PAIRS)) + 1
+    return np.split(np.arange(len(sizes)), cuts)
+
+
+class _Walk:
+    """What a walk of probes over their slides has found so far."""
+
+    def __init__(self, keep: Recent | Skyband, probes: int, radius: float):
+        self.keep = keep
+        self.reach = np.full(probes, radius)
+        if isinstance(keep, Recent):
+            self.found = np.zeros((probes, keep.count), np.int64)
+        else:
+            self.nearest = np.full((probes, keep.limit + 1), np.inf)
+
+    def open(self) -> np.ndarray:
+        """Probes that older slides still matter to."""
+        if isinstance(self.keep, Recent):
+            return (self.found < self.keep.k).any(axis=1)
+        return self.nearest[:, -1] > 0
+
+    def add(self, probe: np.ndarray, nid: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Which of the pairs of some probes' next slide matter."""
+        if isinstance(self.keep, Recent):
+            of = np.zeros(len(d), np.int64) if self.keep.classes is None else self.keep.classes(nid, d)
+            key, found = probe * self.keep.count + of, self.found.reshape(-1)
+            many = np.bincount(key, minlength=len(found))
+            # Only where a list overflows an order is needed.
+            over = (many + found)[key] > self.keep.k
+            at = np.flatnonzero(over)
+            order, rank = _rank(key[at], -nid[at])
+            at = at[order]
+            kept = np.concatenate([np.flatnonzero(~over), at[rank + found[key[at]] < self.keep.k]])
+            found[:] = np.minimum(found + many, self.keep.k)
+            return kept
+        kept = np.flatnonzero(d < self.nearest[probe, -1])
+        seen = with_nearest(self.nearest, probe[kept], d[kept])
+        self.reach[seen] = np.minimum(self.reach[seen], self.nearest[seen, -1])
+        return kept
+
+
+def _block_pairs(rows: pd.DataFrame, radius: float, span: int, keep: Recent | Skyband) -> pd.DataFrame:
+    """The pairs of a block's probes with earlier points that ``keep`` asks for."""
+    rows = rows[np.isfinite(rows["x0"].to_numpy())]
+    asked = rows["asked"].to_numpy()
+    probes, stored = rows[asked], rows[~asked].sort_values(["sl", "x0"])
+    value, nid, slides = (stored[c].to_numpy() for c in ("x0", "id", "sl"))
+    x, sl, first, last = (probes[c].to_numpy() for c in ("x0", "sl", "first", "last"))
+    first, last = np.maximum(first, sl - (span - 1)), np.minimum(last, sl - 1)
+    walk, parts = _Walk(keep, len(probes), radius), []
+    for lag in range(1, span):
+        there = sl - lag
+        at = np.flatnonzero((there >= first) & (there <= last) & walk.open())
+        start, end = (np.searchsorted(slides, there[at], side) for side in ("left", "right"))
+
+        def near(row, place):
+            # The test of ``Space.distance``, which never falls on the way to x.
+            t = x[at[row]] - value[place]
+            return np.sqrt(t * t) <= walk.reach[at[row]]
+
+        middle = _first(start, end, lambda row, place: value[place] >= x[at[row]])
+        start = _first(start, middle, near)
+        many = _first(middle, end, lambda row, place: ~near(row, place)) - start
+        some = np.flatnonzero(many)
+        for piece in _pieces(many[some]) if len(some) else []:
+            row = some[piece]
+            size = many[row]
+            place = np.repeat(start[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            probe = np.repeat(at[row], size)
+            t = x[probe] - value[place]
+            d = np.sqrt(t * t)
+            kept = walk.add(probe, nid[place], d)
+            parts.append((probe[kept], place[kept], d[kept]))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    probe, place, d = (np.concatenate(c) for c in zip(none, *parts))
+    return pd.DataFrame({"id": probes["id"].to_numpy()[probe], "sl": sl[probe], "nid": nid[place], "nsl": slides[place], "d": d})
+
+
+def line_pairs(
+    probes: DataFrame, pts: DataFrame, slide: int, span: int, radius: float, keep: Recent | Skyband
+) -> DataFrame:
+    """Pairs ``(id, sl, nid, nsl, d)`` of the probes with points of earlier slides that ``keep`` asks for.
+
+    Each row of the probes has its own list.  Blocks are as for ``line_histogram``, with the windows before them only.
+    """
+    length = max(span, BLOCK_POINTS // slide)
+    block = lambda at: f"({at} - pmod({at}, {length}L)) div {length}L"
+    around = F.expr(f"sequence({block('sl')}, {block(f'(sl + {span - 1}L)')})")
+    names = ["block", "asked", "id", "sl", "first", "last", "x0"]
+    left = probes.where("sl is not null and first <= last").select("id", "sl", "first", "last", "x0")
+    left = left.withColumns({"block": F.expr(block("sl")), "asked": F.lit(True)})
+    right = pts.where("sl is not null").select("id", "sl", "x0")
+    right = right.withColumns({"asked": F.lit(False), "first": F.col("sl"), "last": F.col("sl"), "block": F.explode_outer(around)})
+    dealt = left.select(names).unionByName(right.select(names))
+    schema = "id bigint, sl bigint, nid bigint, nsl bigint, d double"
+    return spread(dealt, "block").groupBy("block").applyInPandas(lambda rows: _block_pairs(rows, float(radius), span, keep), schema)

@@ -7,12 +7,16 @@ every radius and window, so the answers to all queries up to k are unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import distance_band
+from .line import Recent, with_nearest
 
 
 def predecessors(pairs: DataFrame) -> DataFrame:
@@ -41,6 +45,17 @@ def most_recent_per_band(pairs: DataFrame, radii: Sequence[float], k: int) -> Da
     )
 
 
+def banded(radii: Sequence[float], k: int) -> Recent:
+    """What ``most_recent_per_band`` and ``layered_skyband`` need of a point's earlier neighbours."""
+    bounds = np.array(sorted(set(float(r) for r in radii)))
+    return Recent(k, len(bounds) + 1, lambda nid, d: np.searchsorted(bounds, d))
+
+
+def parted(parts: int, k: int) -> Recent:
+    """What ``merge_recent`` needs of them if lists are held by id modulo ``parts``."""
+    return Recent(k, parts, lambda nid, d: nid % parts)
+
+
 def layered_skyband(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFrame:
     """Neighbours with fewer than k newer ones in their own or a nearer band.
 
@@ -65,38 +80,49 @@ def layered_skyband(pairs: DataFrame, radii: Sequence[float], k: int) -> DataFra
 def k_skyband(pairs: DataFrame, limit: int, span: int) -> DataFrame:
     """Earlier neighbours with at most ``limit`` others no farther and strictly later.
 
-    Of each slide only the ``limit + 1`` smallest distances matter to older
-    slides.  One walk per point over its slides, newest first, carries the
-    smallest distances so far; a neighbour's dominators are those of its
-    slide's list that are no larger.  A point's group holds so many numbers per
-    slide, however many neighbours it has.
+    One walk per point over its slides, newest first, carries the ``limit + 1`` smallest distances so far; a neighbour's
+    dominators are those that are no larger.  Pairs are sent once, to their point.
     """
-    some = limit + 1
-    early = pairs.where((F.col("sl") - F.col("nsl")).between(1, span - 1))
-    outwards = Window.partitionBy("id", "nsl").orderBy("d")
-    slides = (
-        early.select("id", "nsl", "d")
-        .withColumn("_place", F.row_number().over(outwards))
-        .where(F.col("_place") <= some)
-        .groupBy("id", "nsl")
-        .agg(F.collect_list("d").alias("near"))
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("nsl", "near")), asc=False).alias("slides"))
-    )
-    lists = F.expr(
-        "aggregate(slides, "
-        "named_struct('later', cast(array() as array<double>), "
-        "'out', cast(array() as array<struct<nsl:bigint,later:array<double>>>)), "
-        f"(seen, s) -> named_struct('later', slice(array_sort(concat(seen.later, s.near)), 1, {some}), "
-        "'out', concat(seen.out, array(named_struct('nsl', s.nsl, 'later', seen.later)))), "
-        "seen -> seen.out)"
-    )
-    return (
-        early.join(slides.select("id", F.inline(lists)), ["id", "nsl"])
-        .withColumn("dominators", F.expr("cast(size(filter(later, x -> x <= d)) as bigint)"))
-        .where(F.col("dominators") <= limit)
-        .drop("later")
-    )
+    early = pairs.where((F.col("sl") - F.col("nsl")).between(1, span - 1) & F.col("id").isNotNull())
+    schema = T.StructType([*early.schema.fields, T.StructField("dominators", T.LongType())])
+    walks = early.repartition("id").sortWithinPartitions("id", F.desc("nsl"))
+    return walks.mapInArrow(lambda batches: _undominated(batches, limit), schema)
+
+
+def _undominated(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The walks of sorted batches; what may go on in the next batch is held back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(ids, ids[-1]))
+        if cut:
+            yield from _walks([*held, batch.slice(0, cut)], limit)
+            held = []
+        elif held and held[-1].column("id")[-1].as_py() != ids[0]:
+            yield from _walks(held, limit)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from _walks(held, limit)
+
+
+def _walks(batches: list[pa.RecordBatch], limit: int) -> list[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches)
+    ids, nsl, d = (table.column(c).to_numpy() for c in ("id", "nsl", "d"))
+    other = np.append(True, ids[1:] != ids[:-1])
+    slide = np.cumsum(other | np.append(True, nsl[1:] != nsl[:-1]))
+    probe, starts = np.cumsum(other) - 1, np.flatnonzero(other)
+    step = slide - slide[starts][probe]
+    order = np.argsort(step, kind="stable")
+    dominators = np.zeros(len(ids), np.int64)
+    nearest = np.full((len(starts), limit + 1), np.inf)
+    for at in np.split(order, np.flatnonzero(np.diff(step[order])) + 1):
+        dominators[at] = (nearest[probe[at]] <= d[at, None]).sum(axis=1)
+        with_nearest(nearest, probe[at], d[at])
+    kept = np.flatnonzero(dominators <= limit)
+    return table.take(kept).append_column("dominators", pa.array(dominators[kept])).to_batches()
 
 
 def trim_histogram(histogram: DataFrame, n_radii: int, k: int, rule: str) -> DataFrame:
@@ -143,11 +169,14 @@ def _cumulative(bands: list) -> list:
 def merge_recent(partial: DataFrame, k: int) -> DataFrame:
     """Lists per point and partition ``(id, part, nid, nsl)`` merged to one of length k.
 
-    Each partial list is cut to k first; a neighbour in several lists counts once.
+    Each partial list is cut to k first; a neighbour in several lists counts once.  Rows are sent once, to their point.
     """
     order = Window.partitionBy("id", "part").orderBy(F.desc("nsl"), F.desc("nid"))
-    lists = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return most_recent(lists.select("id", "nid", "nsl").distinct(), k)
+    lists = partial.select("id", "part", "nid", "nsl").repartition("id").withColumn("rank", F.row_number().over(order))
+    # Copies of a neighbour share their place.
+    order = Window.partitionBy("id").orderBy(F.desc("nsl"), F.desc("nid"))
+    merged = lists.where(F.col("rank") <= k).withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+    return merged.select("id", "nid", "nsl", "rank").distinct()
 
 
 def before_after_counts(histogram: DataFrame, count: str = "c0") -> DataFrame:

@@ -18,6 +18,7 @@ from .operators import neighbours as nb
 from .operators.density import dense_cells, looking_back, outside_dense_cells
 from .operators.histogram import band_counts, cumulative_counts, neighbour_histogram, neighbour_totals
 from .operators.joins import knn_join, nearest_first, pivot_prune_join, range_join, range_limit_join, window_pairs
+from .operators.line import Recent, Skyband
 from .operators.routes import BallRoute, BandRoute, BoundsRoute, GridRoute, HashRoute, PivotRoute, Route, VantageRoute
 from .operators.routes import assign, drop_stale_replicas
 from .operators.search import nearest_anywhere
@@ -26,7 +27,7 @@ from .operators.windows import window_population
 from .plans import status as st
 from .plans.detect import detect_outliers, detect_rk, detect_rkws, keyed_points, partition_outliers
 from .plans.params import QuerySet, reporting_windows, with_queries
-from .session import shared_dir
+from .session import shared_dir, written
 from .sources.points import (
     format_points, parse_points, points_from_table, sample_head, sample_random, stream_table_points, stream_text_points,
 )
@@ -382,7 +383,8 @@ def _meets(route: Callable[[DataFrame], Route]) -> Query:
 
     def run(spark, sf):
         pts = timeline(spark, sf)
-        placed = assign(D2.project(pts, "id"), route(pts), D2)
+        # Distances to all centres are dear, and the places are used twice.
+        placed = written(assign(D2.project(pts, "id"), route(pts), D2).select("id", "part", "is_home"), "places")
         homes = placed.where("is_home").groupBy("id").agg(F.count(F.lit(1)).alias("n_home"), F.first("part").alias("home"))
         near = range_join(pts, pts, 1.0, D2).select(F.col("qid").alias("id"), "nid")
         seen = placed.select("id", F.col("part").alias("home"), F.lit(True).alias("seen"))
@@ -656,14 +658,16 @@ def _(spark, sf):
     return asked.groupBy("id", "r", "k").agg(F.count_if(F.col("n") < F.col("k")).alias("n_windows"))
 
 
-def earlier_pairs(spark: SparkSession, sf: str, radius: float, limit: tuple[float, int] | None = None) -> DataFrame:
-    """Pairs with earlier neighbours; ``limit`` = (radius, k) skips slides that cannot matter."""
+def earlier_pairs(
+    spark: SparkSession, sf: str, radius: float, keep: Recent | Skyband, limit: tuple[float, int] | None = None
+) -> DataFrame:
+    """Pairs with earlier neighbours for a list; ``limit`` = (radius, k) skips slides that cannot matter."""
     pts = event_slides(spark, sf)
     if limit is not None:
         probes = looking_back(pts, D1, limit[0], limit[1], M)
     else:
         probes = pts.withColumns({"first": F.col("sl") - (M - 1), "last": F.col("sl") - 1})
-    return window_pairs(probes, pts, slide=S, span=M, radius=radius, space=D1)
+    return window_pairs(probes, pts, slide=S, span=M, radius=radius, space=D1, keep=keep)
 
 
 _EARLIER5 = f"WITH {points_sql(EVENTS_SQL)}, {pairs_sql(5.0, earlier=True)}"
@@ -675,13 +679,13 @@ _RECENT = (
 
 @query("topk_recent_neighbors", _RECENT)
 def _(spark, sf):
-    recent = nb.most_recent(earlier_pairs(spark, sf, 5.0, (5.0, 10)), 10)
+    recent = nb.most_recent(earlier_pairs(spark, sf, 5.0, Recent(10), (5.0, 10)), 10)
     return recent.select("id", "nid", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("merge_recent_neighbors", _RECENT)
 def _(spark, sf):
-    pairs = earlier_pairs(spark, sf, 5.0, (5.0, 10)).withColumn("part", F.pmod("nid", F.lit(4)))
+    pairs = earlier_pairs(spark, sf, 5.0, nb.parted(4, 10), (5.0, 10)).withColumn("part", F.pmod("nid", F.lit(4)))
     return nb.merge_recent(pairs, 10).select("id", "nid", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -691,7 +695,7 @@ def _(spark, sf):
     "ORDER BY nsl DESC, nid DESC) AS rank FROM pr) SELECT id, band, nid, rank FROM r WHERE rank <= 3",
 )
 def _(spark, sf):
-    banded = nb.most_recent_per_band(earlier_pairs(spark, sf, 5.0), RADII, 3)
+    banded = nb.most_recent_per_band(earlier_pairs(spark, sf, 5.0, nb.banded(RADII, 3)), RADII, 3)
     return banded.select("id", "band", "nid", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -705,7 +709,7 @@ def _(spark, sf):
     + " FROM b) SELECT id, nid, band FROM r WHERE (CASE band WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END) < 5",
 )
 def _(spark, sf):
-    return nb.layered_skyband(earlier_pairs(spark, sf, 5.0, (1.0, 5)), RADII, 5).select("id", "nid", "band")
+    return nb.layered_skyband(earlier_pairs(spark, sf, 5.0, nb.banded(RADII, 5), (1.0, 5)), RADII, 5).select("id", "nid", "band")
 
 
 @query(
@@ -715,7 +719,7 @@ def _(spark, sf):
     "FROM pr a WHERE (SELECT count(*) FROM pr b WHERE b.id = a.id AND b.d <= a.d AND b.nsl > a.nsl) <= 4",
 )
 def _(spark, sf):
-    return nb.k_skyband(earlier_pairs(spark, sf, 2.0), 4, M).select("id", "nid", "dominators")
+    return nb.k_skyband(earlier_pairs(spark, sf, 2.0, Skyband(4)), 4, M).select("id", "nid", "dominators")
 
 
 @query(
@@ -728,7 +732,7 @@ def _(spark, sf):
     """The skyband in windows of 200 slides."""
     pts = event_slides(spark, sf, 5)
     probes = pts.withColumns({"first": F.col("sl") - 199, "last": F.col("sl") - 1})
-    pairs = window_pairs(probes, pts, slide=5, span=200, radius=1.0, space=D1)
+    pairs = window_pairs(probes, pts, slide=5, span=200, radius=1.0, space=D1, keep=Skyband(4))
     return nb.k_skyband(pairs, 4, 200).select("id", "nid", "dominators")
 
 

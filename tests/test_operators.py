@@ -311,6 +311,66 @@ def test_skybands(spark):
     assert {(r["id"], r["nid"]) for r in nb.layered_skyband(pairs, radii, k).collect()} == expected
 
 
+def odd_line(spark):
+    """Crowded slides, copies of rows, values that are no numbers, gaps and a null id."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice([1.0, 1.0, rng.uniform(0, 4), 900.0])) for i in range(260) if not 90 <= i < 130]
+    rows += rows[40:60] + [(300, float("nan")), (301, float("inf")), (302, None), (303, 1.0), (None, 1.0)]
+    pts = spark.createDataFrame([(i, None if v is None else [v]) for i, v in rows], "id bigint, value array<double>")
+    return keyed_points(pts, 10, Space(1))
+
+
+def listed(df):
+    return sorted(map(repr, df.drop("sl").collect()))
+
+
+@pytest.mark.parametrize("block", [1, 1 << 13])
+def test_lists_on_a_line_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(line, "BLOCK_POINTS", block)
+    monkeypatch.setattr(line, "PIECE_PAIRS", 50 * block)
+    pts, span, radii = odd_line(spark), 4, [0.3, 1.0, 2.0]
+    probes = pts.withColumns({"first": F.col("sl") - (span - 1), "last": F.col("sl") - 1})
+    every = window_pairs(probes, pts, slide=10, span=span, radius=2.0, space=Space(1)).cache()
+    lists = {
+        "recent": (line.Recent(4), lambda p: nb.most_recent(p, 4).drop("d")),
+        "band": (nb.banded(radii, 2), lambda p: nb.most_recent_per_band(p, radii, 2).drop("d")),
+        "merged": (nb.parted(3, 4), lambda p: nb.merge_recent(p.withColumn("part", F.pmod("nid", F.lit(3))), 4)),
+        "skyband": (line.Skyband(2), lambda p: nb.k_skyband(p, 2, span).select("id", "nid", "nsl", "d", "dominators")),
+    }
+    for name, (keep, build) in lists.items():
+        pairs = window_pairs(probes, pts, slide=10, span=span, radius=2.0, space=Space(1), keep=keep)
+        assert listed(build(pairs)) == listed(build(every)), name
+    every.unpersist()
+
+
+def test_crowds_on_a_line_hand_on_bounded_lists(spark):
+    rows = spark.range(600).select("id", F.array(F.lit(5.0)).alias("value"))
+    pts = keyed_points(rows, 100, Space(1))
+    probes = pts.withColumns({"first": F.col("sl") - 3, "last": F.col("sl") - 1})
+    for keep, most in ((line.Recent(5), 5), (nb.parted(4, 2), 8), (nb.banded([1.0, 2.0], 3), 3), (line.Skyband(4), 100)):
+        pairs = window_pairs(probes, pts, slide=100, span=4, radius=2.0, space=Space(1), keep=keep)
+        assert pairs.groupBy("id").count().agg(F.max("count")).first()[0] == most
+
+
+def test_skybands_send_their_pairs_once(spark):
+    rows = [(i, 9, n, n // 10, float(n % 7)) for i in range(40) for n in range(90)]
+    pairs = spark.createDataFrame(rows, "id bigint, sl bigint, nid bigint, nsl bigint, d double")
+    sky = nb.k_skyband(pairs, 4, 10)
+    plan = sky._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    merged = nb.merge_recent(pairs.withColumn("part", F.pmod("nid", F.lit(4))), 5)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    # A walk that goes on over many batches.
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = sorted(map(repr, sky.collect()))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        assert sorted(map(repr, nb.k_skyband(pairs, 4, 10).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+
+
 def test_text_points(spark, tmp_path):
     path = str(tmp_path / "points.txt")
     with open(path, "w") as f:

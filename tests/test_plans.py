@@ -60,3 +60,15 @@ def test_matches_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     got = sorted(repr([v for _, v in sorted(zip(df.columns, r))]) for r in df.collect())
     assert got == expected
+
+
+@pytest.mark.parametrize("name", ["ball_meets", "vantage_meets"])
+def test_places_are_found_once(spark, name):
+    plan = plan_of(workload.QUERIES[name](spark, SF))
+    assert "is_home" in plan and "ArrowEvalPython" not in plan and "_vd" not in plan
+
+
+@pytest.mark.parametrize("name", ["topk_recent_per_band", "merge_recent_neighbors", "k_skyband", "k_skyband_long"])
+def test_lists_need_no_pairs_of_a_join(spark, name):
+    plan = plan_of(workload.QUERIES[name](spark, SF))
+    assert "chunk" not in plan and "FlatMapGroupsInPandas" in plan
