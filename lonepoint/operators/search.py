@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ MAX_AXES = 3
 #: Cells with more than so many times the points asked for are counted finer, by so many halvings at once.
 CROWD = 4
 STEP = 8
+#: Halvings, over all axes, to the coarse cells that tell on which levels their points are searched.
+COARSE = 14
 
 
 def _ordinary(space: Space) -> Column:
@@ -37,7 +40,7 @@ def nearest_anywhere(
     All points but the query's own id if there are fewer.  Vectors with a null, NaN or infinite coordinate neither ask
     nor answer; without points there are no rows.  Long vectors and other metrics go through ``knn_join``.
 
-    Points are sent once to each level of cells that some query searches; a cell above the size of a task is cut
+    Points are sent once to each level of cells that some query searches around them; a cell above the size of a task is cut
     by the join.
     """
     if not space.flat or space.dims > MAX_AXES:
@@ -63,7 +66,6 @@ def nearest_anywhere(
     first = min(deepest, math.ceil(math.log2(rows) / space.dims))
     counts = _pyramid(stored, keep, space, low, root, first, deepest)
     searched = written(_balls(asked, counts, keep, space, low, high, root, deepest), "search")
-    levels = [r[0] for r in searched.select("level").distinct().collect()]
 
     side = f"({number_sql(root)} / pow(2D, level))"
     last = "(cast(pow(2D, level) as bigint) - 1L)"
@@ -75,8 +77,9 @@ def nearest_anywhere(
     for i, c in enumerate(names):
         left = left.withColumn(f"c{i}", F.explode(F.expr(f"sequence({cell(f'({c} - ub)', i)}, {cell(f'({c} + ub)', i)})")))
     part = F.struct("level", *[f"c{i}" for i in range(space.dims)]).alias("part")
+    cells = left.select("level", *[f"c{i}" for i in range(space.dims)])
     left = left.select("qid", "ub", part, *names)
-    right = stored.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.expr("cast(array() as array<int>)")))
+    right = _on_levels(stored, cells, min(deepest, COARSE // space.dims), names, cell)
     for i, c in enumerate(names):
         right = right.withColumn(f"c{i}", F.expr(cell(c, i)))
     right = right.select(part, F.col("id").alias("nid"), *space.prefixed(right, "n"))
@@ -86,6 +89,25 @@ def nearest_anywhere(
     return nearest_first(pairs.select("qid", "nid", "d"), n)
 
 
+def _on_levels(
+    stored: DataFrame, cells: DataFrame, coarse: int, names: list[str], cell: Callable[[str, int], str]
+) -> DataFrame:
+    """Points once for each ``level`` on which one of the cells lies in, or around, their coarse cell."""
+    keys = [f"k{i}" for i in range(len(names))]
+    reached = cells.select("level", *[
+        F.expr(
+            f"if(level >= {coarse}, array(shiftright(c{i}, level - {coarse})), "
+            f"sequence(shiftleft(c{i}, {coarse} - level), shiftleft(c{i} + 1L, {coarse} - level) - 1L))"
+        ).alias(k)
+        for i, k in enumerate(keys)
+    ]).distinct()
+    for k in keys:
+        reached = reached.withColumn(k, F.explode(k))
+    reached = reached.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
+    placed = stored.withColumn("level", F.lit(coarse)).withColumns({k: F.expr(cell(c, i)) for i, (k, c) in enumerate(zip(keys, names))})
+    return placed.drop("level").join(reached, keys).withColumn("level", F.explode("levels")).drop("levels", *keys)
+
+
 def _place(space: Space, at: list[str], low: list, root: float, deepest: int) -> list[Column]:
     """Cells of the deepest level, one column for each axis."""
     side, top = number_sql(root / 2**deepest), 2**deepest - 1

@@ -10,6 +10,7 @@ from lonepoint.functions.slides import EVENT_BASE, slide_of_time
 from lonepoint.operators import line
 from lonepoint.operators import neighbours as nb
 from lonepoint.operators import routes as rt
+from lonepoint.operators import search
 from lonepoint.operators.blocks import near_pairs
 from lonepoint.operators.histogram import neighbour_histogram
 from lonepoint.operators.joins import collapse_copies, knn_join, pivot_prune_join, range_join, window_pairs
@@ -311,6 +312,31 @@ def test_skybands(spark):
     assert {(r["id"], r["nid"]) for r in nb.layered_skyband(pairs, radii, k).collect()} == expected
 
 
+def test_points_go_only_to_levels_that_are_searched_near_them(spark, monkeypatch):
+    rng = random.Random(3)
+    points = [(i, [rng.random() * 0.01, rng.random() * 0.01] if i % 2 else [rng.uniform(0, 100), rng.uniform(0, 100)]) for i in range(3000)]
+    pts = spark.createDataFrame(points, "id bigint, value array<double>")
+    sent, near = [], search._near
+
+    def spy(left, right, space):
+        sent.append((right.count(), left.select("part.level").distinct().count()))
+        return near(left, right, space)
+
+    monkeypatch.setattr(search, "_near", spy)
+    found = nearest_anywhere(pts.where("id % 50 < 2"), pts, 3, Space(2)).collect()
+    rows, levels = sent[0]
+    assert levels > 2 and rows < 0.6 * levels * len(points)
+    every = np.array([v for _, v in points])
+    got = {}
+    for r in found:
+        got.setdefault(r["qid"], {})[r["rank"]] = r["nid"]
+    assert len(got) == 120
+    for q, ranks in got.items():
+        d = np.sqrt(((every - every[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [ranks[i] for i in (1, 2, 3)] == np.argsort(d, kind="stable")[:3].tolist()
+
+
 def odd_line(spark):
     """Crowded slides, copies of rows, values that are no numbers, gaps and a null id."""
     rng = random.Random(12)
