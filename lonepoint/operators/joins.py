@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SLACK, Space, grid_width
-from ..session import spread
+from ..session import joined
 from . import line
 from .blocks import BLOCK_ROWS, block_join
 from .routes import PivotRoute, Route, grid_route, nearest_pivot
@@ -93,10 +93,9 @@ def window_pairs(
         right = right.withColumn("own", F.explode_outer(F.sequence(F.col("chunk") - near, F.col("chunk") + near)))
         pairs = block_join(left, right, ["part", "chunk", "own"], radius, same=("id", "nid"))
         return pairs.where(timely).select(*found)
-    left, right = spread(left, "part", "chunk"), spread(right, "part", "chunk")
     d = F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(space.distance("", "n"))
     return (
-        left.join(right, ["part", "chunk"])
+        joined(left, right, "part", "chunk")
         .withColumn("d", d)
         .where(timely & (F.col("d") <= F.lit(float(radius))))
         .select(*found)
@@ -137,7 +136,7 @@ def _salted(left: DataFrame, right: DataFrame, space: Space) -> tuple[DataFrame,
         # A number first: rows are then sorted by it and not by arrays of cells.
         keys = ["_cell", "part", "salt"]
         probes, right = (x.withColumn("_cell", F.xxhash64("part")) for x in (probes, right))
-        return spread(probes, *keys), spread(right, *keys), keys
+        return probes, right, keys
     slices = _crowded(left, target, "slices")
     n = F.coalesce("slices", one)
     probes = probes.join(slices, "part", "left").withColumn("slice", F.pmod(F.xxhash64("qid"), n)).drop("slices")
@@ -153,7 +152,7 @@ def _near(
     left, right, keys = _salted(left, right, space)
     if uses_blocks(space):
         return block_join(left, right, keys, radius, limit)
-    pairs = left.join(right, keys).withColumn("d", space.distance("", "n"))
+    pairs = joined(left, right, *keys).withColumn("d", space.distance("", "n"))
     if radius is not None:
         pairs = pairs.where(F.col("d") <= F.lit(float(radius)))
     return pairs.drop(*keys, *space.coords(), *space.coords("n"))
@@ -221,7 +220,7 @@ def pivot_prune_join(
         return _near(left.drop("pd"), right.drop("npd"), space, radius).select("qid", "nid", "d")
     left, right, keys = _salted(left, right, space)
     return (
-        left.join(right, keys)
+        joined(left, right, *keys)
         .where(~apart)
         .select("qid", "nid", space.distance("", "n").alias("d"))
         .where(F.col("d") <= F.lit(float(radius)))

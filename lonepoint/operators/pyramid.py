@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import MAX_CELL, Space, finite, grid_width, number_sql
-from ..session import spread
+from ..session import joined
 
 #: Halvings of the widest cells, by dimensions, and the cells that a ball has about.
 LEVELS = {1: 6, 2: 4, 3: 3}
@@ -134,8 +134,7 @@ def crowded_counts(
         .select("level", "cell", F.floor(F.col("sl") / span).alias("block"), F.col("sl").alias("nsl"), "n")
     )
     inner = (
-        spread(asked.select("id", "sl", "block", F.explode("whole").alias("at")).select("id", "sl", "block", "at.*"), "level", "cell", "block")
-        .join(spread(counts, "level", "cell", "block"), ["level", "cell", "block"])
+        joined(asked.select("id", "sl", "block", F.explode("whole").alias("at")).select("id", "sl", "block", "at.*"), counts, "level", "cell", "block")
         .where(timely)
         .select("id", "nsl", *[F.when(F.col("far") <= r, F.col("n")).otherwise(0).alias(f"c{i}") for i, r in enumerate(radii)])
     )
@@ -145,8 +144,7 @@ def crowded_counts(
     )
     d = F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(space.distance("", "n"))
     border = (
-        spread(asked.select("id", "sl", "block", *space.coords(), F.explode("edge.cell").alias("cell")), "cell", "block")
-        .join(spread(points, "cell", "block"), ["cell", "block"])
+        joined(asked.select("id", "sl", "block", *space.coords(), F.explode("edge.cell").alias("cell")), points, "cell", "block")
         .where(timely)
         .withColumn("d", d)
         .select("id", "nsl", *[F.when(F.col("d") <= r, F.col("n")).otherwise(0).alias(f"c{i}") for i, r in enumerate(radii)])

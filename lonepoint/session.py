@@ -22,6 +22,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_width(df.sparkSession), *keys)
 
 
+def joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of two sides that both grow with the table, each hash-distributed by the keys.
+
+    Spark guesses sizes from compressed files and would gather a side of hundreds of megabytes in the driver to
+    broadcast it; the hint keeps both sides on the executors.
+    """
+    return spread(left, *keys).join(spread(right, *keys).hint("merge"), list(keys))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder for written tables, in a place that all executors share.
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lonepoint.functions import Space, distance_band, euclidean, event_time
+from lonepoint.functions import MANHATTAN, Space, distance_band, euclidean, event_time
 from lonepoint.functions.slides import EVENT_BASE, slide_of_time
 from lonepoint.operators import line
 from lonepoint.operators import neighbours as nb
@@ -230,6 +230,21 @@ def test_collapse_copies(spark):
     assert sorted(r["id"] for r in collapse_copies(pts, 3).collect()) == [0, 1, 2, 30]
 
 
+def test_joins_of_points_are_not_broadcast(spark, tmp_path):
+    """Their files are small, their rows are not: neither side may be gathered in the driver."""
+    frame(spark, crowd(60, 2, seed=5)).write.parquet(f"{tmp_path}/points")
+    pts = spark.read.parquet(f"{tmp_path}/points")
+    keyed = keyed_points(pts, 10, Space(2, MANHATTAN))
+    joins = [
+        window_pairs(keyed, keyed, slide=10, span=2, radius=1.0, space=Space(2, MANHATTAN)),
+        range_join(pts, pts, 1.0, Space(2)),
+        pivot_prune_join(pts, pts, 1.0, Space(2), [[0.0, 0.0], [5.0, 5.0]]),
+    ]
+    for pairs in joins:
+        joined = [x for x in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Inner" in x]
+        assert joined and all("SortMergeJoin" in x for x in joined)
+
+
 def test_near_pairs_tiles(monkeypatch):
     from lonepoint.operators import blocks
 
