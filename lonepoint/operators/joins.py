@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SLACK, Space, grid_width
-from ..session import joined
+from ..session import joined, spread, written
 from . import line
 from .blocks import BLOCK_ROWS, block_join
 from .routes import PivotRoute, Route, grid_route, nearest_pivot
@@ -146,12 +147,23 @@ def _salted(left: DataFrame, right: DataFrame, space: Space) -> tuple[DataFrame,
 
 
 def _near(
-    left: DataFrame, right: DataFrame, space: Space, radius: float | None = None, limit: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    space: Space,
+    radius: float | None = None,
+    limit: int | None = None,
+    bound: str | None = None,
 ) -> DataFrame:
-    """Pairs of the same partition within the radius, with all columns but the vectors, and ``d``."""
+    """Pairs of the same partition within the radius, with all columns but the vectors, and ``d``.
+
+    ``limit`` and ``bound`` (a column of the left side) let blocks return only the nearest pairs.
+    """
     left, right, keys = _salted(left, right, space)
     if uses_blocks(space):
-        return block_join(left, right, keys, radius, limit)
+        if limit is not None:
+            # Few blocks, each with all its pairs to compare.
+            left, right = spread(left, *keys), spread(right, *keys)
+        return block_join(left, right, keys, radius, limit, bound=bound)
     pairs = joined(left, right, *keys).withColumn("d", space.distance("", "n"))
     if radius is not None:
         pairs = pairs.where(F.col("d") <= F.lit(float(radius)))
@@ -247,26 +259,40 @@ def knn_join(
 ) -> DataFrame:
     """The n nearest points of each query: ``(qid, nid, d, rank)``, exact.
 
-    First each query looks into the partition of its nearest pivot, which
-    bounds its n-th distance.  Then it visits only the partitions that the
-    bound cannot rule out.  A query whose first partition is too small stays
-    unbounded and visits all of them.
+    First each query looks into the part of its nearest pivot, which bounds its
+    n-th distance.  Then it visits only the parts that the bound cannot rule
+    out.  A query whose first part is too small stays unbounded and visits all
+    of them.  Blocks compare many rows at the price of moving a query once, so
+    there a part is a group of neighbouring cells; otherwise it is one cell.
     """
     pivots = pivots or draw_pivots(points)
     keep = n + 1 if exclude_self else n
     bounded = collapse_copies(points, keep)
     stored = space.project(bounded, "id").withColumn("_pd", space.distances_to(pivots))
     stored = stored.select(
-        nearest_pivot("_pd").alias("part"),
+        nearest_pivot("_pd").alias("cell"),
         F.col("id").alias("nid"),
         *space.prefixed(stored, "n"),
     )
+    parts = list(range(len(pivots)))
+    if uses_blocks(space):
+        stored = written(stored, "knn-points")
+        rows = {r["cell"]: r["count"] for r in stored.groupBy("cell").count().collect()}
+        parts = cell_groups(pivots, [rows.get(i, 0) for i in parts], BLOCK_ROWS)
+    numbers = F.expr(f"array({', '.join(f'{p}L' for p in parts)})")
+
+    def part_of(cell: Column) -> Column:
+        return F.get(numbers, cell.cast("int"))
+
+    stored = stored.withColumn("part", part_of(F.col("cell"))).drop("cell")
     asked = space.project(queries, "id").withColumn("pd", space.distances_to(pivots))
-    asked = asked.select(F.col("id").alias("qid"), nearest_pivot("pd").alias("home"), "pd", *space.coords())
+    asked = asked.select(
+        F.col("id").alias("qid"), part_of(nearest_pivot("pd")).alias("home"), nearest_pivot("pd").alias("cell"), "pd", *space.coords()
+    )
 
     def candidates(left: DataFrame) -> DataFrame:
-        """Pairs of the query's partition; from blocks only the nearest ones."""
-        pairs = _near(left, stored, space, limit=keep)
+        """Pairs of the query's part; from blocks only the nearest ones."""
+        pairs = _near(left, stored, space, limit=keep, bound="ub" if "ub" in left.columns else None)
         if "ub" in left.columns:
             pairs = pairs.where(F.col("ub").isNull() | (F.col("d") <= F.col("ub")))
         if exclude_self:
@@ -275,27 +301,48 @@ def knn_join(
 
     own = asked.select("qid", F.col("home").alias("part"), *space.coords())
     local = nearest_first(candidates(own), n)
+    if uses_blocks(space):
+        # Used three times below.
+        local = written(local, "knn-local")
     bounds = local.groupBy("qid").agg(
         F.max(F.when(F.col("rank") == n, F.col("d"))).alias("ub")
     )
     # Every member of cell j is nearer to c_j than to any other pivot, so it is
     # at least half the difference of the query's two pivot distances away.
     numbered = F.sequence(F.lit(0).cast("bigint"), F.lit(len(pivots) - 1).cast("bigint"))
-    others = asked.join(bounds, "qid", "left").withColumn(
-        "part",
-        F.explode(
-            F.filter(
-                numbered,
-                lambda j: (j != F.col("home"))
-                & (
-                    F.col("ub").isNull()
-                    | (
-                        F.get("pd", j.cast("int")) - F.array_min("pd")
-                        <= F.col("ub") * 2 * (1 + SLACK)
-                    )
-                ),
+    reached = F.filter(
+        numbered,
+        lambda j: (j != F.col("cell"))
+        & (
+            F.col("ub").isNull()
+            | (
+                F.get("pd", j.cast("int")) - F.array_min("pd")
+                <= F.col("ub") * 2 * (1 + SLACK)
             )
         ),
     )
-    rest = candidates(others.select("qid", "part", "ub", *space.coords()))
+    others = asked.join(bounds, "qid", "left").withColumn(
+        "parts", F.array_except(F.transform(reached, part_of), F.array("home"))
+    )
+    others = others.select("qid", "parts", "ub", *space.coords())
+    if uses_blocks(space):
+        others = written(others, "knn-routes")
+    rest = candidates(others.withColumn("part", F.explode("parts")).drop("parts"))
     return nearest_first(local.select("qid", "nid", "d").unionByName(rest), n)
+
+
+def cell_groups(pivots: Sequence[Sequence[float]], rows: Sequence[int], most: int) -> list[int]:
+    """Number of the group of each pivot's cell, by the rows of the cells.
+
+    The pivots are lined up, each next to the nearest one left, and the line is cut where a group would get more
+    than ``most`` rows; a cell is not split.
+    """
+    matrix = np.asarray(pivots, dtype=float)
+    of, left = np.zeros(len(matrix), dtype=int), np.ones(len(matrix), dtype=bool)
+    at = group = held = 0
+    for _ in range(len(matrix)):
+        if held and held + rows[at] > most:
+            group, held = group + 1, 0
+        of[at], left[at], held = group, False, held + rows[at]
+        at = int(np.where(left, ((matrix - matrix[at]) ** 2).sum(axis=1), np.inf).argmin())
+    return of.tolist()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lonepoint.functions import MANHATTAN, Space, distance_band, euclidean, event_time
 from lonepoint.functions.slides import EVENT_BASE, slide_of_time
-from lonepoint.operators import line
+from lonepoint.operators import joins, line
 from lonepoint.operators import neighbours as nb
 from lonepoint.operators import routes as rt
 from lonepoint.operators import search
@@ -139,6 +139,28 @@ def test_knn(spark, dims):
         assert got[i] == [j for _, j in order]
 
 
+def test_knn_of_long_vectors_sends_a_query_once_per_group(spark, monkeypatch):
+    """Distances are nearly equal, so no cell is ruled out; a query must not be sent to each of the 20 cells."""
+    rng = random.Random(3)
+    points = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)]
+    sent, near = [], joins._near
+
+    def counted(left, *args, **options):
+        sent.append(left.count())
+        return near(left, *args, **options)
+
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(joins, "_near", counted)
+    pts = frame(spark, points)
+    assert _ranked(knn_join(pts, pts, 3, Space(16))) == _nearest(points, points, 3)
+    assert sent[0] == 400 and sum(sent) <= 8 * 400
+
+
+def test_cell_groups():
+    assert joins.cell_groups([[0.0], [10.0], [1.0], [11.0], [30.0]], [4, 3, 4, 3, 50], 8) == [0, 1, 0, 1, 2]
+    assert joins.cell_groups([[0.0]], [0], 8) == [0]
+
+
 def _nearest(queries, points, n, exclude_self=True):
     out = {}
     for i, v in queries:
@@ -259,6 +281,31 @@ def test_near_pairs_tiles(monkeypatch):
         assert set(np.argsort(d[q])[:3]) <= set(j[i == q])
 
 
+def test_near_pairs_keep_ties_and_bounds(monkeypatch):
+    """Whole numbers, so that many distances are equal; tiles shorter than the limit and longer."""
+    from lonepoint.operators import blocks
+
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, 3, (n, 9)).astype(float) for n in (23, 60))
+    x[4], y[7], y[8] = np.nan, np.inf, 1e200
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    d = np.where(np.isfinite(d), d, np.inf)
+    bound = np.where(np.arange(23) % 3, np.nan, 3.0)
+    for columns in (2, 7, 64):
+        monkeypatch.setattr(blocks, "TILE_COLUMNS", columns)
+        monkeypatch.setattr(blocks, "TILE_CELLS", 4 * columns)
+        for limit in (1, 5, 100):
+            last = np.sort(d, axis=1)[:, min(limit, 60) - 1]
+            for most in (None, bound):
+                wanted = (d <= last[:, None]) & np.isfinite(d)
+                if most is not None:
+                    wanted &= ~(d > most[:, None])
+                i, j, found = near_pairs(x, y, None, limit, most)
+                assert sorted(zip(i.tolist(), j.tolist())) == list(zip(*(a.tolist() for a in np.nonzero(wanted))))
+                assert (found == d[i, j]).all()
+
+
 def test_functions_ship_by_value(tmp_path):
     import subprocess
     import sys
