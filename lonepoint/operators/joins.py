@@ -287,7 +287,8 @@ def knn_join(
     stored = stored.withColumn("part", part_of(F.col("cell"))).drop("cell")
     asked = space.project(queries, "id").withColumn("pd", space.distances_to(pivots))
     asked = asked.select(
-        F.col("id").alias("qid"), part_of(nearest_pivot("pd")).alias("home"), nearest_pivot("pd").alias("cell"), "pd", *space.coords()
+        F.col("id").alias("qid"), part_of(nearest_pivot("pd")).alias("home"), nearest_pivot("pd").alias("cell"),
+        "pd", F.array_min("pd").alias("pmin"), *space.coords(),
     )
 
     def candidates(left: DataFrame) -> DataFrame:
@@ -316,7 +317,7 @@ def knn_join(
         & (
             F.col("ub").isNull()
             | (
-                F.get("pd", j.cast("int")) - F.array_min("pd")
+                F.get("pd", j.cast("int")) - F.col("pmin")
                 <= F.col("ub") * 2 * (1 + SLACK)
             )
         ),
