@@ -1,9 +1,10 @@
 """Detectors in Spark's keyed streaming state.
 
 Points go to cells, with copies to the cells their ball touches, and cells to a fixed number of keys.  A key keeps
-the slides of its open windows in one map, in blocks of a window's length; an event-time timer wakes it when a window
-closes, it reports all windows that have closed by then and removes the slides that no window needs any more.  A window holds at most as many points as it has ids, so the
-state of a key has a bound, however crowded a cell is.
+the slides of its open windows in one map, in blocks of at least a window's length; an event-time timer wakes it when a
+window closes, it reports all windows that have closed by then and removes the slides that no window needs any more.  A
+window holds at most as many points as it has ids, so the state of a key has a bound, however crowded a cell is.  A key
+reads and writes only blocks near new points and near windows that it reports, however many slides late points keep.
 
 Only points that can be outliers are searched for: a point with more than k others in its own small cell and slide
 is left out at once, and one with k neighbours of its own or later slides as soon as it has them.  So searches
@@ -39,6 +40,10 @@ TRANSITION = "e bigint, id bigint, previous string, status string"
 CHUNK = 1 << 21
 #: Points looked at in one run.
 RUN_ROWS = 1 << 16
+#: Coordinates taken in together, before they are put to those that wait.
+WAIT_VALUES = 1 << 19
+#: Slides kept for late points are dealt over about so many blocks.
+LATE_BLOCKS = 64
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -138,14 +143,17 @@ def euclidean_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Cells(StatefulProcessor):
     """Slides of a key, their neighbour counts, and the timer that both detectors share.
 
-    Slides are kept in blocks of one window's length.  A key has one timer, for the next window that closes; when
-    it wakes, it looks at all windows that the watermark has closed since, a run of blocks at a time.
+    Slides are kept in blocks of one window's length, or of several if late points keep many.  A key has one timer, for
+    the next window that closes; when it wakes, it looks at all windows that the watermark has closed since, a run of
+    blocks at a time.
     """
 
     def __init__(self, span: int, radii: Sequence[float], k: int, lateness: int, space: Space, distance: Distance | None):
         self.span, self.radii, self.k, self.lateness = span, list(radii), k, lateness
         self.coords = space.coords()
         self.dims, self.flat, self.distance = space.dims, space.flat, distance
+        #: Slides of a block; never fewer than a window, so that a window lies in two blocks at most.
+        self.length = span * max(1, lateness // (span * LATE_BLOCKS))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -162,10 +170,11 @@ class Cells(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frames, held, first = [], 0, None
+        most = max(RUN_ROWS, WAIT_VALUES // max(1, self.dims))
         for frame in rows:
             frames.append(frame)
             held += len(frame)
-            if held >= RUN_ROWS:
+            if held >= most:
                 first = self._wait(frames, first)
                 frames, held = [], 0
         first = self._wait(frames, first)
@@ -191,7 +200,7 @@ class Cells(StatefulProcessor):
         return oldest if first is None else min(first, oldest)
 
     def _put(self, new: list[np.ndarray]) -> None:
-        blocks = new[1] // self.span
+        blocks = new[1] // self.length
         order = np.argsort(blocks, kind="stable")
         names, start = np.unique(blocks[order], return_index=True)
         for block, rows in zip(names.tolist(), np.split(order, start[1:])):
@@ -204,43 +213,60 @@ class Cells(StatefulProcessor):
         upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000
         upto += self.lateness - EVENT_BASE
         done = self.clock.get()[0] if self.clock.exists() else None
-        blocks = sorted(k[0] for k in self.waiting.keys())
-        due = [b for b in blocks if b * self.span <= upto]
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] * self.length <= upto)
         if done is not None and done >= upto and not due:
             return
-        width, radii = 2 * self.span - 1, len(self.radii)
-        stored = {k[0]: v for k, v in self.slides.iterator()}
-        held = Points.joined([self._new([b""] * 5), *[Points.load(v, width, radii) for v in stored.values()]])
+        # Blocks in the state, and those in memory as they were read, None if they are new.
+        self.stored, self.loaded = {k[0] for k in self.slides.keys()}, {}
+        held = self._new([b""] * 5)
         self._open()
         # Windows that were not looked at yet, or that new points change.
         since = upto if done is None else done
+        held = self._turn(held, self._recent(since))
         pending = {e for e in self._windows(held.sl) if since < e <= upto}
         while due or pending:
-            fresh = [self._new([b""] * 5)]
+            fresh, taken = [self._new([b""] * 5)], []
             while due and sum(len(p.ids) for p in fresh) < RUN_ROWS:
-                fresh.append(self._due(due.pop(0), upto))
-            end = min(upto, due[0] * self.span - 1) if due else upto
+                taken.append(due.pop(0))
+                fresh.append(self._due(taken[-1], upto))
+            end = min(upto, due[0] * self.length - 1) if due else upto
             new = Points.joined(fresh)
             pending |= {e for e in self._windows(new.sl) if e <= upto}
-            held = self._insert(held, new)
             now = sorted(e for e in pending if e <= end)
             pending = {e for e in pending if e > end}
+            near = {*taken, *(e // self.length for e in now)}
+            held = self._insert(self._turn(held, {b + i for b in near for i in (-1, 0, 1)}), new)
             if now:
                 yield from self._report(key, held, np.array(now, np.int64))
             self._settle(held, end)
             held = held.where(held.sl > end - self.lateness - self.span)
-        self._save(held, stored)
+        gone = upto - self.lateness - self.span
+        for block in [b for b in self.stored if (b + 1) * self.length <= gone + 1]:
+            self.slides.removeKey((block,))
+            self.stored.remove(block)
+        held = self._turn(held, {gone // self.length, *self._recent(upto)})
+        held = held.where(held.sl > gone)
         self._close(upto)
         nexts = [k[0] for k in self.waiting.keys()]
         oldest = [int(np.frombuffer(self.waiting.getValue((min(nexts),))[1], np.int64).min())] if nexts else []
-        if len(held.sl):
-            oldest.append(upto + 1 if held.sl.max() > upto - self.span else int(held.sl.min()) + self.span + self.lateness)
+        if len(held.sl) and held.sl.max() > upto - self.span:
+            oldest.append(upto + 1)
+        elif len(held.sl) or self.stored:
+            first = [held.sl.min()] if len(held.sl) else []
+            if self.stored:
+                first.append(np.frombuffer(self.slides.getValue((min(self.stored),))[1], np.int64).min())
+            oldest.append(int(min(first)) + self.span + self.lateness)
+        self._turn(held, set())
         if oldest:
             self.timer(min(oldest))
             self.clock.update((upto, min(oldest)))
         else:
             self.clock.clear()
 
+    def _recent(self, e: int) -> set[int]:
+        """Blocks with the slides of the window that ends with ``e``."""
+        return {(e - self.span + 1) // self.length, e // self.length}
+
     def _windows(self, sl: np.ndarray) -> list[int]:
         """Windows that hold any of the slides."""
         return np.unique(np.unique(sl)[:, None] + np.arange(self.span)).tolist()
@@ -330,20 +356,33 @@ class Cells(StatefulProcessor):
                     out[i:j, :, r] = np.bincount(near, minlength=(j - i) * width).reshape(j - i, width)
         return out
 
-    def _save(self, held: Points, stored: dict[int, tuple]) -> None:
-        """Write the blocks that changed, and remove those that no later report needs."""
-        blocks = held.sl // self.span
-        names = np.unique(blocks).tolist()
-        for block in stored:
-            if block not in names:
-                self.slides.removeKey((block,))
-        order = np.argsort(blocks, kind="stable")
-        for block, rows in zip(names, np.split(order, np.searchsorted(blocks[order], names)[1:])):
-            which = np.zeros(len(blocks), bool)
-            which[rows] = True
+    def _turn(self, held: Points, blocks: set[int]) -> Points:
+        """The points of these blocks: others are written if they changed, missing ones are read."""
+        at = held.sl // self.length
+        order = np.argsort(at, kind="stable")
+        for block in sorted(self.loaded.keys() - blocks):
+            before = self.loaded.pop(block)
+            first, last = np.searchsorted(at[order], [block, block + 1])
+            if first == last:
+                if before is not None:
+                    self.slides.removeKey((block,))
+                continue
+            which = np.zeros(len(at), bool)
+            which[order[first:last]] = True
             value = held.where(which).store()
-            if block not in stored or tuple(bytes(v) for v in stored[block]) != value:
+            if before is None or tuple(bytes(v) for v in before) != value:
                 self.slides.updateValue((block,), value)
+            self.stored.add(block)
+        missing = sorted(blocks & self.stored)
+        self.stored -= blocks
+        self.loaded.update((b, self.slides.getValue((b,))) for b in missing)
+        for block in blocks:
+            self.loaded.setdefault(block, None)
+        held = held.where(np.isin(at, list(self.loaded)))
+        if not missing:
+            return held
+        width, radii = 2 * self.span - 1, len(self.radii)
+        return Points.joined([held, *[Points.load(self.loaded[b], width, radii) for b in missing]])
 
     def _open(self) -> None:
         """Before the windows of a key are looked at."""
@@ -380,21 +419,25 @@ class WindowReports(Cells):
         if not self.lateness:
             return
         for block in list(self.reported):
-            if (block + 1) * self.span <= upto - self.lateness - self.span:
+            if (block + 1) * self.length <= upto - self.lateness - self.span:
                 if block not in self.touched or self.versions.containsKey((block,)):
                     self.versions.removeKey((block,))
             elif block in self.touched:
                 self.versions.updateValue((block,), (self.reported[block].tobytes(),))
 
-    def _version(self, e: int) -> int:
-        """How often a window was reported before."""
+    def _versions(self, windows: np.ndarray) -> np.ndarray:
+        """How often each of some windows, in ascending order, was reported before."""
+        versions = np.zeros(len(windows), np.int64)
         if not self.lateness:
-            return 0
-        block, at = divmod(e, self.span)
-        counts = self.reported.setdefault(block, np.zeros(self.span, np.int32))
-        self.touched.add(block)
-        counts[at] += 1
-        return int(counts[at]) - 1
+            return versions
+        names, start = np.unique(windows // self.length, return_index=True)
+        for block, first, last in zip(names.tolist(), start, [*start[1:], len(windows)]):
+            counts = self.reported.setdefault(block, np.zeros(self.length, np.int32))
+            self.touched.add(block)
+            at = windows[first:last] - block * self.length
+            versions[first:last] = counts[at]
+            counts[at] += 1
+        return versions
 
     def _report(self, key, held: Points, windows: np.ndarray) -> Iterator[pd.DataFrame]:
         wanted = self.queries
@@ -425,15 +468,16 @@ class WindowReports(Cells):
         if not any(len(c[0]) for c in columns):
             return
         frame = pd.DataFrame({name: np.concatenate([c[i] for c in columns]) for i, name in enumerate(names)})
-        versions = {e: self._version(e) for e in np.unique(frame["e"]).tolist()}
-        frame.insert(0, "version", frame["e"].map(versions))
+        names, at = np.unique(frame["e"].to_numpy(), return_inverse=True)
+        frame.insert(0, "version", self._versions(names)[at.reshape(-1)])
         frame.insert(0, "part", key[0])
         yield frame
 
     def _settle(self, held: Points, e: int) -> None:
         """What is certain now is certain in every window that can still be reported."""
         known = e - self.lateness - held.sl[held.open]
-        sure = np.arange(self.span) < known[:, None]
+        # Its own slide is in every window of a point.
+        sure = np.arange(self.span) < np.maximum(known, 1)[:, None]
         safe = (held.hist[:, self.span - 1 :, 0] * sure).sum(1) >= self.k
         if safe.any():
             held.keep(~safe)

@@ -1,14 +1,16 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lonepoint.functions import Space
+from lonepoint.functions.slides import EVENT_BASE
 from lonepoint.operators.routes import HashRoute
 from lonepoint.plans.detect import RK, detect_outliers, evaluate
 from lonepoint.plans.params import QuerySet
 from lonepoint.plans.status import point_status, status_transitions
 from lonepoint.sources import console_sink, stream_text_points, table_sink
-from lonepoint.streaming.keyed import keyed_report, stream_outliers, stream_transitions
+from lonepoint.streaming.keyed import WindowReports, keyed_report, stream_outliers, stream_transitions
 from lonepoint.streaming.native import window_density, window_outliers
 
 from . import brute
@@ -254,3 +256,76 @@ def test_wide_gaps_between_ids_in_one_batch(spark, tmp_path):
     run(query)
     expected = {e + base: n for base in (0, 4 * 10**9) for e, n in brute.single(points[:40], 20, 10, 0.5, 4).items()}
     assert {r["e"]: r["n_outliers"] for r in report().collect()} == expected
+
+
+class State(dict):
+    """State of one key in memory, and its timers; counts what is read."""
+
+    read = 0
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, State())
+
+    getValueState = getMapState
+    containsKey, updateValue, removeKey = dict.__contains__, dict.__setitem__, dict.pop
+
+    def getValue(self, key):
+        self.read += 1
+        return self[key]
+
+    def iterator(self):
+        self.read += len(self)
+        return iter(list(self.items()))
+
+    def exists(self):
+        return 0 in self
+
+    def get(self):
+        return self[0]
+
+    def update(self, value):
+        self[0] = value
+
+    def registerTimer(self, ms):
+        self[0] = ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: self[0]
+
+
+def wake(cells, state, points, slide, e):
+    """Hand points to a key and wake it with the watermark at slide ``e``; its rows."""
+    frame = pd.DataFrame({
+        "id": [i for i, _ in points], "sl": [i // slide for i, _ in points], "cell": 0, "is_home": True,
+        "x0": [v[0] for _, v in points],
+    })
+    list(cells.handleInputRows((0,), iter([frame]), state))
+    state[0] = (EVENT_BASE + e - cells.lateness) * 1000
+    return pd.concat([pd.DataFrame(columns=["e", "version", "n_outliers"]), *cells.handleExpiredTimer((0,), state, state)])
+
+
+@pytest.mark.parametrize("lateness", [300, 1500])
+def test_late_points_read_only_blocks_near_them(lateness):
+    points = crowd(1200, 1, seed=91)
+    late = [p for p in points if 500 <= p[0] < 520 and p[0] % 3 == 0]
+    state, cells = State(), WindowReports(QuerySet([20], [4], [0.3], [2]), lateness, Space(1), None)
+    cells.init(state)
+    seen = [wake(cells, state, [p for p in points if p not in late], 4, 299)]
+    blocks, state["slides"].read = len(state["slides"]), 0
+    seen.append(wake(cells, state, late, 4, 299))
+    # The blocks of late points, one on either side, and those of the newest window.
+    assert blocks >= 15 and state["slides"].read <= 10
+    rows = pd.concat(seen).sort_values("version").groupby("e")["n_outliers"].last()
+    assert rows.to_dict() == {e: n for e, n in brute.single(points, 20, 4, 0.3, 2).items() if e <= 299}
+    assert set(seen[1]["e"]) == {e for i, _ in late for e in range(i // 4, i // 4 + 5)} and set(seen[1]["version"]) == {1}
+
+
+def test_blocks_of_late_slides_are_removed():
+    # Blocks of several windows: what no window needs leaves them, whole blocks and parts of one.
+    points = [(i, [float(i % 3)]) for i in range(4000)]
+    state, cells = State(), WindowReports(QuerySet([4], [2], [0.5], [1]), 520, Space(1), None)
+    cells.init(state)
+    assert cells.length == 8
+    wake(cells, state, points[:3000], 2, 1499)
+    wake(cells, state, points[3000:], 2, 1999)
+    slides = [s for v in state["slides"].values() for s in np.frombuffer(v[1], np.int64).tolist()]
+    assert sorted(set(slides)) == list(range(2000 - 520 - 2, 2000)) and len(state["slides"]) < 80
