@@ -153,6 +153,12 @@ class Space:
             return _root([(F.col(a), F.col(b)) for a, b in zip(self.coords(left), self.coords(right))])
         return self._arrays(F.col(f"{left}value"), F.col(f"{right}value"))
 
+    def between(self, a: Column, b: Column) -> Column:
+        """Distance of two structs that hold the coordinates."""
+        if self.flat:
+            return _root([(a[c], b[c]) for c in self.coords()])
+        return self._arrays(a["value"], b["value"])
+
     def distance_to(self, vector: Sequence[float]) -> Column:
         """Distance of each row to a fixed vector."""
         if self.flat:

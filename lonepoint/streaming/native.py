@@ -89,10 +89,11 @@ def window_density(
     )
 
 
-def _stream_sites(points: DataFrame, slide: int, space: Space, delay: int) -> DataFrame:
-    """Distinct vectors of each slide, once it is closed: ``id, n, ts`` and the coordinates.
+def _stream_cells(points: DataFrame, slide: int, space: Space, delay: int, route: Route, reach: bool) -> DataFrame:
+    """Distinct vectors of each slide and partition, once the slide is closed.
 
-    Vectors with a coordinate that is not an ordinary number stay by themselves.
+    ``part, ts, sites``, and ``parts`` with ``reach``; ``sites`` are structs of ``id, n`` and the coordinates.  Vectors
+    with a coordinate that is not an ordinary number stay by themselves.
     """
     timed = space.project(with_event_time(points, slide, delay), F.col("id").cast("bigint").alias("id"), "ts")
     if space.flat:
@@ -100,10 +101,28 @@ def _stream_sites(points: DataFrame, slide: int, space: Space, delay: int) -> Da
     else:
         ordinary = F.forall("value", finite)
     alone = F.when(~ordinary, F.col("id")).alias("alone")
-    sites = timed.groupBy(F.window("ts", "1 second").alias("slide"), *space.coords(), alone)
-    return sites.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select(
-        "id", "n", F.window_time("slide").alias("ts"), *space.coords()
-    )
+    placed = route.with_home(timed, space)
+    placed = route.with_reach(placed, space) if reach else placed
+    keys = ["part", "parts"] if reach else ["part"]
+    point = F.struct(*space.coords(), alone, "id")
+    cells = placed.groupBy(F.window("ts", "1 second").alias("slide"), *keys).agg(F.collect_list(point).alias("listed"))
+    listed = cells.select(*keys, F.window_time("slide").alias("ts"), F.sort_array("listed").alias("listed"))
+
+    def differs(i):
+        a, b = F.get("listed", i), F.get("listed", i - 1)
+        return ~functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in (*space.coords(), "alone")])
+
+    # Equal vectors are neighbours in the list, from each first place to a last one.
+    newest = F.size("listed") - 1
+    places = F.sequence(F.lit(0), newest)
+    first = F.filter(places, lambda i: (i == 0) | differs(i))
+    last = F.filter(places, lambda i: (i == newest) | differs(i + 1))
+
+    def site(i, j):
+        kept = F.get("listed", i)
+        return F.struct(kept["id"].alias("id"), (j - i + 1).cast("bigint").alias("n"), *[kept[c].alias(c) for c in space.coords()])
+
+    return listed.select(*keys, "ts", F.zip_with(first, last, site).alias("sites"))
 
 
 def window_outliers(
@@ -112,32 +131,53 @@ def window_outliers(
 ) -> DataFrame:
     """Outliers per closed window, ``(e, n_outliers)``, by joins and aggregates of the stream alone.
 
-    Distinct vectors of a slide are probes and stored points of a stream-stream join on the partition, within
-    one window of time; the watermark removes both sides.  Two chained aggregates follow: neighbours per probe and
-    window, outliers per window.  Copies of a vector are one row each side.  A window is reported when the
+    The distinct vectors of a slide and partition are one row.  Such rows are probes and stored points of a
+    stream-stream join on the partition, within one window of time; the watermark removes both sides.  Vectors with
+    more than k points near them in their own slide and partition are no probes: no window makes them outliers.  Two
+    chained aggregates follow: neighbours per probe and window, outliers per window.  A window is reported when the
     watermark has passed its last probe by the length of a window, since a pair may come that late.
     """
     if window % slide:
         raise ValueError("the window must be a multiple of the slide")
     m = window // slide
     route = route or grid_route(space, radius)
-    probes = route.with_reach(_stream_sites(points, slide, space, delay), space)
-    # Blocks of a window's length are part of the key: a site meets the stored ones around its time, not all of its cell.
-    block = F.floor(slide_of_time(F.col("ts")) / m)
-    probes = probes.withColumn("part", F.explode_outer("parts")).drop("parts")
-    probes = probes.withColumn("block", F.explode_outer(F.sequence(block - 1, block + 1)))
-    stored = route.with_home(_stream_sites(points, slide, space, delay), space)
-    stored = stored.select(
-        F.col("part").alias("npart"), F.col("id").alias("nid"), F.col("n").alias("nn"), block.alias("nblock"),
-        F.col("ts").alias("nts"), *space.prefixed(stored, "n"),
+
+    def close(p, q):
+        return (space.between(p, q) <= F.lit(float(radius))) | (p["id"] == q["id"])
+
+    def settled(p):
+        """More than k points near a site in its own row, itself included."""
+        add = lambda total, q: total + F.when(close(p, q), q["n"]).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate("sites", F.lit(0).cast("bigint"), add) > k
+
+    probes = _stream_cells(points, slide, space, delay, route, True)
+    probes = probes.withColumn("open", F.filter("sites", lambda p: ~settled(p))).drop("sites")
+    # Without open sites a row still says that its windows have points; it only meets itself.
+    searching = F.size("open") > 0
+    # Blocks of two windows' length are part of the key: rows meet the stored ones around their time, not all of their cell.
+    sl, length = slide_of_time(F.col("ts")), 2 * m
+    around = F.sequence(F.floor((sl - (m - 1)) / length), F.floor((sl + (m - 1)) / length))
+    # Outer, though neither array is empty: Spark would test that by computing the arrays, and what they depend on, twice.
+    parts = F.when(searching, F.array_distinct("parts")).otherwise(F.array("part"))
+    blocks = F.when(searching, around).otherwise(F.array(F.floor(sl / length)))
+    probes = probes.select("ts", "open", F.explode_outer(parts).alias("part"), blocks.alias("blocks"))
+    probes = probes.select("ts", "open", "part", F.explode_outer("blocks").alias("block"))
+    stored = _stream_cells(points, slide, space, delay, route, False).select(
+        F.col("part").alias("npart"), F.col("sites").alias("nsites"), F.floor(sl / length).alias("nblock"), F.col("ts").alias("nts")
     )
     near_time = F.expr(f"nts BETWEEN ts - INTERVAL {m - 1} SECONDS AND ts + INTERVAL {m - 1} SECONDS")
-    d = F.when(F.col("nid") == F.col("id"), F.lit(0.0)).otherwise(space.distance("", "n"))
     same = (F.col("part") == F.col("npart")) & (F.col("block") == F.col("nblock"))
-    pairs = probes.join(stored, same & near_time).where(d <= F.lit(float(radius)))
-    # One row per probe with its neighbours by slide: probes are copied to windows, pairs are not.
+
     gap = slide_of_time(F.col("nts")) - slide_of_time(F.col("ts"))
-    per_gap = [F.sum(F.when(gap == j, F.col("nn")).otherwise(F.lit(0))).alias(f"g{j + m - 1}") for j in range(1 - m, m)]
+    pairs = probes.join(stored, same & near_time).select("ts", gap.alias("gap"), F.explode_outer("open").alias("p"), "nsites")
+    pairs = pairs.select("ts", "gap", "p", F.explode_outer("nsites").alias("q"))
+    pairs = pairs.where(F.col("p").isNull() | close(F.col("p"), F.col("q"))).select(
+        "ts", "gap", F.col("p.id").alias("id"), F.coalesce("p.n", F.lit(0).cast("bigint")).alias("n"), F.col("q.n").alias("nn")
+    )
+    # One row per probe with its neighbours by slide: probes are copied to windows, pairs are not.
+    per_gap = [
+        F.sum(F.when(F.col("gap") == j, F.col("nn")).otherwise(F.lit(0))).alias(f"g{j + m - 1}") for j in range(1 - m, m)
+    ]
     counted = pairs.groupBy(F.window("ts", "1 second").alias("slide"), "id").agg(F.max("n").alias("n"), *per_gap)
     counted = counted.select("n", F.array(*[f"g{j}" for j in range(2 * m - 1)]).alias("near"), F.window_time("slide").alias("at"))
     placed = counted.withColumn("window", F.window("at", f"{m} seconds", "1 second"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lonepoint.functions import Space
 from lonepoint.functions.slides import EVENT_BASE
-from lonepoint.operators.routes import HashRoute
+from lonepoint.operators.routes import GridRoute, HashRoute
 from lonepoint.plans.detect import RK, detect_outliers, evaluate
 from lonepoint.plans.params import QuerySet
 from lonepoint.plans.status import point_status, status_transitions
@@ -329,3 +329,21 @@ def test_blocks_of_late_slides_are_removed():
     wake(cells, state, points[3000:], 2, 1999)
     slides = [s for v in state["slides"].values() for s in np.frombuffer(v[1], np.int64).tolist()]
     assert sorted(set(slides)) == list(range(2000 - 520 - 2, 2000)) and len(state["slides"]) < 80
+
+
+@pytest.mark.parametrize("route, k", [(None, 30), (None, 3), (HashRoute(3, GridRoute(1.0)), 30)])
+def test_native_join_holds_a_row_per_slide_and_cell(spark, tmp_path, route, k):
+    # Equal and unlike vectors, some that are no numbers, and a slide whose points are all settled at once.
+    points = [(i, [0.3 * (i % 40) + 0.001 * (i % 7)]) for i in range(600)]
+    points[5:8] = [(5, [float("nan")]), (6, [float("inf")]), (7, [-0.0])]
+    points[200:300] = [(i, [2.0]) for i in range(200, 300)]
+    stream = started(spark, tmp_path, [points[:350], points[350:]])
+    out = str(tmp_path / "out")
+    query = table_sink(window_outliers(stream, 200, 100, 1.0, k, Space(1), route), out, str(tmp_path / "checkpoint"))
+    run(query)
+    expected = brute.single(points, 200, 100, 1.0, k)
+    assert {r["e"]: r["n_outliers"] for r in spark.read.parquet(out).collect()} == {e: n for e, n in expected.items() if e < 5 - 2}
+    states = [o for p in query.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    cells = 13 * (1 if route is None else 3)
+    # A row for each slide and cell, and up to three cells and two blocks that it searches.
+    assert 0 < sum(int(o["numRowsUpdated"]) for o in states) <= 6 * cells * (1 + 3 * 2 * (1 if route is None else 3))
